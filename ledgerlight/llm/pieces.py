@@ -15,7 +15,6 @@ holds the space mark comes back with spaces there.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +26,7 @@ from pyspark.sql import functions as F
 from . import text as X
 
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}*[^{MARK}\n\t\r]+|{MARK}+|[\n\t\r]")
-LONG, CACHE = 256, 200_000
+LONG, CACHE = 256, 300_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -60,8 +58,13 @@ class Pieces:
         self.rank = np.append(by[self.merged], _NONE)
         self.merged = np.append(self.merged, -1)
         self.longest = max(map(len, normal), default=1)
-        keys = sorted((int(self._key(np.array([[ord(c) for c in p]]))[0]), i) for p, i in normal.items())
-        self.key, self.key_id = np.array([k for k, _ in keys], np.uint64), np.array([i for _, i in keys], np.int64)
+        of_length: dict[int, list[str]] = {}
+        for p in normal:
+            of_length.setdefault(len(p), []).append(p)
+        key = np.concatenate([self._key(np.array([[ord(c) for c in p] for p in own])) for own in of_length.values()])
+        key_id = np.array([normal[p] for own in of_length.values() for p in own], np.int64)
+        order = np.argsort(key)
+        self.key, self.key_id = key[order], key_id[order]
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -96,8 +99,8 @@ class Pieces:
             rank = self.rank[at]
             best = rank.argmin(axis=1) if at.shape[1] else np.zeros(len(row), np.int64)
             done = rank[np.arange(len(row)), best] == _NONE if at.shape[1] else np.ones(len(row), bool)
-            for i in np.flatnonzero(done).tolist():
-                out[row[i]] = sym[i]
+            for i, x in zip(row[done].tolist(), sym[done].astype(np.int32), strict=True):
+                out[i] = x
             row, sym, at, best = row[~done], sym[~done], at[~done], best[~done]
             if not len(row):
                 break
@@ -132,13 +135,13 @@ class Pieces:
             j = after[i]
             if live[i] != a or j < 0 or live[j] != b:
                 continue
-            live[i], live[j], after[i] = new, -1, after[j]
+            live[i], live[j], before[j], after[i] = new, None, -2, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             push(i)
             if before[i] >= 0:
                 push(before[i])
-        return np.array([x for x in live if x >= 0])
+        return np.array([x for i, x in enumerate(live) if i == 0 or before[i] != -2])
 
     def viterbi(self, codes: np.ndarray, sym: np.ndarray) -> list[np.ndarray]:
         """Best paths through rows of characters of one length, for unigram models."""
@@ -170,6 +173,7 @@ class Pieces:
         sym = np.where(self.code[at] == codes, self.char_id[at], -1 - codes)  # outside the vocabulary: below 0
         size = np.array([len(u) for u in units])
         first = np.r_[0, np.cumsum(size)][:-1]
+        odd = np.logical_or.reduceat((sym < 0) | (sym >= self.size), first)
         out: list = [None] * len(units)
         for n in np.unique(size).tolist():
             rows = np.flatnonzero(size == n)
@@ -184,7 +188,7 @@ class Pieces:
                 else:
                     got = self.merge(sym[where])
                 for r, x in zip(own.tolist(), got, strict=True):
-                    out[r] = x if len(x) and x.min() >= 0 and x.max() < self.size else self._bytes(x, units[r])
+                    out[r] = self._bytes(x, units[r]) if odd[r] else x
         return out
 
     def _bytes(self, ids: np.ndarray, unit: str) -> np.ndarray:
@@ -197,20 +201,37 @@ class Pieces:
             else:
                 own = [int(self.byte_id[b]) for b in chars[x].encode()]
                 out += own if min(own) >= 0 else [self.unknown]
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
 
     def encode(self, texts: list[str], cache: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids)."""
-        found = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = [u for u in dict.fromkeys(u for f in found for u in f) if u not in cache]
-        cache.update(zip(new, (x.astype(np.int32) for x in self.units(new)), strict=True) if new else ())
-        parts = [cache[u] for f in found for u in f]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        per = np.array([len(f) for f in found])
-        total = np.r_[0, np.cumsum(size)]
+        """(ids of all texts, offsets of each text's ids). Units: spaces and what follows them, or one of \\n, \\t and \\r."""
+        marked = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+        off = np.r_[0, np.cumsum([len(t) for t in marked])]
+        buf = np.frombuffer(b"".join(marked), np.uint8)
+        if not len(buf):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        space, cut = buf == 32, (buf == 9) | (buf == 10) | (buf == 13)
+        head = cut.copy()
+        head[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & cut[:-1])
+        head[off[:-1][off[:-1] < len(buf)]] = True
+        start = np.flatnonzero(head)
+        end = np.r_[start[1:], len(buf)]
+        _, first, of = np.unique(X.hash_extents(buf, start, end), return_index=True, return_inverse=True)
+        check = X.hash_extents(buf, start, end, 1)
+        if not (check[first][of] == check).all():  # two units of one fingerprint
+            first, of = np.arange(len(start)), np.arange(len(start))
+        raw = buf.tobytes()
+        units = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = [u for u in units if u not in cache]
+        cache.update(zip(new, self.units([u.decode().replace(" ", MARK) for u in new]), strict=True) if new else ())
+        parts = [cache[u] for u in units]
         if len(cache) > CACHE:
             cache.clear()
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32), total[np.r_[0, np.cumsum(per)]]
+        own = np.fromiter(map(len, parts), np.int64, len(parts))
+        pool, at = np.concatenate(parts), np.r_[0, np.cumsum(own)]
+        size = own[of]
+        total = np.r_[0, np.cumsum(size)]
+        return pool[np.repeat(at[of] - total[:-1], size) + np.arange(total[-1])], total[np.searchsorted(start, off)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The texts of ids[off[i]:off[i + 1]]; the mark that encoding puts first is taken off."""
