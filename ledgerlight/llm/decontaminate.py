@@ -1,9 +1,9 @@
 """Operator 7: benchmark decontamination with spaced seeds.
 
-A mask looks at eight of twelve consecutive words and ignores the others, so a seed still hits where ignored words
-were exchanged. Seeds of the test items (a stated set, taken in blocks of bounded size, each broadcast) meet
-the seeds of every text; around each hit item and text are aligned word by word and the match is extended
-to both sides as long as at least 80 % of the words agree.
+A mask looks at five of seven consecutive words and ignores the others, so a seed still hits where ignored words
+were exchanged; the two masks together hit every overlap of 13 words of which 11 agree. Seeds of the test items (a stated
+set, taken in blocks of bounded size, each broadcast) meet the seeds of every text; around each hit item and text are
+aligned word by word, and the longest stretch through the hit is taken of which 80 % of the words agree.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import text as X
 
 #: Fixed masks: the word positions that a seed looks at.
-MASKS = ((0, 1, 3, 4, 6, 8, 9, 11), (0, 2, 3, 5, 6, 7, 10, 11), (0, 1, 2, 5, 7, 8, 10, 11))
-SPAN, SHORTEST, LEAST, SHARE = 12, 5, 13, 0.8
+MASKS = ((0, 2, 4, 5, 6), (0, 1, 2, 3, 6))
+SHORTEST, LEAST = 5, 13
 BLOCK_CHARS = 8 << 20
 _R = X.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -38,8 +38,9 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...], tag: int) -> np.ndarray:
 
 
 def _masks(lengths: set[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """All masks, and for items of fewer than SPAN words the unbroken mask of their length."""
-    return [(i, m) for i, m in enumerate(MASKS)] + [(100 + n, tuple(range(n))) for n in sorted(lengths)]
+    """All masks, and for items of fewer than LEAST words the unbroken run that a fifth of exchanged words must leave."""
+    runs = {n: -(-(n - n // 5) // (n // 5 + 1)) for n in lengths}
+    return [(i, m) for i, m in enumerate(MASKS)] + [(100 + n, tuple(range(runs[n]))) for n in sorted(lengths)]
 
 
 class Seeds:
@@ -54,11 +55,11 @@ class Seeds:
             if len(h) >= SHORTEST:
                 self.items.append(i)
                 self.words.append(h)
-                short |= {len(h)} if len(h) < SPAN else set()
+                short |= {len(h)} if len(h) < LEAST else set()
         self.masks = _masks(short)
         for k, h in enumerate(self.words):
             for tag, m in self.masks:
-                if (tag < 100) == (len(h) >= SPAN) and (tag < 100 or tag == 100 + len(h)):
+                if tag == 100 + len(h) or (tag < 100 and len(h) >= LEAST):
                     s = _seeds(h, m, tag)
                     seeds.append(s)
                     item.append(np.full(len(s), k))
@@ -85,35 +86,43 @@ class Seeds:
 
 
 def _stretch(same: np.ndarray, at: int) -> tuple[int, int]:
-    """The stretch around *at* of most matches, where each mismatch costs four (80 % of agreement pay for it)."""
-    gain = np.where(same, 1, -4)
-    right = np.r_[0, np.cumsum(gain[at:])]
-    left = np.r_[0, np.cumsum(gain[:at][::-1])]
-    return at - int(left.argmax()), at + int(right.argmax())
+    """The longest stretch through the equal word *at* that begins and ends with equal words and of which 80 % agree."""
+    total = np.r_[0, np.cumsum(np.where(same, 1, -4))]  # each exchanged word is paid for by four equal ones
+    i, j = np.flatnonzero(same[: at + 1]), at + 1 + np.flatnonzero(same[at:])
+    ahead = -np.maximum.accumulate(total[j][::-1])[::-1]
+    to = j[np.maximum(np.searchsorted(ahead, -total[i], side="right") - 1, 0)]
+    k = int(np.where(total[to] >= total[i], to - i, 0).argmax())
+    return int(i[k]), int(to[k])
 
 
 def matches(seeds: Seeds, w: X.Words) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, aligned words, equal words): the best verified overlap of each row and item."""
     p, item, q = seeds.hits(w)
     row = np.searchsorted(w.first, p, side="right") - 1
-    keys, first = np.unique(np.column_stack([row, item, p - q]), axis=0, return_index=True) if len(p) else (np.zeros((0, 3), np.int64), [])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for (r, k, diag), f in zip(keys.tolist(), list(first), strict=True):
+    order = np.lexsort((p, p - q, item, row))
+    seen = (-1, -1, 0, 0)  # of the last stretch: row, item, diagonal and end
+    for f in order.tolist():
+        r, k, diag, place = int(row[f]), int(item[f]), int(p[f] - q[f]), int(p[f])
+        if seen[:3] == (r, k, diag) and place < seen[3]:
+            continue  # within the stretch of an earlier hit
         lo, hi = int(w.first[r]), int(w.first[r + 1])
         words = seeds.words[k]
         a, b = max(lo, diag), min(hi, diag + len(words))
-        i, j = _stretch(w.h[a:b] == words[a - diag : b - diag], int(p[f]) - a)
-        n, same = j - i, int((w.h[a + i : a + j] == words[a + i - diag : a + j - diag]).sum())
-        if n >= min(LEAST, len(words)) and same >= SHARE * n:
-            best[r, k] = max(best.get((r, k), (0, 0, 0)), (same, n, -(a + i - lo)))
+        same = w.h[a:b] == words[a - diag : b - diag]
+        i, j = _stretch(same, place - a) if len(words) >= LEAST else (0, b - a)
+        seen = (r, k, diag, a + j)
+        n, equal = j - i, int(same[i:j].sum())
+        if n >= min(LEAST, len(words)) and 5 * equal >= 4 * n:
+            best[r, k] = max(best.get((r, k), (0, 0, 0)), (equal, n, -(a + i - lo)))
     return [(r, k, -s, n, same) for (r, k), (same, n, s) in sorted(best.items())]
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_aligned, n_equal): texts that hold a passage of a test item.
 
-    Words are runs of A-Z (lower-cased), digits and non-ASCII characters. A passage counts from 13 aligned words (all of an
-    item that has 5 to 12) of which 80 % agree; items of fewer words never match. start counts words from 0. One row for each
+    Words are runs of A-Z (lower-cased), digits and non-ASCII characters. A passage counts from 13 aligned words, the first and last
+    equal (all words of an item that has 5 to 12), of which 80 % agree; items of fewer words never match. start counts words from 0. One row for each
     document and item, the longest overlap. Null or empty texts match nothing; rows without an id are left out; rows that share
     a doc_id each give rows; other columns are ignored; an empty table on either side gives no rows.
     """

@@ -49,6 +49,10 @@ class Pieces:
         extra = {c: len(pieces) + j for j, c in enumerate(c for c in chars if c not in normal)}
         self.char_id = np.array([normal.get(c, extra.get(c)) for c in chars], np.int64)
         self.size = len(pieces)
+        longer = [p for p in normal if len(p) > 1]
+        # a text may be cut at a character that stands in no longer piece, and before spaces if they only begin pieces
+        self.cuts = [b for b in b"\t\n\r" if not any(chr(b) in p for p in longer)]
+        self.at_spaces = not any(MARK in p.lstrip(MARK) for p in longer)
         of = normal | extra
         pairs = {(of[p[:i]] << 32 | of[p[i:]]): n for p, n in normal.items() for i in range(1, len(p)) if p[:i] in of and p[i:] in of}
         self.pair = np.array(sorted(pairs), np.int64)
@@ -204,15 +208,15 @@ class Pieces:
         return np.array(out, np.int32)
 
     def encode(self, texts: list[str], cache: dict) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids). Units: spaces and what follows them, or one of \\n, \\t and \\r."""
+        """(ids of all texts, offsets of each text's ids). Units: spaces and what follows them, or one of self.cuts."""
         marked = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
         off = np.r_[0, np.cumsum([len(t) for t in marked])]
         buf = np.frombuffer(b"".join(marked), np.uint8)
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        space, cut = buf == 32, (buf == 9) | (buf == 10) | (buf == 13)
+        space, cut = buf == 32, np.isin(buf, self.cuts)
         head = cut.copy()
-        head[1:] |= (space[1:] & ~space[:-1]) | (~space[1:] & cut[:-1])
+        head[1:] |= (space[1:] & ~space[:-1] & self.at_spaces) | (~space[1:] & cut[:-1])
         head[off[:-1][off[:-1] < len(buf)]] = True
         start = np.flatnonzero(head)
         end = np.r_[start[1:], len(buf)]

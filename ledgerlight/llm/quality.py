@@ -94,9 +94,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     want = chosen.select("doc_id", F.lit(1).alias("label")).union(drawn.select("doc_id", F.lit(0).alias("label")))
     rows = docs.join(F.broadcast(want), "doc_id").select("label", "text").mapInArrow(_features_of, "label int, x array<double>").toArrow()
     y = rows.column("label").to_numpy() if rows.num_rows else np.zeros(0)
-    x = np.array(rows.column("x").to_pylist(), float).reshape(len(y), -1)
     if not (y == 1).any() or not (y == 0).any():
         return {"constant": prior}
+    x = np.array(rows.column("x").to_pylist(), float)
     order = np.lexsort((*x.T[:4], y))  # whichever order the rows came in, the same sums
     x, y = x[order], y[order]
     return fit(x[y == 1], x[y == 0], prior)
