@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import measures, records, series  # noqa: F401  they register themselves
+from .model import REGISTRY
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
