@@ -34,6 +34,7 @@ from . import text as X
 from .scratch import Scratch, partitions
 
 GRAM = 8
+RANGE_BYTES = 256 << 10
 _DEALT = "kind int, key int, slice long, data binary"
 _ROWS = {"kind": pa.int32(), "key": pa.int32(), "slice": pa.int64(), "data": pa.binary()}
 
@@ -49,7 +50,8 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(batch)
-        yield from _rows([(0, 0, (part << 32) | seq, sink.getvalue().to_pybytes())]).to_batches()
+        _, off = X.text_arrays(_column(batch, "text"))
+        yield from _rows([(0, int(off[-1]), (part << 32) | seq, sink.getvalue().to_pybytes())]).to_batches()
 
 
 def _unpack(raw: bytes) -> pa.RecordBatch:
@@ -201,7 +203,6 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "substring")
     n = partitions(spark)
-    ranges = min(8 * n, 65536)
     new = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     own = documents.where("doc_id is not null").drop(*new)
     schema = own.limit(0).toArrow().schema
@@ -222,6 +223,8 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
 
     ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     packs = table(ordered.mapInArrow(_packs, _DEALT), "slice", "packs")
+    # a slice gives a row for each range, so ranges follow the text and not only the partitions
+    ranges = min(8 * n, 65536, (packs.agg(F.sum("key")).first()[0] or 0) // RANGE_BYTES + 1)
     repeated = packs.mapInArrow(partial(_deal_anchors, size=size, ranges=ranges), _DEALT).groupBy("key").applyInArrow(_repeated, _DEALT)
     repeated = table(repeated, "slice", "anchors")
 
