@@ -148,4 +148,4 @@ def import_classification(spark, d):
 
 @query("SELECT user_id, CAST(max(ts) AS TIMESTAMP) AS last_seen, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, ts FROM events) GROUP BY user_id")
 def dedup_stream(spark, d):
-    return ingest.last_seen(spark, f"{d}/events.parquet")
+    return ingest.last_seen(spark, d, "events.parquet")

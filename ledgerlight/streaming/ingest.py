@@ -33,10 +33,10 @@ def drain(stream: DataFrame, to: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(to)
 
 
-def last_seen(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, last_seen, n) from the deduplicated stream of the events at *path*."""
-    kind = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(kind).parquet(path).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+def last_seen(spark: SparkSession, folder: str, files: str) -> DataFrame:
+    """(user_id, last_seen, n) from the deduplicated stream of the event files in *folder* whose names match *files*."""
+    kind = spark.read.parquet(f"{folder}/{files}").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", files).parquet(folder).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     once = deduplicated(stream, ["user_id", "event_type", "ts"], "ts")
     table = drain(once, f"{shared_dir(spark)}/events-{uuid.uuid4().hex[:12]}")
     return table.groupBy("user_id").agg(F.max("ts").cast("timestamp_ntz").alias("last_seen"), F.count("*").alias("n"))
