@@ -2,7 +2,7 @@
 
 A file is a Parquet folder of blobs, so Spark's commit protocol guards it and any store that Spark
 reads can hold it. A blob has the concatenated ids of some consecutive documents, in 2 or 4 bytes each, and two Elias-Fano
-sequences: doc_ids and boundaries. select(i) finds one boundary from samples without unpacking the others. Blobs of a shard
+sequences: doc_ids and boundaries. select(i) finds one boundary without unpacking the others. Blobs of a shard
 (a range of doc_id) know how many ids of the shard stand before them; a total for each shard gives global offsets.
 """
 
@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import text as X
 from .scratch import Scratch, partitions
 
-MAGIC, SAMPLE = b"LLT1", 256
+MAGIC, CACHE = b"LLT1", 1_000_000
 _BLOB = "shard int, seq int, before long, n_docs long, n_tokens long, data binary"
 
 
@@ -118,13 +119,13 @@ def encode_slice(batch: pa.RecordBatch, tokenizer, end_id: int, cache: dict) ->
     fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
-        cache.update((u, np.array(e.ids, np.uint32)) for u, e in zip(part, fast([u.decode() for u in part], add_special_tokens=False), strict=True))
+        cache.update((u, e.ids) for u, e in zip(part, fast([u.decode() for u in part], add_special_tokens=False), strict=True))
     parts = [cache[u] for u in own]
-    if len(cache) > 300_000:
+    if len(cache) > CACHE:
         cache.clear()
-    parts.append(np.array([end_id], np.uint32))
+    parts.append([end_id])
     size = np.fromiter(map(len, parts), np.int64, len(parts))
-    pool, at = np.concatenate(parts), np.r_[0, np.cumsum(size)]
+    pool, at = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.r_[0, np.cumsum(size)]
     unit = np.insert(of, w.first[1:], len(parts) - 1)  # the end id after the words of each row
     n = size[unit]
     total = np.r_[0, np.cumsum(n)]
