@@ -8,6 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The first words that a reason may have.
+REASONS = (
+    "missing_data", "period_mismatch", "missing_prior_period", "concept_not_mapped", "denominator_zero", "negative_denominator", "jurisdiction_rate", "peer_set_too_small", "peer_set_not_confirmed", "no_sec_filings",
+    "manual_import_required", "manual_unverified", "format_unsupported", "no_text_layer", "unknown_issuer", "source_unreachable", "currency_mismatch", "manual_near_miss", "stale_data", "adr_ratio_unknown", "non_finite", "stale_input", "not_applicable",
+)
+
+
+def is_known(reason: Column) -> Column:
+    """True for null and for a reason whose first word is of the vocabulary."""
+    return reason.isNull() | F.split(reason, ":")[0].isin(*REASONS)
+
 
 def _odd(x: Column) -> Column:
     return F.isnan(x) | (F.abs(x) == float("inf"))

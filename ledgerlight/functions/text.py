@@ -45,3 +45,25 @@ def numbers(text: Column) -> Column:
 def scrub(url: Column) -> Column:
     """Secrets in query strings are blanked."""
     return F.regexp_replace(url, r"(?i)((?:api_?key|token|secret|ref)=)[^&#]*", "$1***")
+
+
+def merged_thousands(text: Column) -> Column:
+    """'1 234' and '1,234' as '1234': the separator of a group of three digits goes."""
+    return F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"(?<=\d)[, ](?=\d{3}(?:\D|$))", "")
+
+
+def plain_number(text: Column) -> Column:
+    """Sign, digits and one decimal point style of a text that is a number, else null; '42' and '42.0' stay apart."""
+    t = F.trim(F.replace(text, F.lit("\u00a0"), F.lit(" ")))
+    sign, body = F.when(t.startswith("-"), "-").otherwise(""), F.trim(F.regexp_replace(t, r"^[+-]", ""))
+    n = F.replace(merged_thousands(body), F.lit(","), F.lit("."))
+    return F.when(n.rlike(r"^\d+(?:[.,]\d+)*$"), F.concat(sign, n))
+
+
+def quote_status(value: Column, quote: Column, page: Column) -> Column:
+    """verified: the quote stands on the page and its numbers have the value; near_miss: only its digits do; else failed."""
+    here = (quote != "") & page.contains(quote)
+    found = F.transform(F.regexp_extract_all(merged_thousands(quote), F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(".")))
+    digits = lambda t: F.concat(F.regexp_extract(t, r"^[\s\u00a0]*([+-]?)", 1), F.regexp_replace(t, r"[^0-9]", ""))
+    near = digits(value).rlike("[0-9]") & digits(quote).contains(digits(value))
+    return F.when(~F.coalesce(here, F.lit(False)), "failed").when(F.coalesce(F.array_contains(found, plain_number(value)), F.lit(False)), "verified").when(near, "near_miss").otherwise("failed")

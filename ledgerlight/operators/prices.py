@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import picks
+
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -44,3 +46,34 @@ def state(prices: DataFrame, ids: DataFrame, as_of: str, gap: int = 10, stale: i
     out = ids.join(last, "id", "left").join(worst, "id", "left")
     s = F.when(F.col("last").isNull(), "no_history").when(F.col("has_gap"), "gap").when(F.datediff(F.lit(as_of).cast("date"), "last") > stale, "stale").otherwise("complete")
     return out.select("id", s.alias("state"))
+
+
+def year_change(prices: DataFrame, days: int = 365, most: int = 7) -> DataFrame:
+    """(id, date, close, change): the last price against the one *days* earlier, at most *most* days older still.
+
+    prices (id, date, close, adjusted): adjusted prices count if both ends have one, else closes.
+    """
+    last = prices.groupBy("id").agg(F.max_by(F.struct("date", "close", "adjusted"), "date").alias("l")).select("id", F.col("l.date").alias("date"), F.col("l.close").alias("close"), F.col("l.adjusted").alias("adj"))
+    then = picks.as_of(last.withColumn("target", F.date_sub("date", days)), prices.select("id", F.col("date").alias("day"), F.col("close").alias("close0"), F.col("adjusted").alias("adj0")), "id", "target", "day", ["close0", "adj0"], most)
+    both = F.coalesce(F.col("adj") * F.col("adj0"), F.lit(0.0)) != 0
+    change = F.when(both, F.try_divide("adj", "adj0")).otherwise(F.when(F.col("close") != 0, F.try_divide("close", "close0"))) - 1
+    return then.select("id", "date", "close", change.alias("change"))
+
+
+def dividends_per_share(instruments: DataFrame, filed: DataFrame, actions: DataFrame, windows: DataFrame, as_of: str, stale: int = 550) -> DataFrame:
+    """(id, dps, end, currency, source, reason): the filed sum, else dividends of the 365 days before, else the window of filings.
+
+    instruments (id, currency of its price), filed and windows (id, value, end, currency), actions (id, date, kind, amount, currency).
+    A dividend in another currency than the price rules the actions out; a window that ended over *stale* days ago is refused.
+    """
+    at = F.lit(as_of).cast("date")
+    a = actions.where(F.col("kind") == "dividend").where((F.col("date") > F.date_sub(at, 365)) & (F.col("date") <= at) & F.col("amount").isNotNull())
+    a = a.select("id", "amount", F.col("currency").alias("c")).join(instruments.select("id", F.col("currency").alias("p")), "id")
+    a = a.groupBy("id").agg(F.sum("amount").alias("value"), F.count_if(F.col("c") != F.col("p")).alias("odd"), F.first("p").alias("currency")).where("odd = 0")
+    pack = lambda f, name: f.select("id", F.struct(F.col("value").cast("double").alias("value"), "end", "currency").alias(name))
+    x = instruments.select("id").join(pack(filed, "f"), "id", "left").join(pack(a.withColumn("end", at), "a"), "id", "left").join(pack(windows, "w"), "id", "left")
+    old = F.datediff(at, "w.end") > stale
+    best = F.coalesce("f", "a", F.when(~old, F.col("w")))
+    source = F.when(F.col("f").isNotNull(), "filed").when(F.col("a").isNotNull(), "actions").when(F.col("w").isNotNull() & ~old, "window")
+    why = F.when(source.isNull(), F.when(old, F.concat(F.lit("stale_data: dps: last "), F.col("w.end").cast("string"))).otherwise("missing_data: dps_ttm"))
+    return x.select("id", best["value"].alias("dps"), best["end"].alias("end"), best["currency"].alias("currency"), source.alias("source"), why.alias("reason"))

@@ -55,11 +55,11 @@ def _problem(section: Column, concept: Column, raw: Column, end: Column) -> Colu
     return F.coalesce(why, F.when(number.isNotNull() & finite(raw).isNull(), "non_finite"))
 
 
-def _facts(rows: DataFrame, **cols: Column) -> DataFrame:
+def _facts(rows: DataFrame, *more: str, **cols: Column) -> DataFrame:
     none = F.lit(None).cast("string")
     raw = cols["raw_value"]
     all_cols = {"filed": none, "accn": none, "value": finite(raw), "currency": currency_of(cols["unit"])} | cols
-    return rows.select("source_ref", "issuer_id", *[all_cols[c].alias(c) for c in FACT[2:]])
+    return rows.select("source_ref", "issuer_id", *[all_cols[c].alias(c) for c in FACT[2:]], *more)
 
 
 def report_facts(documents: DataFrame) -> DataFrame:
@@ -106,14 +106,15 @@ def company_facts(documents: DataFrame) -> DataFrame:
     own = F.coalesce(F.when(accn.isNotNull(), F.col("own")), end)
     pointer = F.concat_ws("/", F.lit("/facts"), "taxonomy", "tag", F.lit("units"), "unit", F.col("i").cast("string"), F.lit("val"))
     read = _facts(
-        x.withColumn("doc_end", own), concept=F.concat_ws(":", "taxonomy", "tag"), raw_value=F.col("e.val"), unit=F.col("unit"), period_start=filled(F.col("e.start"), end), period_end=end,
+        x.withColumn("doc_end", own), "doc_end", concept=F.concat_ws(":", "taxonomy", "tag"), raw_value=F.col("e.val"), unit=F.col("unit"), period_start=filled(F.col("e.start"), end), period_end=end,
         period_type=F.when(filled(F.col("e.start")).isNotNull(), "duration").otherwise("instant"), basis=basis(F.col("doc_end"), end), filed=filled(F.col("e.filed")), accn=accn,
         locator=pointer, problem=_problem(F.col("e"), F.lit("tag"), F.col("e.val"), end),
     )
     key = Window.partitionBy("source_ref", "concept", "unit", "period_start", "period_end", "basis", F.col("problem").isNull())
-    rank = F.struct(F.coalesce("filed", F.lit("")).alias("filed"), F.coalesce("accn", F.lit("")).alias("accn"), F.col("locator").alias("locator"))
+    other = (F.col("basis") == "as_reported") & (F.col("doc_end") != F.col("period_end"))
+    rank = F.struct(other.alias("other"), F.coalesce("filed", F.lit("")).alias("filed"), F.coalesce("accn", F.lit("")).alias("accn"), F.col("locator").alias("locator"))
     living = F.when(F.col("basis") == "restated", F.max(rank).over(key)).otherwise(F.min(rank).over(key))
-    return read.withColumn("living", living).withColumn("superseded_by", F.when(F.col("problem").isNull() & (F.col("living.locator") != F.col("locator")), F.col("living.locator"))).drop("living")
+    return read.withColumn("living", living).withColumn("superseded_by", F.when(F.col("problem").isNull() & (F.col("living.locator") != F.col("locator")), F.col("living.locator"))).drop("living", "doc_end")
 
 
 #: Kind of document -> reader; kinds without one are left over as `unknown_kind`.

@@ -23,6 +23,11 @@ def _day(stamp: Column, offset: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((stamp + F.coalesce(offset, F.lit(0))) / 86400).cast("int"))
 
 
+def _zip(**arrays: tuple[Column, str]) -> Column:
+    """Parallel arrays as one of structs; an array that is missing gives nulls."""
+    return F.arrays_zip(*[F.coalesce(a, F.array().cast(f"array<{kind}>")).alias(n) for n, (a, kind) in arrays.items()])
+
+
 def _chart(payloads: DataFrame) -> DataFrame:
     return payloads.select("id", F.from_json("payload", _CHART)["chart"]["result"].alias("r")).select("id", F.try_element_at("r", F.lit(1)).alias("r"))
 
@@ -30,9 +35,8 @@ def _chart(payloads: DataFrame) -> DataFrame:
 def chart_prices(payloads: DataFrame) -> DataFrame:
     """(id, date, close, adjusted, volume, currency) of parallel arrays; of one date the last row counts."""
     r = _chart(payloads)
-    quote = F.try_element_at("r.indicators.quote", F.lit(1))
-    zipped = F.arrays_zip(F.col("r.timestamp").alias("ts"), quote["close"].alias("close"), F.try_element_at("r.indicators.adjclose", F.lit(1))["adjclose"].alias("adj"), quote["volume"].alias("volume"))
-    zipped = F.when(F.col("r.indicators.adjclose").isNull(), F.arrays_zip(F.col("r.timestamp").alias("ts"), quote["close"].alias("close"), F.array().cast("array<double>").alias("adj"), quote["volume"].alias("volume"))).otherwise(zipped)
+    quote, adjusted = (F.try_element_at(f"r.indicators.{n}", F.lit(1)) for n in ("quote", "adjclose"))
+    zipped = _zip(ts=(F.col("r.timestamp"), "bigint"), close=(quote["close"], "double"), adj=(adjusted["adjclose"], "double"), volume=(quote["volume"], "bigint"))
     x = r.select("id", "r.meta", F.posexplode(zipped).alias("i", "v")).where("v.ts is not null and v.close is not null")
     row = F.struct(F.col("v.close").alias("close"), F.col("v.adj").alias("adjusted"), F.col("v.volume").alias("volume"), F.col("meta.currency").alias("currency"))
     g = x.groupBy("id", _day(F.col("v.ts"), F.col("meta.gmtoffset")).alias("date")).agg(F.max_by(row, "i").alias("row"))
@@ -85,7 +89,7 @@ def skipped(actions: DataFrame) -> DataFrame:
 def filing_index(payloads: DataFrame, cursors: DataFrame) -> DataFrame:
     """(id, form, filed, period, accn, document, cursor) of filings after each id's cursor (cursors: id, cursor); cursor is the new one."""
     r = payloads.select("id", F.from_json("payload", _INDEX)["filings"]["recent"].alias("r"))
-    rows = F.arrays_zip(*[F.col(f"r.{c}").alias(c) for c in ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")])
+    rows = _zip(**{c: (F.col(f"r.{c}"), "string") for c in ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")})
     x = r.select("id", F.explode(rows).alias("f")).join(cursors.select("id", F.col("cursor").alias("old")), "id", "left")
     x = x.where(filled(F.col("old")).isNull() | (F.col("f.filingDate") > F.col("old")))
     new = F.max("f.filingDate").over(Window.partitionBy("id"))
