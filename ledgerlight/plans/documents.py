@@ -150,7 +150,7 @@ def watchlist_version(spark, d):
     return versions.next_version(now.unionByName(every).distinct(), o.where("o_orderstatus = 'P'"), every)
 
 
-@query("SELECT user_id, event_type, year(ts) AS year, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+@query("SELECT user_id, event_type, CAST(year(ts) AS INTEGER) AS year, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def history_by_year(spark, d):
     e = read(spark, d, "events")
     day = F.to_date("ts")
