@@ -1,9 +1,10 @@
 """Operator 7: benchmark decontamination with spaced seeds.
 
 A mask looks at five of seven consecutive words and ignores the others, so a seed still hits where ignored words
-were exchanged; the two masks together hit every overlap of 13 words of which 11 agree. Seeds of the test items (a stated
-set, taken in blocks of bounded size, each broadcast) meet the seeds of every text; around each hit item and text are
-aligned word by word, and the longest stretch through the hit is taken of which 80 % of the words agree.
+were exchanged; with a third mask of six equal words in a row they together hit every overlap of 13 or more words of
+which 80 % agree. Seeds of the test items (a stated set, taken in blocks of bounded size, each broadcast) meet the seeds of
+every text; around the hits item and text are aligned word by word, and the longest stretch through each hit is taken of
+which 80 % of the words agree.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import text as X
 
 #: Fixed masks: the word positions that a seed looks at.
-MASKS = ((0, 2, 4, 5, 6), (0, 1, 2, 3, 6))
+MASKS = ((0, 2, 4, 5, 6), (0, 1, 2, 3, 6), (0, 1, 2, 3, 4, 5))
 SHORTEST, LEAST = 5, 13
 BLOCK_CHARS = 8 << 20
 _R = X.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -85,14 +86,22 @@ class Seeds:
         return tuple(np.concatenate(x) for x in zip(*out[1], strict=True)) if out[1] else tuple(out[0])
 
 
-def _stretch(same: np.ndarray, at: int) -> tuple[int, int]:
-    """The longest stretch through the equal word *at* that begins and ends with equal words and of which 80 % agree."""
+def _stretches(same: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+    """For the equal words *at*: the longest stretch through each that begins and ends with equal words, has LEAST words and of which 80 % agree."""
     total = np.r_[0, np.cumsum(np.where(same, 1, -4))]  # each exchanged word is paid for by four equal ones
-    i, j = np.flatnonzero(same[: at + 1]), at + 1 + np.flatnonzero(same[at:])
+    i = np.flatnonzero(same)
+    j, out = i + 1, []
     ahead = -np.maximum.accumulate(total[j][::-1])[::-1]
-    to = j[np.maximum(np.searchsorted(ahead, -total[i], side="right") - 1, 0)]
-    k = int(np.where(total[to] >= total[i], to - i, 0).argmax())
-    return int(i[k]), int(to[k])
+    to = j[np.searchsorted(ahead, -total[i], side="right") - 1]
+    i, to = i[to - i >= LEAST], to[to - i >= LEAST]
+    while True:
+        holds = np.searchsorted(at, to) > np.searchsorted(at, i)
+        i, to = i[holds], to[holds]
+        if not len(i):
+            return out
+        k = (to - i).argmax()
+        out.append((int(i[k]), int(to[k])))
+        at = at[(at < i[k]) | (at >= to[k])]
 
 
 def matches(seeds: Seeds, w: X.Words) -> list[tuple[int, int, int, int, int]]:
@@ -101,20 +110,18 @@ def matches(seeds: Seeds, w: X.Words) -> list[tuple[int, int, int, int, int]]:
     row = np.searchsorted(w.first, p, side="right") - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     order = np.lexsort((p, p - q, item, row))
-    seen = (-1, -1, 0, 0)  # of the last stretch: row, item, diagonal and end
-    for f in order.tolist():
-        r, k, diag, place = int(row[f]), int(item[f]), int(p[f] - q[f]), int(p[f])
-        if seen[:3] == (r, k, diag) and place < seen[3]:
-            continue  # within the stretch of an earlier hit
+    p, item, row, on = p[order], item[order], row[order], (p - q)[order]
+    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (on[1:] != on[:-1])][: len(p)])
+    for f, t in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=False):  # one row, item and diagonal
+        r, k, diag = int(row[f]), int(item[f]), int(on[f])
         lo, hi = int(w.first[r]), int(w.first[r + 1])
         words = seeds.words[k]
         a, b = max(lo, diag), min(hi, diag + len(words))
         same = w.h[a:b] == words[a - diag : b - diag]
-        i, j = _stretch(same, place - a) if len(words) >= LEAST else (0, b - a)
-        seen = (r, k, diag, a + j)
-        n, equal = j - i, int(same[i:j].sum())
-        if n >= min(LEAST, len(words)) and 5 * equal >= 4 * n:
-            best[r, k] = max(best.get((r, k), (0, 0, 0)), (equal, n, -(a + i - lo)))
+        for i, j in _stretches(same, p[f:t] - a) if len(words) >= LEAST else [(0, b - a)]:
+            n, equal = j - i, int(same[i:j].sum())
+            if n >= min(LEAST, len(words)) and 5 * equal >= 4 * n:
+                best[r, k] = max(best.get((r, k), (0, 0, 0)), (equal, n, -(a + i - lo)))
     return [(r, k, -s, n, same) for (r, k), (same, n, s) in sorted(best.items())]
 
 

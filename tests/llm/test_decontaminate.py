@@ -54,3 +54,17 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g h"), (None, "a b c d e f g h")], "doc_id long, text string")
     assert contamination(docs, items).count() == contamination(some, items).count() == contamination(docs, some.withColumnRenamed("doc_id", "item_id")).count() == 0
     assert [tuple(r) for r in contamination(some, some.withColumnRenamed("doc_id", "item_id")).collect()] == [(1, 1, 0, 8, 8)]
+
+
+def test_every_passage_is_found(spark):
+    """Each pattern of exchanged words (1 = equal) that counts, and at random a fifth of the words exchanged, each found as a stretch that is the longest through some word."""
+    rng = random.Random(11)
+    patterns = ["10111110110110111", "111111000111111", "1" * 13 + "0000" * 4 + "1" * 40] + ["".join(rng.choices("01", (1, 4), k=rng.choice([13, 17, 20, 60]))) for _ in range(2000)]
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(len(p)))) for n, p in enumerate(patterns)]
+    docs = [(n, " ".join(f"q{n}x{k}" if c == "1" else "other" for k, c in enumerate(p))) for n, p in enumerate(patterns)]
+    got = {r.doc_id: (r.item_id, r.n_aligned, r.n_equal) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for n, p in enumerate(patterns):
+        runs = [(i, j) for i in range(len(p)) for j in range(i + LEAST, len(p) + 1) if p[i] == p[j - 1] == "1" and 5 * p[i:j].count("1") >= 4 * (j - i)]
+        through = [max((j - i, -i) for i, j in runs if i <= at < j) for at in {x for i, j in runs for x in range(i, j)}]
+        whole = {(n, m, p[-i : m - i].count("1")) for m, i in through}
+        assert got.get(n) in (whole or {None}), p
