@@ -1,6 +1,7 @@
 """Operator 2: license scans with ordered signature rules, in DataFrame functions only.
 
-Every rule has a keyword, a priority, a label and a regex. A text that has no gate word costs one search. In the
+Every rule has a keyword that all its matches contain, a priority, a label and a regex. A text that has no gate word costs one
+search; every match of a rule or base phrase holds a gate word, whatever stands between the words. In the
 others each rule whose keyword is there gives the places of all its matches; a match that lies within
 one of better priority (or of the same and longer) is suppressed. All of it is one narrow projection: no shuffle.
 """
@@ -29,7 +30,9 @@ NAMES = [
     ("apache-1.1", "apache", r"apache(?: software)? license(?: version| v)? ?1 1"),
     ("apache-1.0", "apache", r"apache(?: software)? license(?: version| v)? ?1 0"),
     ("mit-0", "mit", r"mit (?:0|no attribution)(?: license)?"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11)(?: mit)? license"),
+    ("mit", "mit", r"(?:the )?mit(?: mit)? license"),
+    ("mit", "expat", r"(?:the )?expat(?: mit)? license"),
+    ("mit", "x11", r"(?:the )?x11(?: mit)? license"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd)(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd)(?: license)?"),
@@ -40,7 +43,8 @@ NAMES = [
     ("mpl", "mozilla", r"mozilla public license"),
     ("epl-2.0", "eclipse", r"eclipse public license(?: epl)?(?: version| v)? ?2(?: 0)?"),
     ("epl-1.0", "eclipse", r"eclipse public license(?: epl)?(?: version| v)? ?1(?: 0)?"),
-    ("cddl-1.0", "cddl", r"(?:common development and distribution license|cddl)(?: version| v)? ?1(?: 0)?"),
+    ("cddl-1.0", "development", r"common development and distribution license(?: version| v)? ?1(?: 0)?"),
+    ("cddl-1.0", "cddl", r"cddl(?: version| v)? ?1(?: 0)?"),
     ("cpl-1.0", "common", r"common public license(?: version| v)? ?1(?: 0)?"),
     ("eupl-1.2", "european", r"european union public license(?: eupl)?(?: version| v)? ?1 2"),
     ("isc", "isc", r"isc license"),
@@ -56,7 +60,8 @@ NAMES = [
     ("ofl-1.1", "sil", r"sil open font license(?: version| v)? ?1 1"),
     ("ms-pl", "microsoft", r"microsoft public license"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? license"),
-    ("odbl-1.0", "odbl", r"(?:open database license|odbl)(?: version| v)? ?1?(?: 0)?"),
+    ("odbl-1.0", "database", r"open database license(?: version| v)? ?1?(?: 0)?"),
+    ("odbl-1.0", "odbl", r"odbl(?: version| v)? ?1?(?: 0)?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc-by-nc-nd-4.0", "cc", r"cc by nc nd(?: 4 0)?"),
     ("cc-by-nc-sa-4.0", "cc", r"cc by nc sa(?: 4 0)?"),
@@ -78,7 +83,8 @@ FRAMES = [
     (r"spdx license identifier ", "", 1.0),
     ("", "", 0.8),
 ]
-GATE = r"(?i)licen[cs]e|spdx|public domain|rights reserved|gpl|creative commons|cc.by|cc0|bsd|wtfpl|cddl|odbl"
+_GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"  # all that is no word
+GATE = r"(?i)" + "licen[cs]e|spdx|gpl|cc0|bsd|wtfpl|cddl|odbl|public domain|rights reserved|creative commons|cc by|mit (?:0|no)".replace(" ", _GAP)
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+from re import _parser
 
 import brute
 
@@ -48,3 +50,44 @@ def test_no_python_in_the_plan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def ungated(text):
+    """Labels and score by all rules, without gate and keywords."""
+    t, w = f" {' '.join(brute.plain(text))} ", brute.plain(text)
+    base = {lab for p, lab in BASE.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))}
+    found = [(p, lab, c, m.start(), m.end()) for p, lab, _, rx, c in rules() for m in re.finditer(rx, t)]
+    kept = [d for d in found if not any(o[0] <= d[0] and o[3] <= d[3] and o[4] >= d[4] and (o[4] - o[3] > d[4] - d[3] or o[0] < d[0]) for o in found)]
+    return ",".join(sorted(base | {d[1] for d in kept})), max([d[2] for d in kept] + [0.9] * bool(base), default=0.0)
+
+
+def sample(rng, tree):
+    """A text that a regex matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, what = rng.choice(arg)
+            out += chr(what if str(kind) == "LITERAL" else rng.randint(*what))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif op == "SUBPATTERN":
+            out += sample(rng, arg[3])
+        elif op == "BRANCH":
+            out += sample(rng, rng.choice(arg[1]))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_gate_and_keywords_lose_nothing(spark):
+    rng = random.Random(3)
+    texts = ["public\ndomain", "in the public\ndomain", "All rights\nreserved", "Creative\nCommons Attribution 4.0", "released under MIT-0", "expat license", "the X11 license", "Common Development and Distribution License 1.0", "open database license", "cc  by-sa"]
+    for _, _, _, rx, _ in rules():
+        texts += [re.sub(" ", lambda _: rng.choice([" ", "\n", " - ", "\n * ", "\t"]), f"x {sample(rng, _parser.parse(rx))} y") for _ in range(4)]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: (r.labels, r.score) for r in got} == {t: ungated(t) for t in texts}
+    assert all(ungated(t)[0] for t in texts[1:])
+    assert all(key in f" {' '.join(brute.plain(m))} " for _, _, key, rx, _ in rules() for m in [sample(rng, _parser.parse(rx)) for _ in range(20)])
