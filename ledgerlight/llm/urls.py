@@ -2,7 +2,8 @@
 
 A rule allows or blocks a host, its subdomains and a path. URLs that a rule fits are the labelled ones; of
 a bounded sample of them (max_rows, those of least hash) trees learn from lexical features: lengths, depth,
-digit ratio, entropy, parameter counts and the block rates of suffixes. Other URLs get the trees' verdict.
+digit ratio, entropy, parameter counts and the block rates of suffixes, which are counted over all labelled URLs.
+Other URLs get the trees' verdict.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 #: Fixed rules: verdict and host with path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MAX_ROWS, SUFFIXES = 5000, 1000
+#: Rows that the trees learn from; rates up to SMALL rows are broadcast, more are joined by a shuffle.
+MAX_ROWS, SMALL = 5000, 20_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -36,20 +38,35 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def suffixes(host: str, path: str) -> tuple[str, str]:
-    """Last label of the host, and it with the first part of the path."""
-    top = host.rpartition(".")[2]
-    return top, f"{top}/{path.split('/')[1] if path.count('/') else ''}"
+def suffixes(rows: DataFrame) -> DataFrame:
+    """The rows with top, the last label of the host, and first, it with the first part of the path."""
+    top = F.substring_index("host", ".", -1)
+    return rows.withColumn("top", top).withColumn("first", F.concat(top, F.lit("/"), F.coalesce(F.get(F.split("path", "/", 3), F.lit(1)), F.lit(""))))
 
 
-def lexical(url: str, host: str, path: str, rates: dict[str, float], prior: float) -> list[float]:
+def with_rates(rows: DataFrame, labelled: DataFrame, prior: float):
+    """A function that adds top_rate and first_rate to rows with top and first: the block rates of all labelled URLs, drawn to the prior."""
+    tables = {}
+    for key in ("top", "first"):
+        rates = labelled.groupBy(key).agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias(f"{key}_rate"))
+        few = rates.limit(SMALL + 1).collect()
+        tables[key] = F.broadcast(rows.sparkSession.createDataFrame(few, rates.schema)) if len(few) <= SMALL else rates
+
+    def add(to: DataFrame) -> DataFrame:
+        to = to.join(tables["top"], "top", "left").join(tables["first"], "first", "left")
+        to = to.withColumn("top_rate", F.coalesce("top_rate", F.lit(prior)))
+        return to.withColumn("first_rate", F.coalesce("first_rate", "top_rate"))
+
+    return add
+
+
+def lexical(url: str, host: str, path: str, top_rate: float, first_rate: float) -> list[float]:
     n = max(len(url), 1)
     share = np.unique(np.frombuffer(url.encode(), np.uint8), return_counts=True)[1] / max(len(url.encode()), 1)
     query = url.partition("#")[0].partition("?")[2]
     digits = sum(c.isdigit() for c in url)
-    top, first = suffixes(host, path)
     values = [len(url), len(host), len(path), path.count("/"), host.count("."), digits, digits / n, float(-(share * np.log2(share)).sum()), len([p for p in query.split("&") if p]), len(query),
-            url.count("-"), float(url.startswith("https")), float("#" in url), float(path.endswith("/")), float("." in path.rpartition("/")[2]), rates.get(top, prior), rates.get(first, rates.get(top, prior))]
+            url.count("-"), float(url.startswith("https")), float("#" in url), float(path.endswith("/")), float("." in path.rpartition("/")[2]), top_rate, first_rate]
     return [float(v) for v in values]
 
 
@@ -63,17 +80,21 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> Dat
     host, path = host_and_path(F.col("url"))
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    sample = rows.where("r is not null").select("url", "host", "path", (F.col("r.verdict") == "block").cast("int").alias("label"))
-    sample = sample.distinct().orderBy(F.xxhash64("url"), "url", "host").limit(max_rows).toPandas()
+    labelled = suffixes(rows.where("r is not null").select("url", "host", "path", (F.col("r.verdict") == "block").cast("int").alias("label")).distinct())
     good = rows.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "url")
-    if sample.label.nunique() < 2:
-        verdict = "block" if len(sample) and sample.label.iloc[0] else "allow"
+    n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if blocked in (0, n):
+        verdict = "block" if blocked else "allow"
         return good.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(verdict)).alias("verdict"))
-    prior = float(sample.label.mean())
-    keys = pd.concat([pd.DataFrame({"key": k, "label": sample.label}) for k in zip(*[suffixes(h, p) for h, p in zip(sample.host, sample.path, strict=True)], strict=True)])
-    stats = keys.groupby("key").label.agg(["sum", "count"]).sort_values(["count", "sum"], ascending=False).head(SUFFIXES)
-    rates = ((stats["sum"] + 4 * prior) / (stats["count"] + 4)).to_dict()
-    train = pd.DataFrame({"label": sample.label.astype(float), "x": [lexical(u, h, p, rates, prior) for u, h, p in zip(sample.url, sample.host, sample.path, strict=True)]})
+    prior = blocked / n
+    rated = with_rates(rows, labelled, prior)
+    least = lambda of, most: rated(of.orderBy(F.xxhash64("url"), "url", "host").limit(most)).toPandas()
+    sample = least(labelled, max_rows)
+    if sample.label.nunique() == 1:  # the other verdict is rare
+        sample = pd.concat([sample, least(labelled.where(F.col("label") != int(sample.label.iloc[0])), max_rows)])
+    sample = sample.sort_values(["url", "host"], ignore_index=True)
+    columns = ["url", "host", "path", "top_rate", "first_rate"]
+    train = pd.DataFrame({"label": sample.label.astype(float), "x": [lexical(*r) for r in sample[columns].itertuples(index=False)]})
     spark = pages.sparkSession
     # the suffix rates were made from the same labels: half of the sample learns without them, so that the trees also use the rest
     half = train.copy()
@@ -82,9 +103,9 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> Dat
     model = GBTClassifier(maxIter=8, maxDepth=3, maxBins=32, seed=7).fit(table)
 
     @F.pandas_udf("array<double>")
-    def features(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([lexical(u, h, p, rates, prior) for u, h, p in zip(url, host, path, strict=True)])
+    def features(url: pd.Series, host: pd.Series, path: pd.Series, top: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([lexical(*r) for r in zip(url, host, path, top, first, strict=True)])
 
-    judged = model.transform(good.withColumn("features", array_to_vector(features("url", "host", "path"))))
+    judged = model.transform(rated(suffixes(good)).withColumn("features", array_to_vector(features(*columns))))
     verdict = F.coalesce("own", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

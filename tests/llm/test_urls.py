@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
+from ledgerlight.llm import urls
 from ledgerlight.llm.urls import RULES, url_verdicts
 
 
@@ -41,3 +44,14 @@ def test_trees_learn_from_ruled_urls(spark):
     assert len(got) == len(rows)
     assert set(got.values()) == {"allow", "block"}
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+@pytest.mark.parametrize("small", [urls.SMALL, 3])
+def test_rates_are_counted_over_all_labelled_urls(spark, monkeypatch, small):
+    """Forty suffixes, each of one verdict, most of them absent from the sample of 20 urls; rates broadcast and joined by a shuffle."""
+    monkeypatch.setattr(urls, "SMALL", small)
+    verdict = {k: "block" if k * 7 % 5 < 2 else "allow" for k in range(40)}
+    rows = [(k * 100 + i, f"http://r.t{k:02}/{i:02}") for k in verdict for i in range(20)] + [(9000 + k, f"http://q.t{k:02}/99") for k in verdict]
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), [(v, f"r.t{k:02}/") for k, v in verdict.items()], max_rows=20).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id - 9000: r.verdict for r in got if r.page_id >= 9000} == verdict
