@@ -21,6 +21,23 @@ NAMES = [
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: lgpl)?(?: version| v)? ?2 1"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license(?: lgpl)?(?: version| v)? ?3(?: 0)?"),
     ("lgpl-2.0", "library", r"(?:gnu )?library general public license(?: version| v)? ?2(?: 0)?"),
+    ("agpl-3.0", "agpl", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
+    ("lgpl-2.0", "lgpl", r"(?:gnu )?lgpl ?v?2 0(?: only| or later)?"),
+    ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl ?v?1(?: 0)?(?: only| or later)?"),
+    ("apache-2.0", "apache", r"apache 2 0(?! [0-9])"),
+    ("mpl-2.0", "mpl", r"mpl 2 0"),
+    ("mpl-1.1", "mpl", r"mpl 1 1"),
+    ("epl-2.0", "epl", r"epl 2 0"),
+    ("epl-1.0", "epl", r"epl 1 0"),
+    ("eupl-1.2", "eupl", r"eupl 1 2"),
+    ("bsl-1.0", "bsl", r"bsl 1 0"),
+    ("ofl-1.1", "ofl", r"ofl 1 1"),
+    ("artistic-2.0", "artistic", r"artistic 2 0"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
     ("gpl-3.0", "general", r"(?:gnu )?general public license(?: gpl)?(?: version| v)? ?3(?: 0)?"),
     ("gpl-2.0", "general", r"(?:gnu )?general public license(?: gpl)?(?: version| v)? ?2(?: 0)?"),
@@ -76,6 +93,40 @@ NAMES = [
     ("public-domain", "domain", r"(?:in(?:to)? the|dedicated to the) public domain"),
     ("proprietary", "rights", r"all rights reserved"),
 ]
+#: SPDX identifiers that are common words or short: they count only after the SPDX mark, the first ones also where something is licensed under them.
+IDS = "mit isc zlib ncsa|apache-1.0 apache-1.1 artistic-1.0 afl-3.0 apsl-2.0 beerware blueoak-1.0.0 busl-1.1 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 elastic-2.0 eupl-1.1 fsfap ftl gfdl-1.3 hpnd icu ijg ipl-1.0 json libpng-2.0 lppl-1.3c ms-pl ms-rl mulanpsl-2.0 ofl-1.0 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby sleepycat sspl-1.0 tcl unicode-dfs-2016 upl-1.0 vim w3c x11 zpl-2.1".split("|")
+#: label, keyword, regex of a characteristic sentence of a license's own text or notice.
+SENTENCES = [
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction"),
+    ("bsl-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "hereby granted", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby granted", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause", "contributors may be used", r"neither the names? of (?:[0-9a-z]+ ){1,12}nor the names of (?:its|their|any|other)(?: other)? contributors may be used to endorse or promote products"),
+    ("bsd", "binary forms", r"redistribution and use in source and binary forms(?: with or without modification)? are permitted"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "affirmer", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("wtfpl", "licen", r"copies of this license document and changing it is allowed as long as the name is changed"),
+    ("apache-2.0", "licenses license 2", r"you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project"),
+    ("gpl-3.0", "license", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3.0", "license", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-3.0", "license", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("gpl-3.0", "license", r"under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-2.0", "license", r"under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("lgpl-2.1", "license", r"under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("agpl-3.0", "license", r"under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("mpl-2.0", "license", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("cddl-1.0", "license", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", "license", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("ofl-1.1", "licensed fonts", r"the ofl allows the licensed fonts to be used studied modified and redistributed freely"),
+    ("artistic-2.0", "license", r"this license establishes the terms under which a given free software package may be copied modified distributed"),
+    ("python-2.0", "license", r"this license agreement is between the python software foundation psf"),
+]
 #: Frames around a name: regex before, regex after, confidence. The frames with more words have the better priority.
 FRAMES = [
     (r"(?:released|licensed|distributed|published|made available|provided) under (?:the )?(?:terms of )?(?:the )?", "", 0.95),
@@ -84,15 +135,22 @@ FRAMES = [
     ("", "", 0.8),
 ]
 _GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"  # all that is no word
-GATE = r"(?i)" + "licen[cs]e|spdx|gpl|cc0|bsd|wtfpl|cddl|odbl|public domain|rights reserved|creative commons|cc by|mit (?:0|no)".replace(" ", _GAP)
+GATE = r"(?i)" + "licen[cs]e|spdx|gpl|cc0|bsd|wtfpl|cddl|odbl|public domain|rights reserved|creative commons|cc by|mit (?:0|no)|(?:apache|[em]pl|eupl|bsl|ofl|artistic) [12]|under (?:the )?(?:terms of )?(?:the )?(?:mit|isc|zlib|ncsa)|hereby granted|deal with the software|advertising materials|contributors may be used|binary forms|altered source|affirmer|retain this notice|apache software foundation|openssl project".replace(" ", _GAP)
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, regex, confidence): each name in each frame, the first frames and names best."""
-    out = []
+    """(priority, label, keyword, regex, confidence): sentences, each name in each frame, and SPDX identifiers, the first ones best."""
+    out = [(i - 1000, label, key, f"(?<= ){rx}(?= )", 0.95) for i, (label, key, rx) in enumerate(SENTENCES)]
     for f, (before, after, sure) in enumerate(FRAMES):
         out += [(f * 1000 + i, label, key, f"(?<= ){before}{name}{after}(?= )", sure) for i, (label, key, name) in enumerate(NAMES)]
+    mark = FRAMES[2][0]
+    for i, label in enumerate(" ".join(IDS).split()):
+        words = label.replace("-", " ").replace(".", " ")
+        out.append((4000 + i, label, words, f"(?<= ){mark}{words}(?= )", 1.0))
+        out.append((5000 + i, label, words, f"(?<= ){mark}(?:[0-9a-z]+ ){{1,6}}?(?:or|and) {words}(?= )", 1.0))  # a later part of an expression
+        if label in IDS[0].split():
+            out.append((6000 + i, label, words, f"(?<= ){FRAMES[0][0]}{words}(?= )", FRAMES[0][2]))
     return out
 
 

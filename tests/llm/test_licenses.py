@@ -91,3 +91,13 @@ def test_gate_and_keywords_lose_nothing(spark):
     assert {texts[r.doc_id]: (r.labels, r.score) for r in got} == {t: ungated(t) for t in texts}
     assert all(ungated(t)[0] for t in texts[1:])
     assert all(key in f" {' '.join(brute.plain(m))} " for _, _, key, rx, _ in rules() for m in [sample(rng, _parser.parse(rx)) for _ in range(20)])
+
+
+def test_spdx_and_license_texts(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Apache-2.0": "apache-2.0", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit", "SPDX-License-Identifier: Apache-2.0 OR MIT": "apache-2.0,mit",
+        "GPL-3.0-only": "gpl-3.0", "LGPL-2.1-or-later": "lgpl-2.1", "SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "wir gehen mit vim": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files": "mit", "Redistribution and use in source and binary forms, with or without\n * modification, are permitted": "bsd",
+    }
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {list(texts)[r.doc_id]: r.labels for r in got} == texts
