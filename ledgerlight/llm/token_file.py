@@ -8,12 +8,12 @@ sequences: doc_ids and boundaries. select(i) finds one boundary without unpackin
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,31 +24,39 @@ from pyspark.sql import functions as F
 from . import text as X
 from .scratch import Scratch, partitions
 
-MAGIC, CACHE = b"LLT1", 1_000_000
+MAGIC, MOST_UNITS, JOINED = b"LLT1", 1_500_000, 4000
 _BLOB = "shard int, seq int, before long, n_docs long, n_tokens long, data binary"
+_BLOCK, _CHUNK = 64, 4096
+#: _PLACE[b, r]: the place of the r-th one of byte b.
+_PLACE = np.argsort(-((np.arange(256)[:, None] >> np.arange(8)) & 1), axis=1, kind="stable").astype(np.uint8)
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers >= 0 in about 2 + log2(last / n) bits each."""
+    """A non-decreasing sequence of integers >= 0 in about 2 + log2(last / n) bits each.
+
+    In memory select() adds one 32-bit rank for each 512 upper bits.
+    """
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self._before = np.r_[0, np.cumsum(ones.reshape(-1))]  # in memory only
+        self.n, self.low_bits, self.low = n, low_bits, low
+        self.high = np.pad(high, (0, -len(high) % _BLOCK)).reshape(-1, _BLOCK)
+        self.ranks = np.cumsum(np.r_[0, np.bitwise_count(self.high).sum(axis=1)], dtype=np.uint32)[:-1]
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
+        return cls.read(cls.pack(values), 0)[0]
+
+    @staticmethod
+    def pack(values: np.ndarray) -> bytes:
         v = np.asarray(values, np.uint64)
         n = len(v)
         low_bits = max(0, int(v[-1] // n).bit_length() - 1) if n else 0
         bits = (v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) if n and low_bits else np.zeros((n, 0))
         at = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
-        high[at] = 1
-        return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"))
-
-    def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        upper = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
+        upper[at] = 1
+        low, high = (np.packbits(x, bitorder="little") for x in (bits.astype(np.uint8).ravel(), upper))
+        return struct.pack("<QBQQ", n, low_bits, len(low), len(high)) + low.tobytes() + high.tobytes()
 
     @classmethod
     def read(cls, raw: bytes, at: int) -> tuple[EliasFano, int]:
@@ -56,27 +64,34 @@ class EliasFano:
         at += struct.calcsize("<QBQQ")
         return cls(n, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a)), at + a + b
 
-    def select(self, i: int) -> int:
-        """Value i: the byte that holds the i-th one of the upper bits, then its bit."""
-        byte = int(np.searchsorted(self._before, i, side="right")) - 1
-        bit = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[i - self._before[byte]]
-        low, first = 0, i * self.low_bits
-        for j in range(self.low_bits):
-            low |= int(self.low[(first + j) >> 3] >> ((first + j) & 7) & 1) << j
-        return (byte * 8 + int(bit) - i) << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        v = (ones - np.arange(self.n)) << self.low_bits
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, -1)
-            v |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits))
-        return v
+    @property
+    def nbytes(self) -> int:
+        return self.low.nbytes + self.high.nbytes + self.ranks.nbytes
+
+    def select(self, at: np.ndarray) -> np.ndarray:
+        """The values at some places: by rank to the block that holds that one of the upper bits, then to its byte and bit."""
+        i = np.asarray(at, np.int64)
+        if len(i) > _CHUNK:
+            return np.concatenate([self.select(i[a : a + _CHUNK]) for a in range(0, len(i), _CHUNK)])
+        if not len(i):
+            return i
+        block = np.searchsorted(self.ranks, i.astype(np.uint32), side="right") - 1
+        rank = i - self.ranks[block]
+        own = self.high[block]
+        ones = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.int64)
+        byte = (ones <= rank[:, None]).sum(axis=1)
+        k = np.arange(len(i))
+        left = rank - np.where(byte > 0, ones[k, byte - 1], 0)
+        value = (block * _BLOCK + byte) * 8 + _PLACE[own[k, byte], left] - i
+        for j in range(self.low_bits - 1, -1, -1):
+            bit = i * self.low_bits + j
+            value = value << 1 | (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        return value
 
 
 def write_blob(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     first = int(doc_ids[0])
-    return b"".join([MAGIC, struct.pack("<Bq", width, first), EliasFano.of(doc_ids - first).to_bytes(), EliasFano.of(np.cumsum(sizes)).to_bytes(), ids.astype(f"<u{width}").tobytes()])
+    return b"".join([MAGIC, struct.pack("<Bq", width, first), EliasFano.pack(doc_ids - first), EliasFano.pack(np.cumsum(sizes)), ids.astype(f"<u{width}").tobytes()])
 
 
 def read_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,57 +101,178 @@ def read_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     width, first = struct.unpack_from("<Bq", raw, 4)
     docs, at = EliasFano.read(raw, 4 + struct.calcsize("<Bq"))
     ends, at = EliasFano.read(raw, at)
-    return docs.all() + first, np.r_[0, ends.all()], np.frombuffer(raw, f"<u{width}", -1, at)
+    every = np.arange(docs.n)
+    return docs.select(every) + first, np.r_[0, ends.select(every)], np.frombuffer(raw, f"<u{width}", -1, at)
+
 
+#: The normalizer and the split of tokenizers that lower-case and part ASCII letters, digits and other signs.
+PARTING = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+_bytes = np.arange(256)
+_CLASS = np.select([~X.NOT_SPACE | (_bytes > 127), (X.LOWER >= 97) & (X.LOWER <= 122), (_bytes >= 48) & (_bytes <= 57)], [3, 1, 2], 0).astype(np.uint8)
 
-_tokenizers: dict = {}
 
+class Units:
+    """The ids of units that a worker process has met, by 128-bit fingerprint, in two generations of bounded size.
 
-def _tokenizer(spec: str):
+    A generation is an open-addressed table in numpy arrays. When the younger is full it becomes the older one; units that are
+    found there are taken over.
+    """
+
+    def __init__(self, most: int = MOST_UNITS):
+        self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
+        self.old = self.new = None
+        self._next()
+
+    def _next(self) -> None:
+        self.old = self.new
+        self.new = {"slot": np.full(self.slots, -1, np.int32), "key": np.zeros((0, 2), np.uint64), "first": np.zeros(1, np.int64), "ids": np.zeros(0, np.uint32)}
+
+    @staticmethod
+    def _find(table: dict | None, key: np.ndarray) -> np.ndarray:
+        """Entries of the keys, -1 where there is none."""
+        out = np.full(len(key), -1, np.int64)
+        todo, step = np.arange(len(key) if table else 0), 0
+        while len(todo):
+            slot = table["slot"]
+            e = slot[(key[todo, 0] + np.uint64(step)).astype(np.int64) & (len(slot) - 1)]
+            todo, e = todo[e >= 0], e[e >= 0]
+            k = table["key"][e]
+            same = (k[:, 0] == key[todo, 0]) & (k[:, 1] == key[todo, 1])
+            out[todo[same]] = e[same]
+            todo, step = todo[~same], step + 1
+        return out
+
+    def _add(self, key: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Put distinct keys in that are not there."""
+        t = self.new
+        n = len(t["key"])
+        if 2 * (n + len(key)) > len(t["slot"]):  # one slice has more units than a generation: its table grows
+            key, size, ids = np.concatenate([t["key"], key]), np.concatenate([np.diff(t["first"]), size]), np.concatenate([t["ids"], ids])
+            t = self.new = {"slot": np.full(1 << (4 * len(key)).bit_length(), -1, np.int32), "key": key[:0], "first": np.zeros(1, np.int64), "ids": ids[:0]}
+            n = 0
+        slot = t["slot"]
+        todo, step = np.arange(len(key)), 0
+        while len(todo):
+            at = (key[todo, 0] + np.uint64(step)).astype(np.int64) & (len(slot) - 1)
+            free = slot[at] < 0
+            slot[at[free]] = n + todo[free]
+            todo, step = todo[slot[at] != n + todo], step + 1
+        t["key"], t["ids"] = np.concatenate([t["key"], key]), np.concatenate([t["ids"], ids])
+        t["first"] = np.concatenate([t["first"], t["first"][-1] + np.cumsum(size)])
+
+    def ids(self, key: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry of each key, first id of each entry, ids); encode(places) gives (sizes, ids) of units not met before."""
+        e = self._find(self.new, key)
+        lost = _distinct(key, np.flatnonzero(e < 0))
+        if len(lost):
+            if len(self.new["key"]) and len(self.new["key"]) + len(lost) > self.most:
+                self._next()
+                e[:], lost = -1, _distinct(key, np.arange(len(key)))
+            before = self._find(self.old, key[lost])
+            size, ids = encode(lost[before < 0])
+            if (before >= 0).any():
+                n, own = _take(self.old["first"], self.old["ids"], before[before >= 0])
+                size, ids, lost = np.concatenate([size, n]), np.concatenate([ids, own]), np.concatenate([lost[before < 0], lost[before >= 0]])
+            self._add(key[lost], size, ids)
+            e[e < 0] = self._find(self.new, key[e < 0])
+        return e, self.new["first"], self.new["ids"]
+
+
+def _distinct(key: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One of the places of each key."""
+    k = key[places]
+    order = np.lexsort((k[:, 1], k[:, 0]))
+    k = k[order]
+    return places[order[np.r_[True, (k[1:] != k[:-1]).any(axis=1)][: len(k)]]]
+
+
+def _take(first: np.ndarray, ids: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, ids) of some entries."""
+    n = first[entries + 1] - first[entries]
+    at = np.cumsum(n) - n
+    return n, ids[np.repeat(first[entries] - at, n) + np.arange(n.sum())]
+
+
+_loaded: dict = {}
+
+
+def _tokenizer(spec: str) -> tuple:
+    """(tokenizer, whether ASCII classes part, units met) of this worker process."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if spec not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[spec] = Tokenizer.from_str(spec)
-    return _tokenizers[spec]
+    if spec not in _loaded:
+        _loaded.clear()
+        steps = json.loads(spec)
+        normal = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        parts = normal == PARTING[0] and split[:1] == [PARTING[1]] and steps["model"].get("end_of_word_suffix") is not None
+        _loaded[spec] = Tokenizer.from_str(spec), parts, Units()
+    return _loaded[spec]
+
 
+def _parted(buf: np.ndarray, off: np.ndarray, w: X.Words) -> tuple[np.ndarray, X.Words]:
+    """Texts and units of a tokenizer with PARTING: words cut where ASCII letters, digits and other signs meet, in lower case.
 
-def encode_slice(batch: pa.RecordBatch, tokenizer, end_id: int, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    Words with an apostrophe (which joins letters) or '<' (which begins special tokens) stay as they are, as do letters before
+    other characters than ASCII, which may compose with them.
+    """
+    kind = _CLASS[buf]
+    plain = kind[1:] < 3
+    lower = np.append(plain, True)
+    cut = np.append(False, plain & (kind[:-1] < 3) & (kind[1:] != kind[:-1]))
+    odd = np.flatnonzero((buf == 39) | (buf == 60))
+    odd = np.unique(np.searchsorted(w.start, odd, side="right") - 1)
+    n = w.end[odd] - w.start[odd]
+    whole = np.repeat(w.start[odd] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    lower[whole] = cut[whole] = False
+    end = np.append(cut, False)
+    cut[w.start] = end[w.end] = True
+    start = np.flatnonzero(cut)
+    return np.where(lower, X.LOWER[buf], buf), X.Words(w.h, start, np.flatnonzero(end), np.searchsorted(start, off))
+
+
+def encode_slice(batch: pa.RecordBatch, loaded: tuple, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids) of the rows (doc_id, text), each with end_id after it.
 
-    For tokenizers that never look across ASCII white space: each distinct run of other bytes of the slice is encoded once.
+    For tokenizers that never look across ASCII white space: each distinct run of other bytes is encoded once in a process,
+    many in one call, parted by spaces.
     """
+    tokenizer, parts, met = loaded
     buf, off = X.text_arrays(batch.column(1))
-    w = X.words(buf, off)
-    _, first, of = np.unique(w.h, return_index=True, return_inverse=True)
-    check = X.hash_extents(buf, w.start, w.end, 1)
-    if not (check[first][of] == check).all():  # two words of one fingerprint
-        first = of = np.arange(len(w.h))
+    w = X.words(buf, off, hashes=False)
+    if parts and len(w.start):
+        buf, w = _parted(buf, off, w)
     raw = buf.tobytes()
-    own = [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)]
-    new = [u for u in own if u not in cache]
-    fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        cache.update((u, e.ids) for u, e in zip(part, fast([u.decode() for u in part], add_special_tokens=False), strict=True))
-    parts = [cache[u] for u in own]
-    if len(cache) > CACHE:
-        cache.clear()
-    parts.append([end_id])
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    pool, at = np.fromiter(chain.from_iterable(parts), np.uint32, int(size.sum())), np.r_[0, np.cumsum(size)]
-    unit = np.insert(of, w.first[1:], len(parts) - 1)  # the end id after the words of each row
-    n = size[unit]
+
+    def encode(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(which), JOINED):
+            own = [raw[a:b].decode() for a, b in zip(w.start[which[at : at + JOINED]].tolist(), w.end[which[at : at + JOINED]].tolist(), strict=True)]
+            got = tokenizer.encode(" ".join(own), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(x) + 1 for x in own[:-1])])
+            place = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+            sizes.append(np.bincount(np.searchsorted(begin, place, side="right") - 1, minlength=len(own)))
+            out.append(np.array(got.ids, np.uint32))
+        return np.concatenate(sizes), np.concatenate(out)
+
+    key = np.column_stack([X.hash_extents(buf, w.start, w.end), X.hash_extents(buf, w.start, w.end, 1)])
+    entry, first, pool = met.ids(key, encode)
+    n = np.insert(first[entry + 1] - first[entry], w.first[1:], 1)  # the end id after the units of each row
+    begin = np.insert(first[entry], w.first[1:], len(pool))
     total = np.r_[0, np.cumsum(n)]
-    ids = pool[np.repeat(at[unit] - total[:-1], n) + np.arange(total[-1])]
+    place = np.repeat(begin - total[:-1], n) + np.arange(total[-1])
+    ids = np.where(place < len(pool), pool[np.minimum(place, len(pool) - 1)] if len(pool) else 0, end_id).astype(np.uint32)
     return np.diff(total[np.r_[0, np.cumsum(w.counts + 1)]]), ids
 
 
 def _encode(batches: Iterator[pa.RecordBatch], spec, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    shard, before, cache, tokenizer = TaskContext.get().partitionId(), 0, {}, _tokenizer(spec.value)
+    shard, before, loaded = TaskContext.get().partitionId(), 0, _tokenizer(spec.value)
     for seq, batch in enumerate(X.slices(batches, limit=4 << 20)):
-        sizes, ids = encode_slice(batch, tokenizer, end_id, cache)
+        sizes, ids = encode_slice(batch, loaded, end_id)
         data = write_blob(batch.column(0).to_numpy(), sizes, ids, width)
         row = (shard, seq, before, len(sizes), len(ids), data)
         before += len(ids)

@@ -4,10 +4,11 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlight.llm.queries import tokenizer_path
-from ledgerlight.llm.token_file import EliasFano, read_blob, token_files, write_blob
+from ledgerlight.llm.token_file import EliasFano, Units, _tokenizer, encode_slice, read_blob, token_files, write_blob
 
 TEXTS = [None, "", "Hello  WORLD", "don't 世界 naïve\n\n x\u00a0y\u2003z", "word " * 3000, "<|endoftext|> <|startoftext|>x", "a" * 5000, "\u0130stanbul e\u0301"]
 
@@ -47,14 +48,42 @@ def test_whole_table_and_the_files(spark):
 
 @pytest.mark.parametrize("values", [[0], [0, 0, 0], [5, 5, 9, 1000, 10**12], list(range(0, 5000, 7)), [3] * 300 + [4]])
 def test_select(values):
-    ef, at = EliasFano.read(EliasFano.of(np.array(values)).to_bytes(), 0)
-    assert [ef.select(i) for i in range(len(values))] == values == ef.all().tolist()
-    assert at == len(EliasFano.of(np.array(values)).to_bytes())
+    raw = EliasFano.pack(np.array(values))
+    ef, at = EliasFano.read(raw, 0)
+    assert ef.select(np.arange(len(values))).tolist() == values
+    assert [int(ef.select(np.array([i]))[0]) for i in range(0, len(values), 7)] == values[::7]
+    assert at == len(raw)
 
 
 def test_boundaries_take_few_bits():
     rng = np.random.default_rng(3)
     ends = np.cumsum(rng.integers(50, 1500, 10_000))
-    assert len(EliasFano.of(ends).to_bytes()) * 8 / len(ends) < 2 + np.log2(ends[-1] / len(ends)) + 1
+    bits = 2 + np.log2(ends[-1] / len(ends))
+    assert len(EliasFano.pack(ends)) * 8 / len(ends) < bits + 1
+    # in memory too: no table of 64-bit offsets beside the sequence
+    ef = EliasFano.of(ends)
+    assert ef.nbytes * 8 / len(ends) < bits + 1.2
+    assert ef.ranks.dtype == np.uint32
+    assert ef.select(np.arange(len(ends))).tolist() == ends.tolist()
     docs, got, ids = read_blob(write_blob(np.array([-7, 3]), np.array([2, 0]), np.array([9, 8]), 2))
     assert (docs.tolist(), got.tolist(), ids.tolist()) == ([-7, 3], [0, 2, 2], [9, 8])
+
+
+def test_units_met_before_in_tiny_generations():
+    """Generations of three units, so that they change all the time."""
+    from tokenizers import Tokenizer
+
+    file = tokenizer_path("word_bpe_49k.json")
+    spec = open(file, encoding="utf-8").read()
+    plain, parts = Tokenizer.from_file(file), _tokenizer(spec)[1]
+    assert parts
+    rng = np.random.default_rng(5)
+    words = ["the", "The,", "a1b2", "J\u030c", "J\u030cx", "don't", "x's", "<|endoftext|>", "<|ENDOFTEXT|>", "\u00e9t\u00e9.", "E\u0301t", "192.168.0.1", "A" * 70, "\u0301a", "!!", "\u4e16\u754c", "I\u0307s", "a\u2003b", "\u03a3\u03a3."]
+    loaded = plain, parts, Units(3)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words, rng.integers(0, 9)).tolist()) for _ in range(4)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+        sizes, ids = encode_slice(batch, loaded, 2)
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert sizes.tolist() == [len(x) for x in want], texts
+        assert ids.tolist() == [i for x in want for i in x], texts
