@@ -1,12 +1,13 @@
-"""Operator 5: SentencePiece encoding and decoding in batched numpy.
+"""Operator 5: SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-Texts are cut into units that no piece can cross; equal units of a slice are encoded once, and units of equal length advance
-together, one numpy step for all. Substrings probe sorted keys of pieces.
+Texts are cut into units that no piece can cross; each unit is encoded once in a worker process, and units of equal length advance
+together, one numpy step for all. Substring hashes, differences of running ones, probe the sorted keys of pieces; maxima
+over the pieces that end at a place store backpointers, and all rows step back together.
 
-* Unigram models: Viterbi. best[:, j] is the maximum over the pieces that end at j, and backpointers
-  are read from the end.
-* BPE models: Viterbi over scores gives other ids than the model's own (README), so
-  all units make their best merge of each round together, as the model's definition says.
+* Unigram models: a path's value is the sum of its pieces' scores.
+* BPE models: the best sum gives other ids than the model's own. A path is the model's own exactly if each
+  piece may follow the one before it: merging the two pieces' text by itself leaves these two. Of the pieces that end at a place just
+  one may follow the best path to its start, so there the maximum is over 0 for that one and minus infinity for the others.
 
 Characters outside the vocabulary become byte pieces, so decoding gives the text back exactly; only a text that itself
 holds the space mark comes back with spaces there.
@@ -14,7 +15,7 @@ holds the space mark comes back with spaces there.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -24,17 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .units import Units
 
-MARK = "▁"
-LONG, CACHE = 256, 300_000
-_NONE = np.iinfo(np.int64).max
+MARK = "\u2581"
+CELLS = 1 << 20
+_BASE = np.uint64(0x9E6C63D0876A9A35)
+_TOP = np.int64(1) << 62
 
 
 class Pieces:
-    """A vocabulary as sorted arrays. pieces: strings; kinds: 'n'ormal, 'b'yte or 'x' for control and unknown pieces."""
+    """A vocabulary as sorted arrays. pieces: strings; kinds: 'n'ormal, 'b'yte or 'x' for control and unknown pieces.
+
+    Symbols are numbered anew: 0 is any character outside, then come single characters, then longer pieces from the best score down.
+    """
 
     def __init__(self, pieces: list[str], scores: list[float], kinds: list[str], bpe: bool):
-        self.bpe, self.scores = bpe, np.array(scores)
+        self.bpe = bpe
+        self.name = hashlib.sha256(repr((pieces, scores, kinds, bpe)).encode()).hexdigest()
         normal = {p: i for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)) if k == "n"}
         self.byte_id = np.full(256, -1, np.int32)
         for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)):
@@ -44,31 +51,38 @@ class Pieces:
         raw = [bytes([int(p[3:5], 16)]) if k == "b" else p.replace(MARK, " ").encode() if k == "n" else b"" for p, k in zip(pieces, kinds, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.r_[0, np.cumsum([len(x) for x in raw])]
-        chars = sorted({c for p in normal for c in p})
-        self.code = np.array([ord(c) for c in chars], np.int64)
-        extra = {c: len(pieces) + j for j, c in enumerate(c for c in chars if c not in normal)}
-        self.char_id = np.array([normal.get(c, extra.get(c)) for c in chars], np.int64)
-        self.size = len(pieces)
-        longer = [p for p in normal if len(p) > 1]
+        longer = sorted((p for p in normal if len(p) > 1), key=lambda p: (-scores[normal[p]], normal[p]))
         # a text may be cut at a character that stands in no longer piece, and before spaces if they only begin pieces
         self.cuts = [b for b in b"\t\n\r" if not any(chr(b) in p for p in longer)]
         self.at_spaces = not any(MARK in p.lstrip(MARK) for p in longer)
-        of = normal | extra
-        pairs = {(of[p[:i]] << 32 | of[p[i:]]): n for p, n in normal.items() for i in range(1, len(p)) if p[:i] in of and p[i:] in of}
-        self.pair = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
-        # the best merge is the one of the highest score; of equal scores the leftmost
-        by = np.unique(-self.scores, return_inverse=True)[1].astype(np.int64)
-        self.rank = np.append(by[self.merged], _NONE)
-        self.merged = np.append(self.merged, -1)
-        self.longest = max(map(len, normal), default=1)
-        of_length: dict[int, list[str]] = {}
-        for p in normal:
-            of_length.setdefault(len(p), []).append(p)
-        key = np.concatenate([self._key(np.array([[ord(c) for c in p] for p in own])) for own in of_length.values()])
-        key_id = np.array([normal[p] for own in of_length.values() for p in own], np.int64)
+        chars = sorted({c for p in normal for c in p})
+        self.code = np.array([ord(c) for c in chars], np.int64)
+        symbols = ["", *chars, *longer]
+        self.id = np.array([normal.get(p, -1) for p in symbols], np.int32)
+        worst = min(scores, default=0.0) - 10
+        self.score = np.array([scores[i] if i >= 0 else worst for i in self.id.tolist()])
+        self.length = np.array([max(len(p), 1) for p in symbols], np.int64)
+        if bpe:
+            self._splits(symbols)
+            unmade = [p for i, p in enumerate(symbols) if len(p) > 1 and self.left[i] == i]
+            if unmade:
+                raise ValueError(f"not a BPE vocabulary: no earlier pieces merge to {unmade[:5]}")
+        of = {p: i for i, p in enumerate(symbols)}
+        self.longest = max(map(len, longer), default=1)
+        lengths: dict[int, list[str]] = {}
+        for p in longer:
+            lengths.setdefault(len(p), []).append(p)
+        key = [np.zeros(0, np.uint64)]
+        for n, own in lengths.items():
+            total = np.zeros(len(own), np.uint64)
+            for j in range(n):
+                total = total * _BASE + np.array([ord(p[j]) + 1 for p in own], np.uint64)
+            key.append(X.mix(total + np.uint64(n)))
+        key, sym = np.concatenate(key), np.array([of[p] for own in lengths.values() for p in own], np.int64)
         order = np.argsort(key)
-        self.key, self.key_id = key[order], key_id[order]
+        self.key, self.sym = key[order], sym[order]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.key & np.uint64(len(self.bits) - 1)).astype(np.int64)] = True
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
@@ -81,137 +95,142 @@ class Pieces:
         own = [s for s, k in zip(scores, kinds, strict=True) if k == "n"]
         return cls([sp.id_to_piece(i) for i in ids], scores, kinds, all(s == int(s) for s in own))  # BPE scores are ranks
 
-    @staticmethod
-    def _key(codes: np.ndarray) -> np.ndarray:
-        h = np.full(len(codes), codes.shape[1], np.uint64)
-        for j in range(codes.shape[1]):
-            h = X.pair(h, codes[:, j].astype(np.uint64))
-        return h
-
-    def _probe(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Places of pairs of neighbours in the sorted pairs; the last place where there is no such merge."""
-        k = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair, k), len(self.pair) - 1)
-        return np.where(self.pair[at] == k, at, len(self.pair)) if len(self.pair) else np.zeros(k.shape, np.int64)
-
-    def merge(self, sym: np.ndarray) -> list[np.ndarray]:
-        """BPE of rows of symbols of one length."""
-        out: list = [None] * len(sym)
-        row = np.arange(len(sym))
-        at = self._probe(sym[:, :-1], sym[:, 1:])
-        while len(row):
-            rank = self.rank[at]
-            best = rank.argmin(axis=1) if at.shape[1] else np.zeros(len(row), np.int64)
-            done = rank[np.arange(len(row)), best] == _NONE if at.shape[1] else np.ones(len(row), bool)
-            for i, x in zip(row[done].tolist(), sym[done].astype(np.int32), strict=True):
-                out[i] = x
-            row, sym, at, best = row[~done], sym[~done], at[~done], best[~done]
-            if not len(row):
-                break
-            n = np.arange(len(row))
-            new = self.merged[at[n, best]]
-            cols = np.arange(sym.shape[1] - 1)
-            sym = np.take_along_axis(sym, cols + (cols > best[:, None]), 1)
-            sym[n, best] = new
-            cols = cols[:-1]
-            at = np.take_along_axis(at, cols + (cols >= best[:, None]), 1)
-            for side in (best - 1, best):
-                ok = np.flatnonzero((side >= 0) & (side < at.shape[1]))
-                at[ok, side[ok]] = self._probe(sym[ok, side[ok]], sym[ok, side[ok] + 1])
+    def _splits(self, symbols: list[str]) -> None:
+        """left and right: the two symbols whose merge makes each one (itself where none do); pair, merged: those merges, sorted."""
+        of = {p: i for i, p in enumerate(symbols) if i}
+        left, right = list(range(len(symbols))), list(range(len(symbols)))
+        pairs: dict[tuple[int, int], int] = {}
+
+        def follows(a: int, b: int) -> bool:
+            """Scalar twin of self.follows() over the merges found so far."""
+            limit = len(symbols)
+            while True:
+                if pairs.get((a, b), limit) < limit:
+                    return False
+                if right[a] != a and (a > b or left[b] == b):
+                    limit, a = a, right[a]
+                elif left[b] != b:
+                    limit, b = b + 1, left[b]
+                else:
+                    return True
+
+        for k, p in enumerate(symbols):
+            for i in range(len(p) - 1, 0, -1):
+                a, b = of.get(p[:i], k), of.get(p[i:], k)
+                if a < k and b < k and follows(a, b):
+                    left[k], right[k], pairs[a, b] = a, b, k
+                    break
+        self.left, self.right = np.array(left), np.array(right)
+        at = sorted(pairs)
+        self.pair = np.array([*(a << 32 | b for a, b in at), _TOP], np.int64)
+        self.merged = np.array([*(pairs[x] for x in at), _TOP], np.int64)
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging the text of symbols a and b by themselves leaves these two.
+
+        Seen backwards from the end of merging: the younger of the two that meet at the border is taken apart; if they themselves
+        have an earlier merge than the last one taken apart, it would have come first.
+        """
+        out, live, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), _TOP)
+        while len(live):
+            k = a << 32 | b
+            at = np.searchsorted(self.pair, k)
+            bad = (self.pair[at] == k) & (self.merged[at] < limit)
+            out[live[bad]] = False
+            r, l = self.right[a], self.left[b]
+            split_a, split_b = r != a, l != b
+            split_a &= (a > b) | ~split_b
+            go = ~bad & (split_a | split_b)
+            limit = np.where(split_a, a, b + 1)[go]
+            a, b, live = np.where(split_a, r, a)[go], np.where(split_a, b, l)[go], live[go]
         return out
 
-    def merge_long(self, sym: list[int]) -> np.ndarray:
-        """The same for one long unit, with a heap."""
-        after, before, live = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)], list(sym)
-        heap: list = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j >= 0:
-                at = int(self._probe(np.array([live[i]]), np.array([live[j]]))[0])
-                if at < len(self.pair):
-                    heapq.heappush(heap, (int(self.rank[at]), i, live[i], live[j], int(self.merged[at])))
-
-        for i in range(len(sym) - 1):
-            push(i)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i]
-            if live[i] != a or j < 0 or live[j] != b:
-                continue
-            live[i], live[j], before[j], after[i] = new, None, -2, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for i, x in enumerate(live) if i == 0 or before[i] != -2])
-
-    def viterbi(self, codes: np.ndarray, sym: np.ndarray) -> list[np.ndarray]:
-        """Best paths through rows of characters of one length, for unigram models."""
+    def viterbi(self, codes: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all rows, sizes): the best path through each row of characters, all rows of one length."""
         m, n = codes.shape
-        worst = float(self.scores.min()) - 10
-        best, back, piece = np.full((m, n + 1), -np.inf), np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
-        best[:, 0] = 0
+        codes, leaf = codes.T.astype(np.uint64) + np.uint64(1), leaf.T
+        run, power = np.zeros((n + 1, m), np.uint64), np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _BASE)])
+        for j in range(n):
+            run[j + 1] = run[j] * _BASE + codes[j]
+        best, back, last = np.zeros((n + 1, m)), np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int64)
         for j in range(1, n + 1):
-            best[:, j], back[:, j], piece[:, j] = best[:, j - 1] + worst, j - 1, sym[:, j - 1]
-            for i in range(max(0, j - self.longest), j):
-                k = self._key(codes[:, i:j])
-                at = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
-                score = np.where(self.key[at] == k, best[:, i] + self.scores[self.key_id[at]], -np.inf)
-                up = score > best[:, j]
-                best[up, j], back[up, j], piece[up, j] = score[up], i, self.key_id[at][up]
-        out = []
-        for r in range(m):
-            j, ids = n, []
-            while j:
-                ids.append(piece[r, j])
-                j = back[r, j]
-            out.append(np.array(ids[::-1], np.int64))
-        return out
+            last[j], back[j] = leaf[j - 1], j - 1
+            best[j] = -1 if self.bpe else best[j - 1] + self.score[leaf[j - 1]]
+            todo = None
+            for i in range(max(0, j - self.longest), j - 1):
+                h = X.mix((run[j] - run[i] * power[j - i] if todo is None else run[j, todo] - run[i, todo] * power[j - i]) + np.uint64(j - i))
+                maybe = np.flatnonzero(self.bits[(h & np.uint64(len(self.bits) - 1)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.key, h[maybe]), len(self.key) - 1)
+                hit = self.key[at] == h[maybe]
+                rows, sym = maybe[hit] if todo is None else todo[maybe[hit]], self.sym[at[hit]]
+                if not len(rows):
+                    continue
+                if self.bpe:
+                    value = np.where(self.follows(last[i, rows], sym), 0.0, -np.inf) if i else np.zeros(len(rows))
+                else:
+                    value = best[i, rows] + self.score[sym]
+                up = value > best[j, rows]
+                rows = rows[up]
+                best[j, rows], back[j, rows], last[j, rows] = value[up], i, sym[up]
+                if self.bpe and len(rows):  # no other piece may end here
+                    todo = np.flatnonzero(best[j] < 0)
+                    if not len(todo):
+                        break
+        out, size, at, rows = np.empty((m, n), np.int64), np.zeros(m, np.int64), np.full(m, n), np.arange(m)
+        while len(rows):
+            size[rows] += 1
+            out[rows, n - size[rows]] = last[at, rows]
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        return out[np.arange(n) >= (n - size)[:, None]], size
 
-    def units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit."""
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of some units."""
         codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
         at = np.minimum(np.searchsorted(self.code, codes), len(self.code) - 1)
-        sym = np.where(self.code[at] == codes, self.char_id[at], -1 - codes)  # outside the vocabulary: below 0
+        leaf = np.where(self.code[at] == codes, at + 1, 0)
         size = np.array([len(u) for u in units])
-        first = np.r_[0, np.cumsum(size)][:-1]
-        odd = np.logical_or.reduceat((sym < 0) | (sym >= self.size), first)
-        out: list = [None] * len(units)
+        first = np.cumsum(size) - size
+        which, sizes, out = [], [], []
         for n in np.unique(size).tolist():
             rows = np.flatnonzero(size == n)
-            step = max(1, (1 << 20) // n)
+            step = max(1, CELLS // n)
             for a in range(0, len(rows), step):
                 own = rows[a : a + step]
                 where = first[own][:, None] + np.arange(n)
-                if not self.bpe:
-                    got = self.viterbi(codes[where], sym[where])
-                elif n > LONG:
-                    got = [self.merge_long(x) for x in sym[where].tolist()]
-                else:
-                    got = self.merge(sym[where])
-                for r, x in zip(own.tolist(), got, strict=True):
-                    out[r] = self._bytes(x, units[r]) if odd[r] else x
-        return out
+                sym, count = self.viterbi(codes[where], leaf[where])
+                which.append(own)
+                sizes.append(count)
+                out.append(self._bytes(sym, count, codes[where].ravel(), n))
+        which, sizes, flat = np.concatenate(which), np.concatenate(sizes), np.concatenate([x for x, _ in out])
+        sizes = np.concatenate([x for _, x in out])
+        begin, order = np.cumsum(sizes) - sizes, np.argsort(which)
+        n = sizes[order]
+        return n, flat[np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(len(flat))]
+
+    def _bytes(self, sym: np.ndarray, count: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): symbols without a piece become the pieces of their bytes."""
+        ids = self.id[sym]
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, count
+        place = (np.cumsum(self.length[sym]) - self.length[sym])[odd]  # rows have n characters each and follow one another
+        own = [self.byte_id[list(chr(c).encode("utf-8", "replace"))] for c in codes[place].tolist()]
+        own = [x if x.min() >= 0 else np.array([self.unknown], np.int32) for x in own]
+        more = np.array([len(x) for x in own])
+        row = np.repeat(np.arange(len(count)), count)[odd]
+        reps = np.ones(len(ids), np.int64)
+        reps[odd] = more
+        ids, fill = np.repeat(ids, reps), np.repeat(np.arange(len(reps)), reps)
+        ids[np.isin(fill, odd)] = np.concatenate(own)
+        return ids, count + np.bincount(row, weights=more - 1, minlength=len(count)).astype(np.int64)
 
-    def _bytes(self, ids: np.ndarray, unit: str) -> np.ndarray:
-        """Symbols without a piece become the pieces of their bytes."""
-        chars = {-1 - ord(c): c for c in unit} | {int(i): chr(c) for i, c in zip(self.char_id, self.code, strict=True) if i >= self.size}
-        out = []
-        for x in ids.tolist():
-            if 0 <= x < self.size:
-                out.append(x)
-            else:
-                own = [int(self.byte_id[b]) for b in chars[x].encode()]
-                out += own if min(own) >= 0 else [self.unknown]
-        return np.array(out, np.int32)
-
-    def encode(self, texts: list[str], cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], met: Units) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids). Units: spaces and what follows them, or one of self.cuts."""
         marked = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
         off = np.r_[0, np.cumsum([len(t) for t in marked])]
-        buf = np.frombuffer(b"".join(marked), np.uint8)
+        raw = b"".join(marked)
+        buf = np.frombuffer(raw, np.uint8)
         if not len(buf):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         space, cut = buf == 32, np.isin(buf, self.cuts)
@@ -220,22 +239,18 @@ class Pieces:
         head[off[:-1][off[:-1] < len(buf)]] = True
         start = np.flatnonzero(head)
         end = np.r_[start[1:], len(buf)]
-        _, first, of = np.unique(X.hash_extents(buf, start, end), return_index=True, return_inverse=True)
-        check = X.hash_extents(buf, start, end, 1)
-        if not (check[first][of] == check).all():  # two units of one fingerprint
-            first, of = np.arange(len(start)), np.arange(len(start))
-        raw = buf.tobytes()
-        units = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        new = [u for u in units if u not in cache]
-        cache.update(zip(new, self.units([u.decode().replace(" ", MARK) for u in new]), strict=True) if new else ())
-        parts = [cache[u] for u in units]
-        if len(cache) > CACHE:
-            cache.clear()
-        own = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool, at = np.concatenate(parts), np.r_[0, np.cumsum(own)]
-        size = own[of]
+
+        def encode(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(which):
+                return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            n, ids = self.units([raw[a:b].decode().replace(" ", MARK) for a, b in zip(start[which].tolist(), end[which].tolist(), strict=True)])
+            return n, ids.astype(np.uint32)
+
+        entry, first, pool = met.ids(np.column_stack([X.hash_extents(buf, start, end), X.hash_extents(buf, start, end, 1)]), encode)
+        size = first[entry + 1] - first[entry]
         total = np.r_[0, np.cumsum(size)]
-        return pool[np.repeat(at[of] - total[:-1], size) + np.arange(total[-1])], total[np.searchsorted(start, off)]
+        ids = pool[np.repeat(first[entry] - total[:-1], size) + np.arange(total[-1])]
+        return ids.astype(np.int32), total[np.searchsorted(start, off)]
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
         """The texts of ids[off[i]:off[i + 1]]; the mark that encoding puts first is taken off."""
@@ -245,6 +260,17 @@ class Pieces:
         return [flat[a + (b > a) : b] for a, b in zip(at[off[:-1]].tolist(), at[off[1:]].tolist(), strict=True)]
 
 
+_met: dict[str, Units] = {}
+
+
+def met_by(pieces: Pieces) -> Units:
+    """The units that this worker process has met, of one model at a time."""
+    if pieces.name not in _met:
+        _met.clear()
+        _met[pieces.name] = Units()
+    return _met[pieces.name]
+
+
 def encode_documents(documents: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_crc32, round_trip) of each row of *documents* (doc_id, text).
 
@@ -256,10 +282,10 @@ def encode_documents(documents: DataFrame, model_file: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(Pieces.load(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = shared.value, {}
+        pieces = shared.value
         for batch in X.slices(batches, limit=2 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, off = pieces.encode(texts, cache)
+            ids, off = pieces.encode(texts, met_by(pieces))
             flat = ids.astype("<i4")
             same = [a == b.encode() for a, b in zip(pieces.decode(ids, off), texts, strict=True)]
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]

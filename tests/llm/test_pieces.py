@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlight.llm.pieces import Pieces, encode_documents
 from ledgerlight.llm.queries import tokenizer_path
+from ledgerlight.llm.units import Units
 
 TEXTS = [None, "", " ", "  two  spaces ", "Grüße, 世界! 😀\n\n\tx", "a" * 3000, "don't stop — 3.14159", "\r\n", "x\u2581y", "word " * 5000, "日本語" * 200, "\x00\x07"]
 
@@ -50,7 +51,42 @@ def test_viterbi_against_all_cuts():
         return max((score[t[:i]] + best(t[i:]) for i in range(1, len(t) + 1) if t[:i] in score), default=-np.inf)
 
     for t in ["a", "abab", "babab", "abaabab", "bbbaab"]:
-        ids, off = own.encode([t], {})
+        ids, off = own.encode([t], Units())
         assert "".join(pieces[i] for i in ids) == "\u2581" + t
         assert sum(scores[i] for i in ids) == pytest.approx(best("\u2581" + t))
         assert own.decode(ids, off) == [t.encode()]
+
+
+def merged(text, score):
+    """The model's definition: merge the best-scored pair, leftmost first, until none is left."""
+    parts = list(text)
+    while True:
+        can = [(-score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score]
+        if not can:
+            return parts
+        i = min(can)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_paths_of_bpe_against_merging():
+    """Random vocabularies over three letters; each piece joins two neighbours of a merged random text."""
+    rng = np.random.default_rng(9)
+    letters = ["a", "b", "c"]
+    draw = lambda most: "".join(rng.choice(letters, rng.integers(2, most)).tolist())
+    for _ in range(25):
+        score = dict.fromkeys(letters, -99)
+        for i in range(25):
+            parts = merged(draw(12), score)
+            if len(parts) > 1:
+                at = rng.integers(len(parts) - 1)
+                score[parts[at] + parts[at + 1]] = -i
+        pieces = list(score)
+        own = Pieces(pieces, [float(score[p]) for p in pieces], ["n"] * len(pieces), bpe=True)
+        texts = [draw(16) for _ in range(150)]
+        sizes, ids = own.units(texts)
+        assert [[pieces[i] for i in x] for x in np.split(ids, np.cumsum(sizes)[:-1])] == [merged(t, score) for t in texts]
+
+
+def test_vocabularies_that_merging_cannot_make_are_refused():
+    with pytest.raises(ValueError, match="not a BPE vocabulary"):
+        Pieces(["a", "b", "aab"], [-9.0, -9.0, -1.0], ["n"] * 3, bpe=True)

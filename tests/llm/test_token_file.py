@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from ledgerlight.llm.queries import tokenizer_path
-from ledgerlight.llm.token_file import EliasFano, Units, _tokenizer, encode_slice, read_blob, token_files, write_blob
+from ledgerlight.llm.token_file import EliasFano, _tokenizer, encode_slice, read_blob, token_files, write_blob
+from ledgerlight.llm.units import Units
 
 TEXTS = [None, "", "Hello  WORLD", "don't 世界 naïve\n\n x\u00a0y\u2003z", "word " * 3000, "<|endoftext|> <|startoftext|>x", "a" * 5000, "\u0130stanbul e\u0301"]
 
