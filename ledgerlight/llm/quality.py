@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as X
 
@@ -110,7 +111,7 @@ def quality_scores(documents: DataFrame, model: dict) -> DataFrame:
     they have the name of a result.
     """
     kept = documents.drop("held_out", "score", "predicted").where("doc_id is not null")
-    schema = f"{kept.schema.simpleString()[7:-1]},score:double"
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, limit=2 << 20):

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (local runs, tests) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerlight-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

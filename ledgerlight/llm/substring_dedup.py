@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import text as X
 from .scratch import Scratch, partitions
@@ -208,7 +209,7 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
     schema = own.limit(0).toArrow().schema
     for name, kind in zip(new, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True):
         schema = schema.append(pa.field(name, kind))
-    ddl = f"{own.schema.simpleString()[7:-1]},n_words:bigint,n_removed:bigint,kept_text:string,kept_sha256:string"
+    ddl = StructType([*own.schema.fields, *(StructField(c, k) for c, k in zip(new, (LongType(), LongType(), StringType(), StringType()), strict=True))])
 
     tables = []
 
