@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,23 +30,64 @@ def scaled_unit(unit: Column) -> Column:
     return F.struct(F.when(factor.isNull(), unit).otherwise(F.regexp_replace(unit, "^[^ ]+ ?", "")).alias("base"), F.coalesce(factor, F.lit(1.0)).alias("multiplier"))
 
 
+#: White space as line ends and at the ends of lines.
+_ENDS, _SPACE = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+", r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _char(code: Column) -> Column:
+    """The character of a code point."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters; those that are unknown stay."""
+    names = F.create_map(*[F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))])
+
+    def piece(p: Column) -> Column:
+        name, dec = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1), F.regexp_extract(p, "^#([0-9]{1,7});", 1)
+        hexa = F.regexp_extract(p, "^#[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.when(dec != "", dec.cast("long")).when(hexa != "", F.conv(hexa, 16, 10).cast("long"))
+        char = F.when(name == "apos", "'").when(name != "", F.try_element_at(names, name)).when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), _char(code))
+        return F.when(char.isNotNull(), F.concat(char, F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Plain text: no scripts and styles; a new line for block tags, a tab for cells; no blank lines."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?i)<(?:/?(?:p|tr|div|li|h[1-3])|br)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?i)<t[dh]\b[^>]*>", "\t")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "")
-    return F.trim(F.regexp_replace(t, r"\s*\n\s*", "\n"))
+    """Plain text: no scripts, styles and comments; a new line for block tags, a tab for cells; references as characters; no blank lines."""
+    t = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", "")
+    t = F.regexp_replace(t, r"(?i)<(?:p|br|tr|div|li|h[1-3])(?=[\s/>])[^>]*>", "\n")
+    t = F.regexp_replace(t, r"(?i)<t[dh](?=[\s/>])[^>]*>", "\t")
+    t = unescaped(F.regexp_replace(t, r"(?s)<[/!?A-Za-z][^>]*>", ""))
+    lines = F.transform(F.split(t, _ENDS), lambda x: F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def numbers(text: Column) -> Column:
-    """Number tokens of a text."""
-    return F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    """Number tokens of a text in one spelling: no separators of thousands inside a token, a point for a decimal comma."""
+    found = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0))
+    return F.transform(found, lambda n: F.replace(merged_thousands(n), F.lit(","), F.lit(".")))
+
+
+def number_guard(answer: Column, allowed: Column) -> Column:
+    """(ok, citations) of an answer: refused if a number stands in it more often than in all the *allowed* texts (an array)."""
+    have, found = F.flatten(F.transform(allowed, numbers)), numbers(answer)
+    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    ok = F.forall(F.array_distinct(found), lambda x: times(found, x) <= times(have, x))
+    return F.struct(ok.alias("ok"), F.when(ok, F.array_sort(found)).alias("citations"))
+
+
+#: Parameters of a URL that are never kept.
+SECRET_PARAMETERS = ("key", "token", "apikey", "api_key", "access_token", "password")
 
 
 def scrub(url: Column) -> Column:
-    """Secrets in query strings are blanked."""
-    return F.regexp_replace(url, r"(?i)((?:api_?key|token|secret|ref)=)[^&#]*", "$1***")
+    """The URLs of a text without secret parameters; the others stay as they are written."""
+    names = "|".join(SECRET_PARAMETERS)
+    out = F.regexp_replace(url, rf"(?i)(?<=[?&])(?:{names})(?:=[^&#\s]*)?(?:&|(?=#|\s|$))", "")
+    return F.regexp_replace(out, r"[?&](?=#|\s|$)", "")
 
 
 def merged_thousands(text: Column) -> Column:

@@ -92,12 +92,24 @@ def unit_scale_parse(spark, d):
     return u.select("unit", T.scaled_unit(F.col("unit")).alias("s"), T.currency_of(F.col("unit")).alias("currency")).select("unit", "s.base", "s.multiplier", "currency")
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, role, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?')) AS x FROM conversations), c AS (SELECT conv_id, x, count(*) FILTER (role = 'assistant') AS said, count(*) FILTER (role <> 'assistant') AS given FROM t GROUP BY ALL)
-SELECT conv_id, x, said - given AS excess FROM c WHERE said > given""")
+_ANSWER = """'Order ' || o_orderkey || ' came to ' || CASE WHEN o_orderkey % 3 = 0 THEN '1,250' ELSE '1250' END || ' or ' || replace(printf('%.2f', o_totalprice), '.', ',') ||
+CASE WHEN o_orderkey % 5 = 0 THEN ', again 1250' ELSE '' END"""
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, {_ANSWER} AS said FROM orders),
+t AS (SELECT o_orderkey, unnest(string_split(regexp_replace(said, '[^0-9.,]+|[.,]+ ', ' ', 'g'), ' ')) AS x FROM a),
+n AS (SELECT o_orderkey, CASE WHEN x = '1,250' THEN '1250' ELSE replace(x, ',', '.') END AS x FROM t WHERE regexp_matches(x, '[0-9]')),
+g AS (SELECT o_orderkey, unnest([CAST(o_orderkey AS VARCHAR), '1250', printf('%.2f', o_totalprice)]) AS x FROM orders),
+d AS (SELECT o_orderkey, x FROM n EXCEPT ALL SELECT o_orderkey, x FROM g)
+SELECT n.o_orderkey, NOT EXISTS (FROM d WHERE d.o_orderkey = n.o_orderkey) AS ok, count(*) AS numbers FROM n GROUP BY n.o_orderkey""")
 def number_guard_multiset(spark, d):
-    t = read(spark, d, "conversations").select("conv_id", "role", F.explode(T.numbers(F.col("text"))).alias("x"))
-    c = t.groupBy("conv_id", "x").agg(F.count_if(F.col("role") == "assistant").alias("said"), F.count_if(F.col("role") != "assistant").alias("given"))
-    return c.where("said > given").select("conv_id", "x", (F.col("said") - F.col("given")).alias("excess"))
+    """Answers that tell an order's number and price: a decimal comma, thousands in groups, and one that says a number twice."""
+    key, price = F.col("o_orderkey"), F.format_string("%.2f", F.col("o_totalprice"))
+    group = F.when(key % 3 == 0, "1,250").otherwise("1250")
+    more = F.when(key % 5 == 0, ", again 1250").otherwise("")
+    said = F.concat(F.lit("Order "), key.cast("string"), F.lit(" came to "), group, F.lit(" or "), F.replace(price, F.lit("."), F.lit(",")), more)
+    o = read(spark, d, "orders").select(key, T.number_guard(said, F.array(key.cast("string"), F.lit("1250"), price)).alias("g"), F.size(T.numbers(said)).cast("long").alias("numbers"))
+    return o.select("o_orderkey", "g.ok", "numbers")
 
 
 @query()
@@ -105,9 +117,16 @@ def html_to_text(spark, d):
     return read(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query(r"SELECT page_id, regexp_replace(url, '((?:api_?key|token|secret|ref)=)[^&#]*', '\1***', 'gi') AS url FROM pages")
+_CALLED = """url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || ['Token=', 'xref=', 'PASSWORD=', 'key=', 'monkey='][page_id % 5 + 1] || page_id || '&lang=en'"""
+
+
+@query(f"""WITH u AS (SELECT page_id, {_CALLED} AS u FROM pages WHERE NOT contains(url, '#')), p AS (SELECT page_id, split_part(u, '?', 1) AS head, string_split(substr(u, strpos(u, '?') + 1), '&') AS q FROM u)
+SELECT page_id, head || '?' || array_to_string(list_filter(q, lambda x: NOT list_contains(['key', 'token', 'apikey', 'api_key', 'access_token', 'password'], lower(split_part(x, '=', 1)))), '&') AS url FROM p""")
 def secret_scrub(spark, d):
-    return read(spark, d, "pages").select("page_id", T.scrub(F.col("url")).alias("url"))
+    """Page addresses called with another parameter, some secret, some with a name that only ends like one."""
+    name = F.element_at(F.array(*map(F.lit, ("Token=", "xref=", "PASSWORD=", "key=", "monkey="))), (F.col("page_id") % 5 + 1).cast("int"))
+    called = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), name, F.col("page_id").cast("string"), F.lit("&lang=en"))
+    return read(spark, d, "pages").where(~F.contains("url", F.lit("#"))).select("page_id", T.scrub(called).alias("url"))
 
 
 @query(f"WITH {SECTORS} SELECT issuer, CASE WHEN sector = 'ASIA' THEN 'not_applicable: banks' WHEN balance < 0 THEN 'negative_denominator' END AS reason FROM sectors")
