@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, measures, records, series  # noqa: F401  they register themselves
+from . import documents, measures, records, rules, series, snapshots  # noqa: F401  they register themselves
 from .model import REGISTRY
 
 

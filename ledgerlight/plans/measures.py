@@ -218,12 +218,6 @@ def fill_rate(spark, d):
     return g.withColumn("rate", r6(F.col("filled") / (2.0 * F.col("cells"))))
 
 
-@query(f"WITH {_BASE} SELECT issuer, yr, CASE WHEN revenue - cogs > revenue * 0.051 THEN 'implausible: margin' WHEN revenue * 3 / nullif(equity, 0) > 500 THEN 'implausible: pb' END AS flag FROM b WHERE revenue - cogs > revenue * 0.051 OR revenue * 3 / nullif(equity, 0) > 500")
-def implausible_flags(spark, d):
-    flag = F.when(_gross() > _c("revenue") * 0.051, "implausible: margin").when(F.try_divide(_c("revenue") * 3, _c("equity")) > 500, "implausible: pb")
-    return base(spark, d).select("issuer", "yr", flag.alias("flag")).where("flag is not null")
-
-
 @query(f"WITH {_BASE} SELECT issuer, yr, round(revenue, 2) AS revenue, round(revenue - lag(revenue) OVER (PARTITION BY issuer ORDER BY yr), 2) AS change FROM b QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY yr DESC) <= 3")
 def statement_series(spark, d):
     w = Window.partitionBy("issuer").orderBy("yr")

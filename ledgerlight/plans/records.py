@@ -8,7 +8,7 @@ from ledgerlight.functions import text as T
 from ledgerlight.operators import picks
 from ledgerlight.streaming import ingest
 
-from .model import SECTORS, periods, periods_sql, query, r6, read, sectors
+from .model import query, r6, read
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -30,27 +30,6 @@ def dedup_supersession(spark, d):
     return s.select("fact_id", F.coalesce("superseded_by", "fact_id").alias("winner"), "superseded_by")
 
 
-#: Raw tags, their canonical concept and rank.
-TAGS = (("click", "engagement", 0), ("view", "engagement", 1), ("purchase", "revenue", 0), ("signup", "customers", 0))
-_MAP = "tags AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', {r})" for t, c, r in TAGS) + ") t(tag, concept, tag_rank))"
-
-
-def _tags(spark):
-    return spark.createDataFrame(TAGS, "tag string, concept string, tag_rank int")
-
-
-@query(f"WITH {_MAP} SELECT user_id, concept, event_id FROM events JOIN tags ON event_type = tag QUALIFY row_number() OVER (PARTITION BY user_id, concept ORDER BY tag_rank, ts DESC, event_id) = 1")
-def concept_map_rank(spark, d):
-    e = read(spark, d, "events").join(F.broadcast(_tags(spark)), F.col("event_type") == F.col("tag"))
-    return picks.first_by(e, ["user_id", "concept"], "tag_rank", F.desc("ts"), "event_id").select("user_id", "concept", "event_id")
-
-
-@query(f"WITH {_MAP} SELECT event_type, count(*) AS n FROM events LEFT JOIN tags ON event_type = tag WHERE concept IS NULL GROUP BY ALL")
-def unmapped_tags(spark, d):
-    e = read(spark, d, "events").join(F.broadcast(_tags(spark)), F.col("event_type") == F.col("tag"), "left")
-    return e.where("concept is null").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 #: The blocks of coverage.
 BLOCKS = ("prices", "fundamentals", "ownership", "corporate_actions", "governance", "industry_metrics", "peer_set", "llm_summary")
 _BLOCKS = "(VALUES " + ", ".join(f"('{b}')" for b in BLOCKS) + ") b(block)"
@@ -129,35 +108,11 @@ def secret_scrub(spark, d):
     return read(spark, d, "pages").where(~F.contains("url", F.lit("#"))).select("page_id", T.scrub(called).alias("url"))
 
 
-@query(f"WITH {SECTORS} SELECT issuer, CASE WHEN sector = 'ASIA' THEN 'not_applicable: banks' WHEN balance < 0 THEN 'negative_denominator' END AS reason FROM sectors")
-def not_applicable_override(spark, d):
-    why = F.when(F.col("sector") == "ASIA", "not_applicable: banks").when(F.col("balance") < 0, "negative_denominator")
-    return sectors(spark, d).select("issuer", why.alias("reason"))
-
-
-@query("SELECT s_suppkey AS issuer, CASE WHEN s_acctbal >= 5000 THEN 'green' WHEN s_acctbal >= 3300 THEN 'yellow' ELSE 'red' END AS color FROM supplier")
-def governance_colors(spark, d):
-    b = F.col("s_acctbal")
-    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("issuer"), F.when(b >= 5000, "green").when(b >= 3300, "yellow").otherwise("red").alias("color"))
-
-
 @query("SELECT CAST(floor(p_size / 5) * 5 AS BIGINT) AS age_from, count(*) AS n FROM part GROUP BY ALL")
 def age_histogram(spark, d):
     return read(spark, d, "part").groupBy((F.floor(F.col("p_size") / 5) * 5).alias("age_from")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {periods_sql('q')} SELECT issuer, "end", round(revenue / ("end" - start + 1), 6) AS revenue_per_day, round(100 * returned / revenue, 6) AS idle_pct, round(opex / ("end" - start + 1), 6) AS opex_per_day FROM q""")
-def tanker_metrics(spark, d):
-    days = F.datediff("end", "start") + 1
-    return periods(spark, d).select("issuer", "end", r6(F.col("revenue") / days).alias("revenue_per_day"), r6(100 * F.col("returned") / F.col("revenue")).alias("idle_pct"), r6(F.col("opex") / days).alias("opex_per_day"))
-
-
-@query(f"""WITH {periods_sql('q')} SELECT issuer, "end", round(cogs / opex, 6) AS cost_per_ton, round((cogs + tax) / opex, 6) AS aisc, round((cogs + tax) / revenue, 6) AS cost_ratio FROM q WHERE opex <> 0""")
-def mining_metrics(spark, d):
-    q, all_in = periods(spark, d).where("opex <> 0"), F.col("cogs") + F.col("tax")
-    return q.select("issuer", "end", r6(F.col("cogs") / F.col("opex")).alias("cost_per_ton"), r6(all_in / F.col("opex")).alias("aisc"), r6(all_in / F.col("revenue")).alias("cost_ratio"))
-
-
 @query("SELECT c_custkey, CASE WHEN n IS NULL THEN 'not_found' WHEN n = 1 THEN 'added' ELSE 'already_present' END AS class FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL) ON c_custkey = o_custkey")
 def import_classification(spark, d):
     n = read(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
