@@ -110,3 +110,93 @@ def quote_status(value: Column, quote: Column, page: Column) -> Column:
     digits = lambda t: F.concat(F.regexp_extract(t, r"^[\s\u00a0]*([+-]?)", 1), F.regexp_replace(t, r"[^0-9]", ""))
     near = digits(value).rlike("[0-9]") & digits(quote).contains(digits(value))
     return F.when(~F.coalesce(here, F.lit(False)), "failed").when(F.coalesce(F.array_contains(found, plain_number(value)), F.lit(False)), "verified").when(near, "near_miss").otherwise("failed")
+
+
+#: Number words of depositary ratios.
+NUMBER_WORDS = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20,
+    "twenty-five": 25, "thirty": 30, "forty": 40, "fifty": 50, "hundred": 100, "one hundred": 100,
+}
+
+
+def ads_ratio(text: Column) -> Column:
+    """Shares in one depositary share, as a report's text tells; null where it does not, and for 0 and over 1000."""
+    number = r"(\d+(?:\.\d+)?|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\b"
+    ads = r"(?:American\s+Depositary\s+Shares?|ADSs?|ADRs?)"
+    plain = F.regexp_replace(text, r"[\s ]+", " ")
+    first = F.regexp_extract(plain, rf"(?i){ads}[^.;]{{0,160}}?\beach\s+(?:representing|represents|representative\s+of)\s+{number}", 1)
+    second = F.regexp_extract(plain, rf"(?i)\beach\s+{ads}\s+(?:representing|represents)\s+{number}", 1)
+    token = F.lower(F.when(first != "", first).otherwise(second))
+    words = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, float(n))])
+    value = F.coalesce(token.try_cast("double"), F.try_element_at(words, token))
+    return F.when((value > 0) & (value <= 1000), value)
+
+
+def period_bounds(period: Column, year_end: Column) -> Column:
+    """(start, end, type) of 'FY2025', '2025', a date or anything else; a fiscal year ends on *year_end* (MM-DD), else in December."""
+    t = F.coalesce(F.trim(period), F.lit(""))
+    year = F.regexp_extract(t, r"^(?:(?:FY|fy)\s*)?(\d{4})$", 1)
+    end = F.coalesce(F.to_date(F.try_to_timestamp(F.concat_ws("-", year, year_end), F.lit("yyyy-MM-dd"))), F.to_date(F.concat(year, F.lit("-12-31"))))
+    start = F.date_add(F.add_months(end, -12), 1)
+    day = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.to_date(F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))))
+    other = F.when(t == "", "unknown").otherwise(t)
+    pick = lambda y: F.when(year != "", y.cast("string")).when(day.isNotNull(), t).otherwise(other)
+    return F.struct(pick(start).alias("start"), pick(end).alias("end"), F.when(year != "", "duration").otherwise("instant").alias("type"))
+
+
+#: Scale words of manual units.
+MANUAL_SCALES = {"thousand": 1e3, "th": 1e3, "k": 1e3, "000": 1e3, "million": 1e6, "mn": 1e6, "mm": 1e6, "m": 1e6, "billion": 1e9, "bn": 1e9}
+
+
+def unit_shape(unit: Column) -> Column:
+    """(scale, currency, reason) of a manual record's unit: rates, unknown words and empty units are refused by name."""
+    t = F.trim(F.coalesce(unit, F.lit("")))
+    tokens = F.transform(F.split(F.translate(t, ",", " "), r"\s+"), lambda x: F.regexp_replace(x, "^['’\"`().]+|['’\"`().]+$", ""))
+    tokens = F.filter(tokens, lambda x: x != "")
+    scales = F.create_map(*[F.lit(x) for w, n in MANUAL_SCALES.items() for x in (w, n)])
+    iso = F.filter(tokens, lambda x: x.rlike("^[A-Z]{3}$"))
+    bare = F.filter(F.transform(F.filter(tokens, lambda x: ~x.rlike("^[A-Z]{3}$")), lambda x: F.lower(F.translate(x, "$€£₽¥₴₹", ""))), lambda x: x != "")
+    odd = F.filter(bare, lambda x: ~F.map_contains_key(scales, x))
+    scale = F.try_element_at(scales, F.try_element_at(bare, F.lit(-1)))
+    why = F.when(t == "", "empty_unit").when(t.contains("/") | F.lower(t).contains(" per "), "rate_unit").when(F.size(odd) > 0, F.concat(F.lit("unknown_unit:"), F.try_element_at(odd, F.lit(1))))
+    why = why.when((F.size(bare) == 0) & (F.size(iso) == 0), "unknown_unit")
+    return F.struct(F.when(why.isNull(), F.coalesce(scale, F.lit(1.0))).alias("scale"), F.when(why.isNull(), F.try_element_at(iso, F.lit(1))).alias("currency"), why.alias("reason"))
+
+
+def tickers(text: Column) -> Column:
+    """Words that look like tickers: one to five capitals, a class after a point or dash; each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{1,5}(?:[.-][A-Z])?\b"), F.lit(0)))
+
+
+def year_before(day: Column) -> Column:
+    """The same day a year earlier; the end of February of a leap year is its 28th."""
+    return F.add_months(day, -12)
+
+
+def filled_in(template: Column, values: Column) -> Column:
+    """A text with {{concept}} replaced by the value of a map; what the map lacks stays as it is."""
+    names = F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{\{\s*([a-z_0-9]+)\s*\}\}"), F.lit(1)))
+    parts = F.split(template, r"\{\{")
+
+    def one(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^\s*([a-z_0-9]+)\s*\}\}", 1)
+        value = F.try_element_at(values, name)
+        return F.when((name != "") & value.isNotNull(), F.concat(value, F.regexp_replace(p, r"^[^}]*\}\}", ""))).otherwise(F.concat(F.lit("{{"), p))
+
+    rest = F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), "")
+    return F.when(F.size(names) > 0, F.concat(parts[0], rest)).otherwise(template)
+
+
+def shown_number(value: Column, kind: Column, unit: Column) -> Column:
+    """A number for a table: shares as percent, multiples with a cross, money from a million on in words, else four digits."""
+    group = lambda x: F.replace(F.replace(F.format_number(x, 2), F.lit(","), F.lit(" ")), F.lit("."), F.lit(","))
+    size = F.abs(value)
+    money = unit.rlike("^[A-Z]{3}$")
+    words = F.when(money & (size >= 1e12), F.concat(group(value / 1e12), F.lit(" trn "), unit)).when(money & (size >= 1e9), F.concat(group(value / 1e9), F.lit(" bn "), unit))
+    words = words.when(money & (size >= 1e6), F.concat(group(value / 1e6), F.lit(" m "), unit))
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", value), "0+$", ""), r"\.$", "")
+    return F.when(value.isNull(), "no data").when(kind == "percent", F.concat(group(value * 100), F.lit(" %"))).when(kind == "multiple", F.concat(group(value), F.lit("×"))).otherwise(F.coalesce(words, plain))
+
+
+def stale_mark(end: Column, newest: Column, most: int = 1100) -> Column:
+    return F.when(F.datediff(newest, end) > most, F.concat(F.lit("last "), end.cast("string")))

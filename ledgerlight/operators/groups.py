@@ -19,9 +19,13 @@ def quartiles(rows: DataFrame, group: str, value: str = "value", least: int = QU
 def percentile_below(rows: DataFrame, group: str, member: str, value: str = "value", least: int = PERCENTILE_FROM) -> DataFrame:
     """(group, member, n, percentile): share of the other members strictly below, from *least* others on."""
     rows = rows.where(F.col(value).isNotNull())
-    below = F.rank().over(Window.partitionBy(group).orderBy(value)) - 1
-    others = F.count("*").over(Window.partitionBy(group)) - 1
-    return rows.select(group, member, others.alias("n"), F.try_divide(below, others).alias("percentile")).where(F.col("n") >= least)
+    # equal values are counted first, so the window sees each distinct value once and not each member
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    before = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(group, value, F.coalesce(before, F.lit(0)).alias("_below"), (F.sum("_c").over(w) - 1).alias("n"))
+    out = rows.join(counts, [group, value])
+    return out.select(group, member, "n", F.try_divide("_below", "n").alias("percentile")).where(F.col("n") >= least)
 
 
 def concentration(rows: DataFrame, group: str, value: str = "value") -> DataFrame:
@@ -44,6 +48,6 @@ def dominant(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def period_window(rows: DataFrame, group: str, end: str = "end", most: int = 730) -> DataFrame:
     """(group, period_from, period_to, included, excluded): members whose period ends within *most* days of the newest."""
-    newest = F.max(end).over(Window.partitionBy(group))
-    r = rows.withColumn("_in", F.datediff(newest, F.col(end)) <= most)
+    newest = rows.groupBy(group).agg(F.max(end).alias("_newest"))
+    r = rows.join(newest, group).withColumn("_in", F.datediff("_newest", F.col(end)) <= most)
     return r.groupBy(group).agg(F.min(F.when(F.col("_in"), F.col(end))).alias("period_from"), F.max(end).alias("period_to"), F.count_if("_in").alias("included"), F.count_if(~F.col("_in")).alias("excluded"))

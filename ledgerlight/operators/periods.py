@@ -17,38 +17,36 @@ def trailing_year(facts: DataFrame, as_of: str) -> DataFrame:
 
     The anchor is the newest period that is closed at as_of. In order: itself where it is annual; four adjacent quarters that end
     with it; last annual + year to date - year to date before; the newest annual ('annual_fallback'). One fact stands for each
-    (start, end). The chain is one window; the algebra is two joins on the anchor, which has one row a key.
+    (start, end). One exchange: the periods of a key become a sorted array, on which all four ways are functions.
     """
     key = ["issuer", "concept"]
     p = facts.where((F.col("end") <= F.lit(as_of).cast("date")) & (F.col("end") > F.col("start")) & F.col("value").isNotNull())
-    p = p.groupBy(*key, "start", "end").agg(F.min("value").alias("value")).withColumn("days", days())
-    newest = Window.partitionBy(*key).orderBy(F.desc("end"), F.desc("start"))
-    p = p.withColumn("rn", F.row_number().over(newest))
-    anchor = p.where("rn = 1").drop("rn")
-    by_end = Window.partitionBy(*key, "quarter").orderBy("end")
-    q = p.withColumn("quarter", F.col("days").between(*QUARTER)).where("quarter")
-    q = q.withColumn("gap", F.datediff("start", F.lag("end").over(by_end)).between(*GAP).cast("int"))
-    three = by_end.rowsBetween(-2, 0)
-    q = q.withColumn("joined", F.sum("gap").over(three)).withColumn("first", F.lag("start", 3).over(by_end)).withColumn("four", F.sum("value").over(by_end.rowsBetween(-3, 0)))
-    chain = q.where((F.col("joined") == 3) & (F.col("rn") == 1) & (F.datediff("end", "first") + 1).between(*ANNUAL)).select(*key, F.col("four").alias("c_value"), F.col("first").alias("c_start"))
-    annual = p.where(F.col("days").between(*ANNUAL)).select(*key, F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.col("value").alias("a_value"))
-    fy = anchor.join(annual, key).where(F.datediff("start", "a_end").between(*GAP))
-    prior = p.select(*key, F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("value").alias("p_value"))
-    both = fy.join(prior, key).where(F.datediff("start", "p_start").between(*YEAR_BACK) & F.datediff("end", "p_end").between(*YEAR_BACK))
-    algebra = both.groupBy(*key).agg(F.max(F.struct("a_end", "p_end", (F.col("a_value") + F.col("value") - F.col("p_value")).alias("v"))).alias("m"))
-    algebra = algebra.select(*key, F.col("m.v").alias("y_value"), F.date_add("m.p_end", 1).alias("y_start"))
-    back = annual.groupBy(*key).agg(F.max(F.struct("a_end", "a_start", "a_value")).alias("f"))
-    out = anchor.join(chain, key, "left").join(algebra, key, "left").join(back, key, "left")
-    own = F.col("days").between(*ANNUAL)
-    pick = lambda a, b, c, d: F.when(own, a).when(F.col("c_value").isNotNull(), b).when(F.col("y_value").isNotNull(), c).otherwise(d)
-    rows = out.select(
-        *key,
-        pick(F.col("value"), F.col("c_value"), F.col("y_value"), F.col("f.a_value")).alias("value"),
-        pick(F.col("start"), F.col("c_start"), F.col("y_start"), F.col("f.a_start")).alias("start"),
-        pick(F.col("end"), F.col("end"), F.col("end"), F.col("f.a_end")).alias("end"),
-        pick(F.lit("ttm"), F.lit("ttm"), F.lit("ttm"), F.lit("annual_fallback")).alias("basis"),
+    # rows are dealt by the key once; all that follows keeps that partitioning
+    p = p.select(*key, "start", "end", "value").repartition(*key).groupBy(*key, "start", "end").agg(F.min("value").alias("value"))
+    one = F.struct("end", "start", "value", days().alias("days"))
+    # the periods of one issuer and concept, newest first: some hundreds at most
+    p = p.groupBy(*key).agg(F.sort_array(F.collect_list(one), asc=False).alias("p"))
+    gap = lambda later, earlier: F.datediff(later["start"], earlier["end"])
+    anchor = F.col("p")[0]
+    annual = F.filter("p", lambda x: x["days"].between(*ANNUAL))
+    quarters = F.filter("p", lambda x: x["days"].between(*QUARTER))
+    q = F.slice(quarters, 1, 4)
+    adjacent = (F.size(q) == 4) & (q[0]["end"] == anchor["end"]) & (q[0]["start"] == anchor["start"]) & F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: gap(F.get(q, i), F.get(q, i + 1)).between(*GAP))
+    chain = adjacent & (F.datediff(F.get(q, F.lit(0))["end"], F.get(q, F.lit(3))["start"]) + 1).between(*ANNUAL)
+    year = F.get(F.filter(annual, lambda x: F.datediff(anchor["start"], x["end"]).between(*GAP)), F.lit(0))
+    back = F.filter("p", lambda x: F.datediff(anchor["start"], x["start"]).between(*YEAR_BACK) & F.datediff(anchor["end"], x["end"]).between(*YEAR_BACK))
+    prior = F.get(back, F.lit(0))
+    four = F.aggregate(q, F.lit(0.0), lambda a, x: a + x["value"])
+    span = lambda v, s, e, basis: F.struct(v.cast("double").alias("value"), s.alias("start"), e.alias("end"), F.lit(basis).alias("basis"))
+    whole = lambda x, basis: span(x["value"], x["start"], x["end"], basis)
+    newest = F.get(annual, F.lit(0))
+    out = (
+        F.when(anchor["days"].between(*ANNUAL), whole(anchor, "ttm"))
+        .when(chain, span(four, F.get(q, F.lit(3))["start"], anchor["end"], "ttm"))
+        .when(year.isNotNull() & prior.isNotNull(), span(year["value"] + anchor["value"] - prior["value"], F.date_add(prior["end"], 1), anchor["end"], "ttm"))
+        .when(newest.isNotNull(), whole(newest, "annual_fallback"))
     )
-    return rows.where("value is not null")
+    return p.select(*key, out.alias("w")).where("w is not null").select(*key, "w.*")
 
 
 def year_gaps(rows: DataFrame, key: str, year: str) -> DataFrame:

@@ -43,9 +43,15 @@ def valid_at(rows: DataFrame, at: Column, closed: bool) -> DataFrame:
 
 
 def churn(versions: DataFrame, key: str, version: str, member: str) -> DataFrame:
-    """(key, version, added, removed, churn): each version against the one before; churn is the changed share of the current size."""
-    v = versions.groupBy(key, version).agg(F.collect_set(member).alias("m"))
-    before = F.lag("m").over(Window.partitionBy(key).orderBy(version))
-    v = v.withColumn("b", before).where("b is not null")
-    v = v.withColumn("added", F.size(F.array_except("m", "b"))).withColumn("removed", F.size(F.array_except("b", "m")))
-    return v.select(key, version, "added", "removed", F.try_divide(F.col("added") + F.col("removed"), F.size("m")).alias("churn"))
+    """(key, version, added, removed, churn): each version against the one before; churn is the changed share of the current size.
+
+    Members are matched by a join, so no set is gathered in one row.
+    """
+    v = versions.select(key, version, member).distinct()
+    order = v.select(key, version).distinct().withColumn("_next", F.lead(version).over(Window.partitionBy(key).orderBy(version)))
+    now = v.withColumn("_now", F.lit(True))
+    before = v.join(order.where("_next is not null"), [key, version]).select(key, F.col("_next").alias(version), member, F.lit(True).alias("_before"))
+    j = now.join(before, [key, version, member], "full")
+    g = j.groupBy(key, version).agg(F.count_if(F.col("_before").isNull()).alias("added"), F.count_if(F.col("_now").isNull()).alias("removed"), F.count("_now").alias("_n"))
+    later = order.where("_next is not null").select(key, F.col("_next").alias(version))
+    return g.join(later, [key, version], "left_semi").select(key, version, "added", "removed", F.try_divide(F.col("added") + F.col("removed"), "_n").alias("churn"))

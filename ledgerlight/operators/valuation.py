@@ -323,12 +323,16 @@ def _measures(b: DataFrame, at: Column) -> DataFrame:
 
 
 def price_measures(price_rows: DataFrame, actions: DataFrame, as_of: str, days: int = 365, edge: int = 7) -> DataFrame:
-    """(id, total_return, drawdown, reason): over the year up to a date, dividends put back; both edges must lie within *edge* days."""
+    """(id, total_return, drawdown, reason): over the year up to a date, dividends put back; both edges must lie within *edge* days.
+
+    A price of 0 or less has no drawdown.
+    """
     at = F.lit(as_of).cast("date")
     own = price_rows.where((F.col("date") <= at) & F.col("close").isNotNull())
     adj = prices.adjusted(own, actions.where("kind = 'dividend'")).where(F.col("date") >= F.date_sub(at, days))
     r = prices.returns(adj, "price_adj")
-    ends = adj.groupBy("id").agg(F.min("date").alias("a"), F.max("date").alias("z"))
+    ends = adj.groupBy("id").agg(F.min("date").alias("a"), F.max("date").alias("z"), F.min("price_adj").alias("low"))
     out = price_rows.select("id").distinct().join(r, "id", "left").join(ends, "id", "left")
     ok = F.coalesce((F.datediff("a", F.date_sub(at, days)) <= edge) & (F.datediff(at, "z") <= edge), F.lit(False))
-    return out.select("id", F.when(ok, F.col("total_return")).alias("total_return"), F.when(ok, F.col("drawdown")).alias("drawdown"), F.when(~ok, F.lit("missing_data: price_close")).alias("reason"))
+    why = F.when(~ok, "missing_data: price_close").when(F.col("low") <= 0, "missing_data: nonpositive_price")
+    return out.select("id", F.when(ok, F.col("total_return")).alias("total_return"), F.when(why.isNull(), F.col("drawdown")).alias("drawdown"), why.alias("reason"))

@@ -61,8 +61,8 @@ def ttm_annual_fallback(spark, d):
 
 _Y = periods_sql("y", "year")
 #: One row for each issuer and year; some inputs are missing so that reasons show.
-_BASE = f"""{_Y}, {SECTORS}, b AS (SELECT y.*, year(y.start) AS yr, nullif(returned, 0) AS interest, CASE WHEN balance > 0 THEN balance * 100 END AS cash, balance AS equity, sector, currency,
-sum(revenue - cogs) OVER (PARTITION BY issuer ORDER BY start) AS assets, lag(balance + (year(y.start) - 1995) * 1000) OVER (PARTITION BY issuer ORDER BY start) AS equity_0, balance + (year(y.start) - 1995) * 1000 AS equity_1 FROM y JOIN sectors USING (issuer))"""
+_BASE = f"""{_Y}, {SECTORS}, b AS (SELECT *, lag(assets) OVER (PARTITION BY issuer ORDER BY start) AS assets_0 FROM (SELECT y.*, year(y.start) AS yr, nullif(returned, 0) AS interest, CASE WHEN balance > 0 THEN balance * 100 END AS cash, balance AS equity, sector, currency,
+sum(revenue - cogs) OVER (PARTITION BY issuer ORDER BY start) AS assets, lag(balance + (year(y.start) - 1995) * 1000) OVER (PARTITION BY issuer ORDER BY start) AS equity_0, balance + (year(y.start) - 1995) * 1000 AS equity_1 FROM y JOIN sectors USING (issuer)))"""
 
 
 def base(spark, d) -> DataFrame:
@@ -70,6 +70,7 @@ def base(spark, d) -> DataFrame:
     y = period_rows(spark, d, "year").join(sectors(spark, d).select("issuer", "sector", "currency", "balance"), "issuer")
     y = y.withColumn("yr", F.year("start")).withColumn("interest", F.nullif("returned", F.lit(0.0))).withColumn("cash", F.when(F.col("balance") > 0, F.col("balance") * 100)).withColumn("equity", F.col("balance"))
     y = y.withColumn("assets", F.sum(F.col("revenue") - F.col("cogs")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    y = y.withColumn("assets_0", F.lag("assets").over(w))
     return y.withColumn("equity_1", F.col("balance") + (F.col("yr") - 1995) * 1000).withColumn("equity_0", F.lag(F.col("balance") + (F.col("yr") - 1995) * 1000).over(w))
 
 
@@ -125,7 +126,7 @@ def _mean_ratio(flow: Column, before: str, after: str) -> Column:
 
 
 _measure("roe_two_period", lambda: _mean_ratio(_gross() - _c("tax"), "equity_0", "equity_1"), "(revenue - cogs - tax) / nullif((equity_0 + equity_1) / 2, 0)", f"coalesce(CASE WHEN equity_0 IS NULL THEN 'missing_data: mean_stock' END, {_over('((equity_0 + equity_1) / 2)')})")
-_measure("asset_turnover", lambda: R.ratio(revenue=_c("revenue"), assets=_c("assets")), "revenue / nullif(assets, 0)", _over("assets"))
+_measure("asset_turnover", lambda: _mean_ratio(_c("revenue"), "assets_0", "assets"), "revenue / nullif((assets_0 + assets) / 2, 0)", f"coalesce(CASE WHEN assets_0 IS NULL THEN 'missing_data: mean_stock' END, {_over('((assets_0 + assets) / 2)')})")
 _measure("ebitda_fallback", lambda: R.result(F.coalesce(_c("interest") + _c("opex"), _gross() + _c("opex")), F.lit(None).cast("string")), "coalesce(interest + opex, revenue - cogs + opex)", "CAST(NULL AS VARCHAR)")
 _measure("derived_operating_income", lambda: R.total({"income": -1}, expense=_c("interest"), income=F.coalesce(_c("cash"), F.lit(0.0)), pretax=_gross()), "revenue - cogs + interest - coalesce(cash, 0)", "CASE WHEN interest IS NULL THEN 'missing_data: expense' END")
 _measure("ev_bridge", lambda: R.total({"cash": -1}, cash=_c("cash"), debt=F.coalesce(_c("interest"), F.lit(0.0)), market_cap=_c("revenue") * 3), "revenue * 3 + coalesce(interest, 0) - cash", _missing("cash"))
@@ -189,13 +190,13 @@ def dominant_currency(spark, d):
     return groups.dominant(s, "sector", "currency").select("sector", "currency", "n")
 
 
-_LAST = 'l AS (SELECT issuer, max("end") AS "end" FROM q WHERE returned > 20000 GROUP BY issuer)'
+_LAST = 'l AS (SELECT issuer, max("end") AS "end" FROM q GROUP BY issuer)'
 
 
 @query(f"""WITH {_Q}, {SECTORS}, {_LAST}, w AS (SELECT sector, "end", max("end") OVER (PARTITION BY sector) AS top FROM l JOIN sectors USING (issuer))
 SELECT sector, min("end") FILTER (top - "end" <= 730) AS period_from, max(top) AS period_to, count(*) FILTER (top - "end" <= 730) AS included, count(*) FILTER (top - "end" > 730) AS excluded FROM w GROUP BY sector""")
 def period_window_730(spark, d):
-    last = period_rows(spark, d).where("returned > 20000").groupBy("issuer").agg(F.max("end").alias("end"))
+    last = period_rows(spark, d).groupBy("issuer").agg(F.max("end").alias("end"))
     return groups.period_window(last.join(sectors(spark, d), "issuer"), "sector")
 
 

@@ -109,12 +109,12 @@ def ticker_ambiguity(spark, d):
     return g.withColumn("state", F.when(F.col("n") == 1, "resolved").otherwise("ambiguous"))
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS member, year(l_shipdate) AS version, l_returnflag AS k FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 2 = 0),
+@query("""WITH m AS (SELECT DISTINCT l_suppkey AS member, year(l_shipdate) AS version, l_returnflag AS k FROM lineitem),
 p AS (SELECT k, version, lag(version) OVER (PARTITION BY k ORDER BY version) AS prev FROM (SELECT DISTINCT k, version FROM m))
 SELECT p.k, p.version, (SELECT count(*) FROM m a WHERE a.k = p.k AND a.version = p.version AND NOT EXISTS (FROM m b WHERE b.k = p.k AND b.version = p.prev AND b.member = a.member)) AS added,
 (SELECT count(*) FROM m a WHERE a.k = p.k AND a.version = p.prev AND NOT EXISTS (FROM m b WHERE b.k = p.k AND b.version = p.version AND b.member = a.member)) AS removed FROM p WHERE prev IS NOT NULL""")
 def peer_churn(spark, d):
-    m = read(spark, d, "lineitem").where("l_quantity > 45 and l_suppkey % 2 = 0").select(F.col("l_suppkey").alias("member"), F.year("l_shipdate").cast("long").alias("version"), F.col("l_returnflag").alias("k"))
+    m = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("member"), F.year("l_shipdate").cast("long").alias("version"), F.col("l_returnflag").alias("k"))
     return picks.churn(m.distinct(), "k", "version", "member").select("k", "version", F.col("added").cast("long").alias("added"), F.col("removed").cast("long").alias("removed"))
 
 
