@@ -9,6 +9,8 @@
    with the runs: the first holder of a fingerprint keeps it, every later one is a
    repeat. A match is verified on a second, independent fingerprint (96 bits in all). The merged run is the
    compacted index for the next batch; the old run is not read again.
+   With a stored index (index=path) later calls go on from earlier ones: every window enters it, as one that stands once may
+   be repeated later. A call adds one run of what is new; when there are FAN runs they are compacted into one.
 4. Each slice marks the windows that repeat an earlier one and drops the words they cover.
 
 A window that stands many times in a slice travels once, so a passage that a third of all
@@ -21,20 +23,20 @@ import hashlib
 import pickle
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import text as X
 from .scratch import Scratch, partitions
 
-GRAM = 8
+GRAM, FAN = 8, 4
 RANGE_BYTES = 256 << 10
 _DEALT = "kind int, key int, slice long, data binary"
 _ROWS = {"kind": pa.int32(), "key": pa.int32(), "slice": pa.int64(), "data": pa.binary()}
@@ -166,15 +168,97 @@ def _merge(run: pa.Table, batch: pa.Table) -> pa.Table:
     return _rows(out)
 
 
+def _deal_all(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for this, raw in zip(_column(rows, "slice").to_pylist(), _column(rows, "data").to_pylist(), strict=True):
+            w, at, h = _windows(_unpack(raw), size)
+            if len(at):
+                h, first = np.unique(h, return_index=True)
+                yield from _rows(_split(this, h, ranges, _check(w, at, size)[first])).to_batches()
+
+
+def _add(runs: pa.Table, batch: pa.Table) -> pa.Table:
+    """_merge() that gives of the merged run only what the runs did not have."""
+    out = _merge(runs, batch).to_pylist()
+    old = [pickle.loads(x) for x in runs.column("data").to_pylist()]
+    k, c = pickle.loads(out[0]["data"])
+    if old:
+        have = np.rec.fromarrays([np.concatenate([x for x, _ in old]), np.concatenate([x for _, x in old])])
+        new = ~np.isin(np.rec.fromarrays([k, c]), have)
+        k, c = k[new], c[new]
+    rows = [(x["kind"], x["key"], x["slice"], x["data"]) for x in out[1:]]
+    return _rows([(1, out[0]["key"], 0, pickle.dumps((k, c), 5)), *rows] if len(k) else rows)
+
+
+def _compact(runs: pa.Table, ranges: int) -> pa.Table:
+    """One sorted run of several, dealt by a new number of ranges."""
+    got = [pickle.loads(x) for x in runs.column("data").to_pylist()]
+    k, c = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
+    order = np.lexsort((c, k))
+    return _rows([(1, key, 0, data) for _, key, _, data in _split(0, k[order], ranges, c[order])])
+
+
+class Index:
+    """Runs of window fingerprints in a folder; a manifest for each version names the runs that are alive and their ranges.
+
+    Runs and manifests are never changed, so an older version stays readable, and a call that failed half-way leaves no trace.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def versions(self) -> list[int]:
+        top = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        there = [x.getPath() for x in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(p.getName()) for p in there if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def at(self, version: int | None) -> tuple[int, int, list[str]]:
+        """(version, ranges, runs) of a version, else of the last one; 0 is the empty index."""
+        version = max(self.versions(), default=0) if version is None else version
+        rows = self.spark.read.parquet(f"{self.path}/manifest/{version}").collect() if version else []
+        return version, rows[0].ranges if rows else 0, [r.run for r in rows if r.run]
+
+    def runs(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(_DEALT).parquet(*[f"{self.path}/{r}" for r in names]) if names else self.spark.createDataFrame([], _DEALT)
+
+    def write(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex[:12]}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def commit(self, ranges: int, runs: list[str]) -> int:
+        version = max(self.versions(), default=0) + 1
+        self.spark.createDataFrame([(r, ranges) for r in runs or [""]], "run string, ranges int").write.parquet(f"{self.path}/manifest/{version}")
+        return version
+
+    def take(self, packs: DataFrame, size: int, ranges: int, version: int | None, scratch: Scratch) -> DataFrame:
+        """The repeats of a batch against a version and itself; the batch becomes part of the next version."""
+        _, have, runs = self.at(version)
+        have = have or ranges
+        dealt = packs.mapInArrow(partial(_deal_all, size=size, ranges=have), _DEALT)
+        found = scratch.save(self.runs(runs).groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_add, _DEALT), "found")
+        runs = [*runs, self.write(found.where("kind = 1"))]
+        if len(runs) >= FAN:
+            all_runs = self.runs(runs)
+            have = max(have, min(65536, (all_runs.agg(F.sum(F.length("data"))).first()[0] or 0) // (4 * RANGE_BYTES) + 1))
+            runs = [self.write(all_runs.groupBy("key").applyInArrow(lambda own: _compact(own, have), _DEALT))]
+        self.commit(have, runs)
+        return found.where("kind = 0")
+
+
 def _cut(packs: pa.Table, lost: pa.Table, size: int, schema: pa.Schema) -> pa.Table:
     known, out = _keys(lost), []
     for raw in packs.column("data").to_pylist():
         batch = _unpack(raw)
         w, at, h = _windows(batch, size)
         if len(at):
-            first = np.zeros(len(h), bool)
-            first[np.unique(h, return_index=True)[1]] = True
-            gone = at[~first | _isin(known, h)]
+            check = _check(w, at, size)
+            order = np.lexsort((check, h))  # stable: of equal windows the earliest stands first
+            a, b = h[order], check[order]
+            again = np.zeros(len(h), bool)
+            again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            gone = at[again | _isin(known, h)]
         else:
             gone = at
         step = np.zeros(len(w.h) + 1, np.int64)
@@ -193,7 +277,7 @@ def _cut(packs: pa.Table, lost: pa.Table, size: int, schema: pa.Schema) -> pa.Ta
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
-def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> DataFrame:
+def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3, index: str | None = None, version: int | None = None) -> DataFrame:
     """The rows of *documents* (doc_id, text, ...) with n_words, n_removed, kept_text and kept_sha256.
 
     Each word is removed that is covered by a window of *size* words (runs without ASCII white space) whose words
@@ -201,6 +285,9 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
     texts as given. Kept words are joined by one space. Null and empty texts have no words; rows without doc_id are left out;
     rows that share a doc_id are ordered by text; other columns are kept unless they have the name of a result; an empty
     table gives an empty result.
+
+    With *index*, a folder, windows of earlier calls count as earlier too, and these documents become part of it at once. To run a
+    batch again after its result was lost, name the *version* from before it.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "substring")
     n = partitions(spark)
@@ -226,8 +313,9 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
     packs = table(ordered.mapInArrow(_packs, _DEALT), "slice", "packs")
     # a slice gives a row for each range, so ranges follow the text and not only the partitions
     ranges = min(8 * n, 65536, (packs.agg(F.sum("key")).first()[0] or 0) // RANGE_BYTES + 1)
-    repeated = packs.mapInArrow(partial(_deal_anchors, size=size, ranges=ranges), _DEALT).groupBy("key").applyInArrow(_repeated, _DEALT)
-    repeated = table(repeated, "slice", "anchors")
+    if index is None:
+        repeated = packs.mapInArrow(partial(_deal_anchors, size=size, ranges=ranges), _DEALT).groupBy("key").applyInArrow(_repeated, _DEALT)
+        repeated = table(repeated, "slice", "anchors")
 
     def windows(packs: pa.Table, anchors: pa.Table) -> pa.Table:
         return _deal_windows(packs, anchors, size, ranges)
@@ -236,14 +324,15 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3) -> D
         return _cut(packs, lost, size, schema)
 
     run, lost = None, []
-    for i in range(batches):
+    for i in range(batches if index is None else 0):
         mine = f"(slice >> 32) * {batches} div {n} = {i}"
         dealt = packs.where(mine).groupBy("slice").cogroup(repeated.where(mine).groupBy("slice")).applyInArrow(windows, _DEALT)
         before = run if run is not None else spark.createDataFrame([], _DEALT)
         merged = table(before.where("kind = 1").groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_merge, _DEALT), "key", "run")
         lost.append(merged.where("kind = 0"))
         run = merged
-    gone = lost[0]
-    for x in lost[1:]:
-        gone = gone.union(x)
-    return packs.groupBy("slice").cogroup(gone.groupBy("slice")).applyInArrow(cut, ddl)
+    gone = reduce(DataFrame.union, lost) if index is None else Index(spark, index).take(packs, size, ranges, version, scratch)
+    out = packs.groupBy("slice").cogroup(gone.groupBy("slice")).applyInArrow(cut, ddl)
+    for name in tables:  # their files stay until the driver ends; the catalog keeps no entry
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
