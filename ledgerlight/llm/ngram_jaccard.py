@@ -9,7 +9,7 @@
    with a shared shingle in its prefix can have a partner; most have none.
 4. By prefix shingle: documents with the same prefix and size are one group. Pairs of groups
    pass the size and the positional filter, are expanded into members, and pass a bitmap
-   filter; all three are exact bounds. Of a list of over SHORT documents a spanning forest
+   filter; all three are exact bounds. Equal documents have been made one before, over all slices. Of a list of over SHORT documents a spanning forest
    of the most similar pairs goes on, never all pairs.
 5. Pairs are verified on the whole sets. Where a pair fails, its lists run
    again over the components found so far with ever more pairs for each two components,
@@ -40,6 +40,8 @@ HEAVY = 64
 BLOCK = 8192
 SHORT = 16
 BITS = 1024
+HELD = 1 << 18
+RANGE_BYTES = 2 << 20
 _LOW = np.uint64((1 << 48) - 1)
 _DEALT = "kind int, key int, slice long, data binary"
 _DOC = "doc_id long, n long, rep long, s int, tokens binary"
@@ -241,21 +243,39 @@ class _List:
             best[better], parent[better] = near[better], v
         return out
 
-    def between(self, most: int) -> tuple[list[tuple[int, int]], bool]:
-        """The *most* nearest pairs of each two components; whether more were left."""
-        comp, found = self.e["comp"], {}
-        for v in range(len(self.e)):
-            near = self.bound(v)
-            near[: v + 1] = np.inf
-            near[comp == comp[v]] = np.inf
-            for u in np.flatnonzero(near < np.inf).tolist():
-                a, b = int(comp[u]), int(comp[v])
-                found.setdefault((a, b) if a < b else (b, a), []).append((near[u], v, u))
-        out, more = [], False
-        for pairs in found.values():
-            more |= len(pairs) > most
-            out += [(v, u) for _, v, u in sorted(pairs)[:most]]
-        return out, more
+    def between(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The *most* nearest pairs of each two components as (v, u, more), component by component; more: whether others were left.
+
+        Of one component's pairs no more than *most* for each other one are held, and HELD beside them.
+        """
+        comp = self.e["comp"]
+        order = np.argsort(comp, kind="stable")
+        cut = np.flatnonzero(np.r_[True, comp[order][1:] != comp[order][:-1], True])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            held, n, dropped = [], 0, np.zeros(0, np.int64)
+            for v in order[a:b].tolist():
+                near = self.bound(v)
+                near[comp <= comp[v]] = np.inf
+                u = np.flatnonzero(near < np.inf)
+                if len(u):
+                    held.append((comp[u], near[u], np.full(len(u), v), u))
+                    n += len(u)
+                if n > HELD:
+                    best, gone = self._nearest(held, most)
+                    held, n, dropped = [best], 0, np.union1d(dropped, gone)
+            if held:
+                (to, _, v, u), gone = self._nearest(held, most)
+                yield v, u, np.isin(to, np.union1d(dropped, gone))
+
+    @staticmethod
+    def _nearest(held: list, most: int) -> tuple[tuple, np.ndarray]:
+        """The *most* nearest of each component, and the components of which some were dropped."""
+        to, near, v, u = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((u, v, near, to))
+        head = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]])
+        place = np.arange(len(order)) - np.repeat(head, np.diff(np.r_[head, len(order)]))
+        use = order[place < most]
+        return (to[use], near[use], v[use], u[use]), np.unique(to[order[place >= most]])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -275,9 +295,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) ->
     size = np.diff(np.r_[head, len(t)])
     schema = "a long, b long, token long, more boolean"
 
-    def table_of(v: np.ndarray, u: np.ndarray, more: bool) -> list[pa.RecordBatch]:
+    def table_of(v: np.ndarray, u: np.ndarray, more: np.ndarray | bool) -> list[pa.RecordBatch]:
         x, y = e["id"][v], e["id"][u]
-        return _arrow(schema, [np.maximum(x, y), np.minimum(x, y), t[v], np.full(len(v), more)]).to_batches()
+        return _arrow(schema, [np.maximum(x, y), np.minimum(x, y), t[v], np.broadcast_to(more, len(v))]).to_batches()
 
     for n in range(2, SHORT + 1):
         lists = head[size == n]
@@ -288,10 +308,12 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) ->
             yield from table_of(v[near], u[near], False)
     for a, n in zip(head[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
         one = _List(e[a : a + n], num, den)
-        pairs, more = one.between(most) if most else (one.forest(), True)
-        if pairs:
+        if most:
+            for v, u, more in one.between(most):
+                yield from table_of(v + a, u + a, more)
+        elif pairs := one.forest():
             v, u = np.array(pairs).T
-            yield from table_of(v + a, u + a, more)
+            yield from table_of(v + a, u + a, True)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -313,7 +335,7 @@ def _candidates(docs: DataFrame, num: int, den: int, most: int, tokens: DataFram
     blocks = F.ceil(F.coalesce("total", F.lit(1)) / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("data"), F.col("blocks")).cast("int")
     lists = lists.join(long, "token", "left").withColumn("blocks", blocks).withColumn("own", own)
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")) * 65536 + F.greatest(o, F.col("own")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("own")).cast("long") * F.lit(1 << 31) + F.greatest(o, F.col("own")))
     lists = lists.select("token", F.explode(pair).alias("block"), "data")
     return lists.repartition(partitions(spark), "token", "block").mapInArrow(partial(_pairs, num=num, den=den, most=most), "a long, b long, token long, more boolean")
 
@@ -328,8 +350,9 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 80, den: int
     share a doc_id are one node, and each gives a row; other columns are ignored; an empty table gives an empty one.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "jaccard")
-    ranges = min(8 * partitions(spark), 65536)
     own = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ranges follow the text: a group of shingles is about that of RANGE_BYTES, up to 128 GB of text
+    ranges = min(65536, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES + 1)
     dealt = own.mapInArrow(partial(_deal, k=k, ranges=ranges), _DEALT)
     counted = dealt.groupBy("key").applyInArrow(_frequencies, _DEALT)
 
@@ -337,8 +360,12 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 80, den: int
         return _prefixes(table, num, den)
 
     docs = scratch.save(counted.groupBy("slice").applyInArrow(prefixes, _DOC), "docs")
-    tok = docs.where("tokens is not null").select("doc_id", "n", "s", "tokens")
-    links, most, tokens, comp = [], 0, None, None
+    # documents whose shingles are all shared and equal are one: only the least of them goes on, the others link to it
+    every = docs.where("tokens is not null").select("doc_id", "n", "s", "tokens", F.when(F.col("s") == 0, F.sha2("tokens", 256)).alias("digest"))
+    groups = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1").select("digest", "least")
+    copies = scratch.save(every.select("doc_id", "digest").join(groups, "digest").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), "copies")
+    tok = scratch.save(every.drop("digest").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"), "tokens")
+    links, most, tokens, comp = [copies], 0, None, None
     while True:
         with_comp = tok.withColumn("comp", F.col("doc_id")) if comp is None else tok.join(comp, tok.doc_id == comp.node, "left").select(tok["*"], F.coalesce("component", "doc_id").alias("comp"))
         found = scratch.save(_candidates(with_comp, num, den, most, tokens), "found")
