@@ -23,7 +23,7 @@ from . import text as X
 #: Fixed masks: the word positions that a seed looks at.
 MASKS = ((0, 2, 4, 5, 6), (0, 1, 2, 3, 6), (0, 1, 2, 3, 4, 5))
 SHORTEST, LEAST = 5, 13
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS, PIECE = 8 << 20, 1 << 20
 _R = X.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -47,13 +47,13 @@ def _masks(lengths: set[int]) -> list[tuple[int, tuple[int, ...]]]:
 class Seeds:
     """Seeds of a block of test items, sorted, behind a table of bits."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
         self.items, self.words, seeds, item, place = [], [], [], [], []
         short = set()
         for i, t in items:
             buf, off = X.text_arrays(pa.array([t or ""]))
             h = X.words(X.LOWER[buf], off, X.ALNUM).h
-            if len(h) >= SHORTEST:
+            if len(h) >= max(shortest, 1):
                 self.items.append(i)
                 self.words.append(h)
                 short |= {len(h)} if len(h) < LEAST else set()
@@ -72,18 +72,20 @@ class Seeds:
         self.bits = np.zeros(1 << max(12, min(26, int(len(seeds) * 32).bit_length())), bool)
         self.bits[(self.seeds & np.uint64(len(self.bits) - 1)).astype(np.int64)] = True
 
-    def hits(self, w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the slice, item, place in the item) of each equal seed within a text."""
-        out = [np.zeros(0, np.int64)] * 3, []
+    def hits(self, w: X.Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the slice, item, place in the item) of each equal seed within a text, in pieces of about PIECE pairs."""
         for tag, m in self.masks:
             s = _seeds(w.h, m, tag)
             at = np.flatnonzero(self.bits[(s & np.uint64(len(self.bits) - 1)).astype(np.int64)])
             at = at[np.isin(at, w.inside(m[-1] + 1), assume_unique=True)] if len(at) else at
             lo, hi = np.searchsorted(self.seeds, s[at]), np.searchsorted(self.seeds, s[at], side="right")
-            n = hi - lo
-            own = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[1].append((np.repeat(at, n), self.item[own], self.place[own]))
-        return tuple(np.concatenate(x) for x in zip(*out[1], strict=True)) if out[1] else tuple(out[0])
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            piece = np.cumsum(n) // PIECE
+            cut = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1], True]) if len(at) else []
+            for f, t in zip(cut[:-1], cut[1:], strict=True):
+                k = n[f:t]
+                own = np.repeat(lo[f:t] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                yield np.repeat(at[f:t], k), self.item[own], self.place[own]
 
 
 def _stretches(same: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
@@ -106,32 +108,33 @@ def _stretches(same: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
 
 def matches(seeds: Seeds, w: X.Words) -> list[tuple[int, int, int, int, int]]:
     """(row, item, start, aligned words, equal words): the best verified overlap of each row and item."""
-    p, item, q = seeds.hits(w)
-    row = np.searchsorted(w.first, p, side="right") - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    order = np.lexsort((p, p - q, item, row))
-    p, item, row, on = p[order], item[order], row[order], (p - q)[order]
-    begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (on[1:] != on[:-1])][: len(p)])
-    for f, t in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=False):  # one row, item and diagonal
-        r, k, diag = int(row[f]), int(item[f]), int(on[f])
-        lo, hi = int(w.first[r]), int(w.first[r + 1])
-        words = seeds.words[k]
-        a, b = max(lo, diag), min(hi, diag + len(words))
-        same = w.h[a:b] == words[a - diag : b - diag]
-        for i, j in _stretches(same, p[f:t] - a) if len(words) >= LEAST else [(0, b - a)]:
-            n, equal = j - i, int(same[i:j].sum())
-            if n >= min(LEAST, len(words)) and 5 * equal >= 4 * n:
-                best[r, k] = max(best.get((r, k), (0, 0, 0)), (equal, n, -(a + i - lo)))
+    for p, item, q in seeds.hits(w):
+        row = np.searchsorted(w.first, p, side="right") - 1
+        order = np.lexsort((p, p - q, item, row))
+        p, item, row, on = p[order], item[order], row[order], (p - q)[order]
+        begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (on[1:] != on[:-1])][: len(p)])
+        for f, t in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=False):  # one row, item and diagonal
+            r, k, diag = int(row[f]), int(item[f]), int(on[f])
+            lo, hi = int(w.first[r]), int(w.first[r + 1])
+            words = seeds.words[k]
+            a, b = max(lo, diag), min(hi, diag + len(words))
+            same = w.h[a:b] == words[a - diag : b - diag]
+            for i, j in _stretches(same, p[f:t] - a) if len(words) >= LEAST else [(0, b - a)]:
+                n, equal = j - i, int(same[i:j].sum())
+                if n >= min(LEAST, len(words)) and 5 * equal >= 4 * n:
+                    best[r, k] = max(best.get((r, k), (0, 0, 0)), (equal, n, -(a + i - lo)))
     return [(r, k, -s, n, same) for (r, k), (same, n, s) in sorted(best.items())]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, start, n_aligned, n_equal): texts that hold a passage of a test item.
 
     Words are runs of A-Z (lower-cased), digits and non-ASCII characters. A passage counts from 13 aligned words, the first and last
-    equal (all words of an item that has 5 to 12), of which 80 % agree; items of fewer words never match. start counts words from 0. One row for each
+    equal (all words of an item that has *shortest* to 12), of which 80 % agree; items of fewer words than *shortest* are too common to tell
+    anything and never match. start counts words from 0. One row for each
     document and item, the longest overlap. Null or empty texts match nothing; rows without an id are left out; rows that share
-    a doc_id each give rows; other columns are ignored; an empty table on either side gives no rows.
+    a doc_id count as one; other columns are ignored; an empty table on either side gives no rows.
     """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -140,8 +143,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, start long, n_aligned long, n_equal long"
 
     def of_block(i: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).dropDuplicates().collect()  # about BLOCK_CHARS of text
-        shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(Seeds(sorted((r[0], r[1] or "") for r in rows)), 5))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).dropDuplicates().collect()  # about BLOCK_CHARS of text
+        shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(Seeds(sorted((r[0], r[1] or "") for r in rows), shortest), 5))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = pickle.loads(shared.value)
@@ -154,4 +157,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, schema)
 
-    return reduce(DataFrame.union, [of_block(i) for i in range(blocks)])
+    found = reduce(DataFrame.union, [of_block(i) for i in range(blocks)])
+    # an item may have several texts, and a document several rows
+    best = F.max(F.struct("n_equal", "n_aligned", (-F.col("start")).alias("start"))).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.start")).alias("start"), "m.n_aligned", "m.n_equal")
