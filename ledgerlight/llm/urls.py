@@ -8,7 +8,6 @@ Other URLs get the trees' verdict.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -60,14 +59,20 @@ def with_rates(rows: DataFrame, labelled: DataFrame, prior: float):
     return add
 
 
-def lexical(url: str, host: str, path: str, top_rate: float, first_rate: float) -> list[float]:
-    n = max(len(url), 1)
-    share = np.unique(np.frombuffer(url.encode(), np.uint8), return_counts=True)[1] / max(len(url.encode()), 1)
-    query = url.partition("#")[0].partition("?")[2]
-    digits = sum(c.isdigit() for c in url)
-    values = [len(url), len(host), len(path), path.count("/"), host.count("."), digits, digits / n, float(-(share * np.log2(share)).sum()), len([p for p in query.split("&") if p]), len(query),
-            url.count("-"), float(url.startswith("https")), float("#" in url), float(path.endswith("/")), float("." in path.rpartition("/")[2]), top_rate, first_rate]
-    return [float(v) for v in values]
+def lexical() -> Column:
+    """The features of a row with url, host, path and the two rates, in SQL functions."""
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    count = lambda text, sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+    size = F.greatest(F.length(url), F.lit(1))
+    share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size
+    entropy = F.aggregate(F.filter(F.array_distinct(F.split(url, "")), lambda c: c != ""), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))
+    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    digits = F.length(F.regexp_replace(url, "[^0-9]", ""))
+    values = [
+        F.length(url), F.length(host), F.length(path), count(path, "/"), count(host, "."), digits, digits / size, entropy, F.regexp_count(query, F.lit("[^&]+")), F.length(query), count(url, "-"),
+        url.startswith("https").cast("int"), url.contains("#").cast("int"), path.endswith("/").cast("int"), F.substring_index(path, "/", -1).contains(".").cast("int"), F.col("top_rate"), F.col("first_rate"),
+    ]
+    return F.array(*[v.cast("double") for v in values])
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -88,13 +93,12 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> Dat
         return good.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit(verdict)).alias("verdict"))
     prior = blocked / n
     rated = with_rates(rows, labelled, prior)
-    least = lambda of, most: rated(of.orderBy(F.xxhash64("url"), "url", "host").limit(most)).toPandas()
+    least = lambda of, most: rated(of.orderBy(F.xxhash64("url"), "url", "host").limit(most)).select("label", "url", "host", lexical().alias("x")).toPandas()
     sample = least(labelled, max_rows)
     if sample.label.nunique() == 1:  # the other verdict is rare
         sample = pd.concat([sample, least(labelled.where(F.col("label") != int(sample.label.iloc[0])), max_rows)])
     sample = sample.sort_values(["url", "host"], ignore_index=True)
-    columns = ["url", "host", "path", "top_rate", "first_rate"]
-    train = pd.DataFrame({"label": sample.label.astype(float), "x": [lexical(*r) for r in sample[columns].itertuples(index=False)]})
+    train = pd.DataFrame({"label": sample.label.astype(float), "x": sample.x.map(list)})
     spark = pages.sparkSession
     # the suffix rates were made from the same labels: half of the sample learns without them, so that the trees also use the rest
     half = train.copy()
@@ -102,10 +106,7 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> Dat
     table = spark.createDataFrame(pd.concat([train, half]), "label double, x array<double>").repartition(2).select("label", array_to_vector("x").alias("features"))
     model = GBTClassifier(maxIter=8, maxDepth=3, maxBins=32, seed=7).fit(table)
 
-    @F.pandas_udf("array<double>")
-    def features(url: pd.Series, host: pd.Series, path: pd.Series, top: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([lexical(*r) for r in zip(url, host, path, top, first, strict=True)])
-
-    judged = model.transform(rated(suffixes(good)).withColumn("features", array_to_vector(features(*columns))))
-    verdict = F.coalesce("own", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    todo = rated(suffixes(good.where("own is null")))
+    judged = model.transform(todo.withColumn("features", array_to_vector(lexical())))
+    of_trees = judged.select("page_id", "host", "path", "rule", F.when(F.col("prediction") == 1.0, "block").otherwise("allow").alias("verdict"))
+    return good.where("own is not null").select("page_id", "host", "path", "rule", F.col("own").alias("verdict")).union(of_trees)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -55,3 +56,20 @@ def test_rates_are_counted_over_all_labelled_urls(spark, monkeypatch, small):
     got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), [(v, f"r.t{k:02}/") for k, v in verdict.items()], max_rows=20).collect()
     assert len(got) == len(rows)
     assert {r.page_id - 9000: r.verdict for r in got if r.page_id >= 9000} == verdict
+
+
+def test_trees_on_hosts_that_no_rule_fits(spark):
+    """Rules cover two hosts; others of the same two manners, with suffixes never seen, are told apart by lexical features."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i in range(1200):
+        bad = i % 2 == 0
+        host = ("spam.com" if bad else "good.com") if i % 3 else rng.choice(["a.org", "b.info", "c.eu"])
+        tail = f"/x{rng.randrange(10**9)}?id={rng.randrange(10**8)}&s={rng.randrange(10**6)}&r=1" if bad else "/" + "/".join(rng.choice(["about", "news", "team", "help"]) for _ in range(2)) + "/"
+        rows.append((i, f"https://{host}{tail}"))
+        want[i] = "block" if bad else "allow"
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), rules=(("block", "spam.com/"), ("allow", "good.com/"))).collect()
+    free = [r for r in got if r.rule is None]
+    assert len(got) == 1200
+    assert len(free) == 400
+    assert sum(r.verdict == want[r.page_id] for r in free) > 0.9 * len(free)
