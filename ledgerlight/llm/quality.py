@@ -4,8 +4,10 @@ Kiryo et al., "Positive-Unlabeled Learning with Non-Negative Risk Estimator" (20
 model on byte and layout statistics minimises
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 Trusted positives are documents of label 1. The unlabelled sample is web text without
-regard to labels. The class prior is estimated from the labelled rows. Both samples are bounded (max_rows each, those
-of the least hash of their doc_id); scoring reads every whole text.
+regard to labels. The class prior is estimated from these two alone: a first model scores both, and no more of the web text can
+be positive than the least ratio of the shares above a threshold (Scott, "A Rate of Convergence for Mixture Proportion
+Estimation", 2015). Both samples are bounded (max_rows and max_unlabelled, those of the least hash of their doc_id); scoring
+reads every whole text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import text as X
 
-MAX_ROWS = 6000
+MAX_ROWS, MAX_UNLABELLED = 6000, 6000
 _KINDS = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"|", b"*#%&$@", b"\"'()-/_+=<>[]{}\\^`~"), start=1):
     _KINDS[list(_set)] = _i
@@ -79,28 +81,45 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return {"mean": mean, "std": std, "w": w, "b": b}
 
 
+def scores(model: dict, x: np.ndarray) -> np.ndarray:
+    z = np.clip((x - model["mean"]) / model["std"], -5, 5) @ model["w"] + model["b"]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from scores of both: the least ratio of the shares from a threshold on.
+
+    Thresholds keep a tenth of the positives at least, and a standard error is added, so that small samples do not pull it down.
+    """
+    cut = np.quantile(positive, np.linspace(0.02, 0.9, 45))
+    p, u = ((x[None, :] >= cut[:, None]).mean(axis=1) for x in (positive, unlabelled))
+    return float(np.clip(((u + np.sqrt(u * (1 - u) / len(unlabelled))) / p).min(), 0.05, 0.95))
+
+
 def held_out(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(5)) == 0
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
-    """Fit on rows that are not held out. labels (doc_id, quality): 1 is trusted; other labels only tell the class prior."""
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_unlabelled: int = MAX_UNLABELLED) -> dict:
+    """Fit on rows that are not held out. labels (doc_id, quality): 1 is trusted; other labels are not read.
+
+    Without trusted or without unlabelled texts every score is one half.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null").where(~held_out(F.col("doc_id")))
-    good, total = known.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.count("*")).first()
-    prior = min(max(((good or 0) + 1) / (total + 2), 0.05), 0.95)
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    chosen = pick(known.where("label = 1").dropDuplicates(["doc_id"]))
-    drawn = pick(docs.select("doc_id").distinct())
+    pick = lambda df, most: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = pick(known.where("label = 1").dropDuplicates(["doc_id"]), max_rows)
+    drawn = pick(docs.select("doc_id").distinct(), max_unlabelled)
     want = chosen.select("doc_id", F.lit(1).alias("label")).union(drawn.select("doc_id", F.lit(0).alias("label")))
     rows = docs.join(F.broadcast(want), "doc_id").select("label", "text").mapInArrow(_features_of, "label int, x array<double>").toArrow()
     y = rows.column("label").to_numpy() if rows.num_rows else np.zeros(0)
     if not (y == 1).any() or not (y == 0).any():
-        return {"constant": prior}
+        return {"constant": 0.5}
     x = np.array(rows.column("x").to_pylist(), float)
     order = np.lexsort((*x.T[:4], y))  # whichever order the rows came in, the same sums
     x, y = x[order], y[order]
-    return fit(x[y == 1], x[y == 0], prior)
+    first = fit(x[y == 1], x[y == 0], 0.5)
+    return fit(x[y == 1], x[y == 0], class_prior(scores(first, x[y == 1]), scores(first, x[y == 0])))
 
 
 def quality_scores(documents: DataFrame, model: dict) -> DataFrame:
@@ -113,15 +132,14 @@ def quality_scores(documents: DataFrame, model: dict) -> DataFrame:
     kept = documents.drop("held_out", "score", "predicted").where("doc_id is not null")
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, limit=2 << 20):
             x = features(*X.text_arrays(batch.column(batch.schema.get_field_index("text"))))
             if "constant" in model:
                 s = np.full(len(x), model["constant"])
             else:
-                z = np.clip((x - model["mean"]) / model["std"], -5, 5) @ model["w"] + model["b"]
-                s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                s = scores(model, x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
-    out = kept.mapInArrow(score, schema)
+    out = kept.mapInArrow(run, schema)
     return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
