@@ -89,11 +89,13 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores of both: the least ratio of the shares from a threshold on.
 
-    Thresholds keep a tenth of the positives at least, and a standard error is added, so that small samples do not pull it down.
+    Thresholds keep a tenth of the positives at least. Shares are taken at their 95 % bounds, so that chance does not pull the least
+    ratio down.
     """
     cut = np.quantile(positive, np.linspace(0.02, 0.9, 45))
     p, u = ((x[None, :] >= cut[:, None]).mean(axis=1) for x in (positive, unlabelled))
-    return float(np.clip(((u + np.sqrt(u * (1 - u) / len(unlabelled))) / p).min(), 0.05, 0.95))
+    most, least = u + 2 * np.sqrt(u * (1 - u) / len(unlabelled)), p - 2 * np.sqrt(p * (1 - p) / len(positive))
+    return float(np.clip((most[least > 0] / least[least > 0]).min(initial=1), 0.05, 0.95))
 
 
 def held_out(doc_id) -> F.Column:
