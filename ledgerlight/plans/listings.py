@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
+from ledgerlight.operators import capital, versions
 from ledgerlight.operators import lists as L
 from ledgerlight.operators import prices as P
 from ledgerlight.operators import valuation as V
@@ -294,3 +295,32 @@ def display_scalars(spark, d):
     kind = F.when(k % 4 == 0, "percent").when(k % 4 == 1, "multiple").otherwise("")
     o = read(spark, d, "orders").select("o_orderkey", T.tickers(text).alias("t"), T.year_before(F.to_date("o_orderdate")).cast("timestamp_ntz").alias("before"), T.filled_in(F.lit("roe {{roe}}, {{pe}} {{ key }}"), values).alias("told"), T.shown_number(number, kind, F.lit("USD")).alias("shown"))
     return o.select("o_orderkey", F.concat(F.lit("["), F.array_join("t", ", "), F.lit("]")).alias("tickers"), "before", "told", "shown")
+
+
+@query("""WITH m AS (SELECT o_custkey AS list_id, year(o_orderdate) AS version, o_orderkey AS member FROM orders), t AS (SELECT list_id, min(version) AS first, max(version) AS top FROM m GROUP BY 1)
+SELECT m.list_id, top + 1 AS version, member FROM m JOIN t ON t.list_id = m.list_id AND m.version = t.first""")
+def watchlist_rollback(spark, d):
+    """Every customer's list as it was in its first version, as a new one."""
+    m = read(spark, d, "orders").select(F.col("o_custkey").alias("list_id"), F.year("o_orderdate").cast("long").alias("version"), F.col("o_orderkey").alias("member"))
+    return versions.rolled_back(m, m.groupBy("list_id").agg(F.min("version").alias("version")))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 1.0 WHEN s_suppkey % 6 = 0 THEN 0.5 WHEN s_suppkey % 5 <> 0 AND s_suppkey % 2 = 1 THEN 0.25 END::DOUBLE AS dps,
+CASE WHEN s_suppkey % 4 = 0 THEN 'filed' WHEN s_suppkey % 6 = 0 THEN 'actions' WHEN s_suppkey % 5 <> 0 AND s_suppkey % 2 = 1 THEN 'window' END AS source,
+CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 'missing_data: dps_ttm' WHEN s_suppkey % 2 = 0 THEN 'stale_data: dps: last 1999-12-31' END AS reason FROM supplier""")
+def div_yield_precedence(spark, d):
+    """Filed dividends, else those paid in the price's currency, else a window that is not stale."""
+    s, day = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), lambda x: F.lit(x).cast("date")
+    even = F.col("id") % 2 == 0
+    filed = s.where("id % 4 = 0").select("id", F.lit(1.0).alias("value"), day("2001-06-30").alias("end"), F.lit("USD").alias("currency"))
+    paid = s.where("id % 3 = 0").select("id", day("2001-03-01").alias("date"), F.lit("dividend").alias("kind"), F.lit(0.5).alias("amount"), F.when(even, "USD").otherwise("EUR").alias("currency"))
+    windows = s.where("id % 5 <> 0").select("id", F.lit(0.25).alias("value"), F.when(even, day("1999-12-31")).otherwise(day("2001-06-30")).alias("end"), F.lit("USD").alias("currency"))
+    return P.dividends_per_share(s.withColumn("currency", F.lit("USD")), filed, paid, windows, "2001-09-30").select("id", "dps", "source", "reason")
+
+
+@query(f"""WITH {SECTORS}, c AS (SELECT issuer, balance AS n, CASE WHEN issuer % 5 <> 0 THEN balance * 2 END AS a, balance * 3 - 8000 AS z FROM sectors)
+SELECT issuer, CASE WHEN (a + z) / 2 > 0 THEN round(n / ((a + z) / 2), 6) END AS value, CASE WHEN a IS NULL THEN 'missing_prior_period' WHEN a + z = 0 THEN 'denominator_zero' WHEN a + z < 0 THEN 'negative_denominator' END AS reason FROM c""")
+def roic_mean_capital(spark, d):
+    b = F.col("balance")
+    m = capital.roic(b, F.when(F.col("issuer") % 5 != 0, b * 2), b * 3 - 8000)
+    return sectors(spark, d).select("issuer", m.alias("m")).select("issuer", r6("m.value").alias("value"), "m.reason")
