@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_texts
 from .decontaminate import contamination
+from .fingerprints import edited_fingerprints
 from .licenses import license_scan
 from .ngram_jaccard import jaccard_components
 from .pieces import encode_documents
@@ -71,6 +72,10 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_texts(_table(spark, sf_dir, "conversations"))
 
 
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_jaccard,
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls,
         "op9_exact_topk": topk,
         "op10_chat_format": chat,
+        "op13_fingerprints": fingerprint,
     }
 
 
