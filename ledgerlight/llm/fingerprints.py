@@ -97,14 +97,14 @@ def edited_fingerprints(documents: DataFrame, samples: int = SAMPLES) -> DataFra
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row of (doc_id, text).
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document's; near_edited
-    and near_next are the likeness of the fingerprint to the edited text's and to the next document's. Order is doc_id, then the
-    SHA-256 of the text; after the last document comes the first (a single one follows itself). Null texts are empty. Repeated rows
+    and near_next are the likeness of the fingerprint to the edited text's and to the next document's. Order is doc_id, then a
+    64-bit hash of the text; after the last document comes the first (a single one follows itself). Null texts are empty. Repeated rows
     get a row each, with the same result, and aren't next to themselves; rows without doc_id are left out; other columns are ignored;
     an empty table gives no rows.
     """
     scratch, n = Scratch(documents.sparkSession, "fingerprints"), partitions(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    rows = documents.where("doc_id is not null").select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
+    rows = documents.where("doc_id is not null").select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
     order = scratch.save(neighbours(rows.select("doc_id", "digest", F.length("text").cast("long").alias("n_chars")), scratch), "neighbours")
     texts = rows.groupBy("doc_id", "digest").agg(F.first("text").alias("text")).join(order, ["doc_id", "digest"])
     heads = texts.select(F.col("prev_id").alias("doc_id"), F.col("prev_digest").alias("digest"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"))

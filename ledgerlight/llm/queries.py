@@ -13,9 +13,12 @@ from .licenses import license_scan
 from .ngram_jaccard import jaccard_components
 from .pieces import encode_documents
 from .quality import quality_scores, train
+from .scratch import Scratch
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_file import token_files
 from .top_k import top_k
+from .trie import placed_turns, trie_nodes, with_borrowed_heads
 from .urls import url_verdicts
 
 
@@ -72,6 +75,17 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_texts(_table(spark, sf_dir, "conversations"))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that begin with the turns of another one, as the contract builds them, then their trie."""
+    scratch = Scratch(spark, "trie")
+    turns = scratch.save(placed_turns(_table(spark, sf_dir, "conversations"), scratch), "turns")
+    return trie_nodes(*with_borrowed_heads(turns, scratch), scratch)
+
+
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls,
         "op9_exact_topk": topk,
         "op10_chat_format": chat,
+        "op11_conversation_trie": conversation_trie,
+        "op12_spelling_variants": spelling,
         "op13_fingerprints": fingerprint,
     }
 
@@ -130,6 +146,49 @@ whole AS (SELECT min(conv_id) AS conv_id, place AS n_turns, count(*) AS n_logs,
 SELECT conv_id, n_turns, n_logs, text FROM whole ANTI JOIN (SELECT DISTINCT place AS n_turns, text FROM p WHERE NOT last) i USING (n_turns, text)
 """
 
+#: crc32 goes by a table of 256 values, which SQL makes by rule.
+_CRC = r"""
+crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the crc32 of the UTF-8 bytes of an expression."""
+    octets = f"list_transform(range(0, CAST(length(hex({text})) // 2 AS INTEGER)), lambda i: CAST('0x' || substr(hex({text}), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_TRIE = f"""
+WITH {_CRC.strip()},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS n_chars FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("CAST(conv_id AS VARCHAR)")} % 6 AS h, n FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), crc),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS head FROM c LEFT JOIN c b ON b.conv_id = c.base),
+turns AS (SELECT k.conv_id, t.place, digest, n_chars FROM k JOIN t ON t.conv_id = k.base AND t.place <= k.head UNION ALL SELECT k.conv_id, t.place - h + head AS place, digest, n_chars FROM k JOIN t USING (conv_id) WHERE t.place > h),
+p AS (SELECT conv_id, place AS depth, n_chars, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS path FROM turns UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+p2 AS (SELECT p.*, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+node AS (SELECT min(conv_id) AS conv_id, depth, path, count(*) AS n_convs, any_value(n_chars) AS n_chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p2 GROUP BY depth, path),
+up AS (SELECT node.*, u.conv_id AS parent, u.path AS parent_path FROM node LEFT JOIN p ON p.conv_id = node.conv_id AND p.depth = node.depth - 1 LEFT JOIN node u ON u.depth = p.depth AND u.path = p.path),
+kids AS (SELECT depth - 1 AS depth, parent_path AS path, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY ALL),
+val AS (SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids USING (depth, path)),
+below AS (SELECT a.depth, a.path, sum(CAST(v.n_children = 0 AS INTEGER)) AS n_leaves, sum((v.n_convs - 1) * v.n_chars) AS saved FROM val v JOIN p a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.depth, a.path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM val JOIN below USING (depth, path)
+"""
+
+#: Words one edit apart by what is left without one letter: the same at the same place, or the other word as a whole.
+_SPELLING = rf"""
+WITH RECURSIVE {_CRC.strip()},
+runs AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, k, {_crc("(doc_id || ':' || run)")} AS h FROM runs, crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+best AS (SELECT word, other, m, n_near FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near) WHERE r = 1),
+forms AS (SELECT v.word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS at FROM forms UNION ALL SELECT way.word, form FROM way JOIN forms ON forms.word = way.at WHERE form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way USING (word) JOIN forms last ON last.word = way.at AND last.form IS NULL
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _JACCARD, "op3_substring_dedup": _SUBSTRINGS, "op9_exact_topk": _TOP_K, "op10_chat_format": _CHAT}
+    return {"op1_ngram_jaccard_join": _JACCARD, "op3_substring_dedup": _SUBSTRINGS, "op9_exact_topk": _TOP_K, "op10_chat_format": _CHAT, "op11_conversation_trie": _TRIE, "op12_spelling_variants": _SPELLING}

@@ -31,10 +31,10 @@ class Scratch:
         self._n += 1
         return f"{self.top}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df once and go on from the files."""
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df once, in folders by a column where one is named, and go on from the files."""
         to = self.path(name)
-        df.write.parquet(to)
+        (df.write.partitionBy(by) if by else df.write).parquet(to)
         out = self.spark.read.schema(df.schema).parquet(to)
         out.scratch_path = to
         return out

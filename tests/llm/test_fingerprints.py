@@ -44,7 +44,7 @@ def alike(a, b):
 
 
 def every(docs):
-    rows = sorted({(d, t or "") for d, t in docs if d is not None}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest()))
+    rows = sorted({(d, t or "") for d, t in docs if d is not None}, key=lambda x: (x[0], (xxhash.xxh64_intdigest(x[1].encode(), 42) + (1 << 63)) % (1 << 64)))
     out = {}
     for i, (d, t) in enumerate(rows):
         after, half = rows[(i + 1) % len(rows)][1], len(t) // 2
