@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 
 
+def _bind(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is read."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def fiscal_year(end: Column, year_end: str) -> Column:
     """'FY2025': the fiscal year, closing on MM-DD, that a date falls in."""
     return F.concat(F.lit("FY"), (F.year(end) + F.when(F.date_format(end, "MM-dd") <= year_end, 0).otherwise(1)).cast("string"))
@@ -50,9 +55,8 @@ def unescaped(text: Column) -> Column:
         char = F.when(name == "apos", "'").when(name != "", F.try_element_at(names, name)).when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), _char(code))
         return F.when(char.isNotNull(), F.concat(char, F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&"), p))
 
-    parts = F.split(text, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    whole = lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), ""))
+    return _bind(F.split(text, "&"), lambda parts: F.when(F.size(parts) > 1, whole(parts)).otherwise(parts[0]))
 
 
 def html_to_text(html: Column) -> Column:
@@ -73,10 +77,11 @@ def numbers(text: Column) -> Column:
 
 def number_guard(answer: Column, allowed: Column) -> Column:
     """(ok, citations) of an answer: refused if a number stands in it more often than in all the *allowed* texts (an array)."""
-    have, found = F.flatten(F.transform(allowed, numbers)), numbers(answer)
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    ok = F.forall(F.array_distinct(found), lambda x: times(found, x) <= times(have, x))
-    return F.struct(ok.alias("ok"), F.when(ok, F.array_sort(found)).alias("citations"))
+    have = F.flatten(F.transform(allowed, numbers))
+    fits = lambda x: F.forall(F.array_distinct(x["found"]), lambda n: times(x["found"], n) <= times(x["have"], n))
+    both = F.struct(numbers(answer).alias("found"), have.alias("have"))
+    return _bind(both, lambda x: _bind(fits(x), lambda ok: F.struct(ok.alias("ok"), F.when(ok, F.array_sort(x["found"])).alias("citations"))))
 
 
 #: Parameters of a URL that are never kept.
@@ -119,16 +124,44 @@ NUMBER_WORDS = {
 }
 
 
+#: Words of a depositary share's name, and verbs that come before its number of shares.
+DEPOSITARY, NAME = ("depositary", "ads", "adss", "adr", "adrs"), ("american", "share", "shares")
+TELLS = ("representing", "represents", "representative")
+
+
 def ads_ratio(text: Column) -> Column:
-    """Shares in one depositary share, as a report's text tells; null where it does not, and for 0 and over 1000."""
-    number = r"(\d+(?:\.\d+)?|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\b"
-    ads = r"(?:American\s+Depositary\s+Shares?|ADSs?|ADRs?)"
-    plain = F.regexp_replace(text, r"[\s ]+", " ")
-    first = F.regexp_extract(plain, rf"(?i){ads}[^.;]{{0,160}}?\beach\s+(?:representing|represents|representative\s+of)\s+{number}", 1)
-    second = F.regexp_extract(plain, rf"(?i)\beach\s+{ads}\s+(?:representing|represents)\s+{number}", 1)
-    token = F.lower(F.when(first != "", first).otherwise(second))
-    words = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, float(n))])
-    value = F.coalesce(token.try_cast("double"), F.try_element_at(words, token))
+    """Shares in one depositary share, as a report's text tells; null where it does not, and for 0 and over 1000.
+
+    Read word by word within a sentence: 'each' and a verb, the number of shares behind it. The depositary share is named earlier in
+    the sentence, or between the two; sentences that name it earlier go first.
+    """
+    number = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, float(n))])
+    named = lambda w: w.isin(*DEPOSITARY)
+    sentences = F.split(F.lower(F.replace(text, F.lit("\u00a0"), F.lit(" "))), r"[.;](?!\d)")
+
+    def told(words: Column) -> Column:
+        """The numbers of one sentence, each with how it names the share."""
+
+        def at(i: Column) -> Column:
+            word, before, of = F.get(words, i), F.slice(words, F.lit(1), i), F.get(words, i + 1) == "of"
+            first = F.get(words, i + 1 + of.cast("int"))
+            both = F.try_element_at(number, F.concat_ws(" ", first, F.get(words, i + 2 + of.cast("int"))))
+            value = F.coalesce(both, F.try_element_at(number, first), F.when(first.rlike(r"^\d"), first.try_cast("double")))
+            last = i - F.array_position(F.reverse(before), "each")  # the place of the last 'each'
+            between = F.slice(words, last + 2, i - last - 1)
+            # 'representative' goes with 'of', the others without
+            well = (word == "representative") == of
+            earlier = (last == i - 1) & F.exists(before, named)
+            inside = (word != "representative") & F.exists(between, named) & F.forall(between, lambda w: w.isin(*DEPOSITARY, *NAME))
+            rank = F.when(~F.array_contains(before, "each") | ~well, None).when(earlier, 0).when(inside, 1)
+            return F.struct(rank.alias("rank"), value.alias("value"))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.coalesce(F.get(words, i).isin(*TELLS), F.lit(False)))
+        return F.filter(F.transform(places, at), lambda x: x["rank"].isNotNull() & x["value"].isNotNull())
+
+    words = F.transform(sentences, lambda s: F.filter(F.split(s, r"[^a-z0-9.\-]+"), lambda w: w != ""))
+    found = F.flatten(F.transform(words, told))
+    value = _bind(found, lambda x: F.coalesce(F.get(F.filter(x, lambda y: y["rank"] == 0), F.lit(0)), F.get(x, F.lit(0)))["value"])
     return F.when((value > 0) & (value <= 1000), value)
 
 
@@ -163,9 +196,13 @@ def unit_shape(unit: Column) -> Column:
     return F.struct(F.when(why.isNull(), F.coalesce(scale, F.lit(1.0))).alias("scale"), F.when(why.isNull(), F.try_element_at(iso, F.lit(1))).alias("currency"), why.alias("reason"))
 
 
+#: Fixed value: what looks like a ticker, a class after a point included.
+TICKER = r"\b[A-Z][A-Z0-9]{1,5}(?:\.[A-Z]{1,3})?\b"
+
+
 def tickers(text: Column) -> Column:
-    """Words that look like tickers: one to five capitals, a class after a point or dash; each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{1,5}(?:[.-][A-Z])?\b"), F.lit(0)))
+    """Words that look like tickers, each once, in the order of the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TICKER), F.lit(0)))
 
 
 def year_before(day: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUARTER, ANNUAL, GAP, YEAR_BACK = (80, 100), (350, 380), (1, 5), (358, 372)
@@ -23,30 +23,48 @@ def trailing_year(facts: DataFrame, as_of: str) -> DataFrame:
     p = facts.where((F.col("end") <= F.lit(as_of).cast("date")) & (F.col("end") > F.col("start")) & F.col("value").isNotNull())
     # rows are dealt by the key once; all that follows keeps that partitioning
     p = p.select(*key, "start", "end", "value").repartition(*key).groupBy(*key, "start", "end").agg(F.min("value").alias("value"))
-    one = F.struct("end", "start", "value", days().alias("days"))
+    one = F.struct("end", "start", F.col("value").cast("double").alias("value"), days().alias("days"), F.lit("").alias("unit"))
     # the periods of one issuer and concept, newest first: some hundreds at most
     p = p.groupBy(*key).agg(F.sort_array(F.collect_list(one), asc=False).alias("p"))
+    return p.select(*key, window(F.col("p")).alias("w")).where("w is not null").select(*key, "w.value", "w.start", "w.end", "w.basis")
+
+
+def window(p: Column) -> Column:
+    """(value, start, end, basis, unit, parts) of the periods (end, start, value, days, unit) of a key, newest first; see trailing_year.
+
+    parts are the facts it is made of (start, end, sign). Parts in several units make no window.
+    """
+    return F.element_at(F.transform(F.array(p), _window), 1)
+
+
+def _window(p: Column) -> Column:
     gap = lambda later, earlier: F.datediff(later["start"], earlier["end"])
-    anchor = F.col("p")[0]
-    annual = F.filter("p", lambda x: x["days"].between(*ANNUAL))
-    quarters = F.filter("p", lambda x: x["days"].between(*QUARTER))
-    q = F.slice(quarters, 1, 4)
-    adjacent = (F.size(q) == 4) & (q[0]["end"] == anchor["end"]) & (q[0]["start"] == anchor["start"]) & F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: gap(F.get(q, i), F.get(q, i + 1)).between(*GAP))
-    chain = adjacent & (F.datediff(F.get(q, F.lit(0))["end"], F.get(q, F.lit(3))["start"]) + 1).between(*ANNUAL)
+    anchor = F.get(p, F.lit(0))
+    annual = F.filter(p, lambda x: x["days"].between(*ANNUAL))
+    q = F.slice(F.filter(p, lambda x: x["days"].between(*QUARTER)), 1, 4)
+    adjacent = (F.size(q) == 4) & (F.get(q, F.lit(0)) == anchor) & F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: gap(F.get(q, i), F.get(q, i + 1)).between(*GAP))
+    chain = adjacent & (F.datediff(anchor["end"], F.get(q, F.lit(3))["start"]) + 1).between(*ANNUAL)
     year = F.get(F.filter(annual, lambda x: F.datediff(anchor["start"], x["end"]).between(*GAP)), F.lit(0))
-    back = F.filter("p", lambda x: F.datediff(anchor["start"], x["start"]).between(*YEAR_BACK) & F.datediff(anchor["end"], x["end"]).between(*YEAR_BACK))
-    prior = F.get(back, F.lit(0))
-    four = F.aggregate(q, F.lit(0.0), lambda a, x: a + x["value"])
-    span = lambda v, s, e, basis: F.struct(v.cast("double").alias("value"), s.alias("start"), e.alias("end"), F.lit(basis).alias("basis"))
-    whole = lambda x, basis: span(x["value"], x["start"], x["end"], basis)
+    prior = F.get(F.filter(p, lambda x: F.datediff(anchor["start"], x["start"]).between(*YEAR_BACK) & F.datediff(anchor["end"], x["end"]).between(*YEAR_BACK)), F.lit(0))
+    part = lambda x, sign: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["unit"].alias("unit"), F.lit(sign).alias("sign"))
+    made = lambda parts, start, end, basis: F.struct(parts.alias("parts"), start.alias("start"), end.alias("end"), F.lit(basis).alias("basis"))
+    whole = lambda x, basis: made(F.array(part(x, 1)), x["start"], x["end"], basis)
     newest = F.get(annual, F.lit(0))
     out = (
         F.when(anchor["days"].between(*ANNUAL), whole(anchor, "ttm"))
-        .when(chain, span(four, F.get(q, F.lit(3))["start"], anchor["end"], "ttm"))
-        .when(year.isNotNull() & prior.isNotNull(), span(year["value"] + anchor["value"] - prior["value"], F.date_add(prior["end"], 1), anchor["end"], "ttm"))
+        .when(chain, made(F.transform(q, lambda x: part(x, 1)), F.get(q, F.lit(3))["start"], anchor["end"], "ttm"))
+        .when(year.isNotNull() & prior.isNotNull(), made(F.array(part(year, 1), part(anchor, 1), part(prior, -1)), F.date_add(prior["end"], 1), anchor["end"], "ttm"))
         .when(newest.isNotNull(), whole(newest, "annual_fallback"))
     )
-    return p.select(*key, out.alias("w")).where("w is not null").select(*key, "w.*")
+
+    def summed(w: Column) -> Column:
+        value = F.aggregate(w["parts"], F.lit(0.0), lambda a, x: a + x["value"] * x["sign"])
+        facts = F.transform(w["parts"], lambda x: F.struct(x["start"], x["end"], x["sign"]))
+        alike = F.size(F.array_distinct(F.transform(w["parts"], lambda x: x["unit"]))) == 1
+        row = F.struct(value.alias("value"), w["start"].alias("start"), w["end"].alias("end"), w["basis"].alias("basis"), F.get(w["parts"], F.lit(0))["unit"].alias("unit"), facts.alias("parts"))
+        return F.when(w.isNotNull() & alike, row)
+
+    return F.element_at(F.transform(F.array(out), summed), 1)
 
 
 def year_gaps(rows: DataFrame, key: str, year: str) -> DataFrame:

@@ -60,20 +60,29 @@ def year_change(prices: DataFrame, days: int = 365, most: int = 7) -> DataFrame:
     return then.select("id", "date", "close", change.alias("change"))
 
 
-def dividends_per_share(instruments: DataFrame, filed: DataFrame, actions: DataFrame, windows: DataFrame, as_of: str, stale: int = 550) -> DataFrame:
-    """(id, dps, end, currency, source, reason): the filed sum, else dividends of the 365 days before, else the window of filings.
+def dividends_per_share(instruments: DataFrame, filed: DataFrame, actions: DataFrame, windows: DataFrame, as_of: str | None = None, stale: int = 550) -> DataFrame:
+    """(id, at, dps, end, currency, source, reason): the filed sum, else dividends of the 365 days before, else the window of filings.
 
-    instruments (id, currency of its price), filed and windows (id, value, end, currency), actions (id, date, kind, amount, currency).
-    A dividend in another currency than the price rules the actions out; a window that ended over *stale* days ago is refused.
+    instruments (id, at, currency of its price), filed and windows (id, at, value, end, currency), actions (id, date, kind, amount,
+    currency); with *as_of* all are of that date and have no column at. A dividend in another known currency than the price rules the
+    actions out; a window that ended over *stale* days ago is refused. An instrument's dividends are one array, cut by each date.
     """
-    at = F.lit(as_of).cast("date")
-    a = actions.where(F.col("kind") == "dividend").where((F.col("date") > F.date_sub(at, 365)) & (F.col("date") <= at) & F.col("amount").isNotNull())
-    a = a.select("id", "amount", F.col("currency").alias("c")).join(instruments.select("id", F.col("currency").alias("p")), "id")
-    a = a.groupBy("id").agg(F.sum("amount").alias("value"), F.count_if(F.col("c") != F.col("p")).alias("odd"), F.first("p").alias("currency")).where("odd = 0")
-    pack = lambda f, name: f.select("id", F.struct(F.col("value").cast("double").alias("value"), "end", "currency").alias(name))
-    x = instruments.select("id").join(pack(filed, "f"), "id", "left").join(pack(a.withColumn("end", at), "a"), "id", "left").join(pack(windows, "w"), "id", "left")
-    old = F.datediff(at, "w.end") > stale
+    if as_of is not None:
+        day = F.lit(as_of).cast("date")
+        instruments, filed, windows = (f.withColumn("at", day) for f in (instruments, filed, windows))
+    a = actions.where((F.col("kind") == "dividend") & F.col("amount").isNotNull())
+    a = a.groupBy("id").agg(F.collect_list(F.struct("date", F.col("amount").cast("double").alias("amount"), F.col("currency").alias("currency"))).alias("events"))
+    own = F.filter("events", lambda e: (e["date"] > F.date_sub("at", 365)) & (e["date"] <= F.col("at")))
+    pack = lambda f, name: f.select("id", "at", F.struct(F.col("value").cast("double").alias("value"), "end", "currency").alias(name))
+    x = instruments.select("id", "at", F.col("currency").alias("p")).join(a, "id", "left").withColumn("own", own)
+    # sorted, so that a sum doesn't hang on the order in which events arrive
+    total = F.aggregate(F.array_sort(F.transform("own", lambda e: e["amount"])), F.lit(0.0), lambda s, v: s + v)
+    alike = (F.size("own") > 0) & F.forall("own", lambda e: F.coalesce(e["currency"] == F.col("p"), F.lit(True)))
+    paid = F.when(alike, F.struct(total.alias("value"), F.col("at").alias("end"), F.col("p").alias("currency")))
+    x = x.select("id", "at", paid.alias("a")).join(pack(filed, "f"), ["id", "at"], "left").join(pack(windows, "w"), ["id", "at"], "left")
+    old = F.datediff("at", "w.end") > stale
     best = F.coalesce("f", "a", F.when(~old, F.col("w")))
     source = F.when(F.col("f").isNotNull(), "filed").when(F.col("a").isNotNull(), "actions").when(F.col("w").isNotNull() & ~old, "window")
     why = F.when(source.isNull(), F.when(old, F.concat(F.lit("stale_data: dps: last "), F.col("w.end").cast("string"))).otherwise("missing_data: dps_ttm"))
-    return x.select("id", best["value"].alias("dps"), best["end"].alias("end"), best["currency"].alias("currency"), source.alias("source"), why.alias("reason"))
+    out = x.select("id", "at", best["value"].alias("dps"), best["end"].alias("end"), best["currency"].alias("currency"), source.alias("source"), why.alias("reason"))
+    return out if as_of is None else out.drop("at")

@@ -1,4 +1,4 @@
-"""Measures by name: arithmetic of one period, valuation, and the whole catalogue of a snapshot.
+"""Measures by name: arithmetic of one period and valuation.
 
 An input is a struct (value double, unit string, end date); a measure is a struct (value, reason) with exactly one side set.
 In a valuation row a missing or stale input is named first, then a conflict of currencies, then what arithmetic refuses.
@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import reasons as R
 
-from . import periods, picks, prices
+from . import prices
 
 #: Days after which a price, a share count or a filed dividend is too old; a dual listing's gap in shares and days.
 PRICE_DAYS, SHARE_DAYS, DIVIDEND_DAYS, DUAL_GAP, DUAL_DAYS = 7, 550, 550, 1.2, 120
@@ -144,18 +144,18 @@ def absent(stale: Column, **inputs: Column) -> Column:
     return F.nullif(F.concat_ws("; ", part("stale_data: ", old), part("missing_data: ", new)), F.lit(""))
 
 
-def shares(outstanding: Column, diluted: Column, splits: Column, filed: Column, ads: Column, ifrs: Column, as_of: Column) -> Column:
+def shares(outstanding: Column, diluted: Column, splits: Column, ads: Column, ifrs: Column, as_of: Column) -> Column:
     """(value, reason): the share count that goes with the price of a date.
 
-    outstanding and diluted (value, end); a count that is stale or gone, or under the diluted one by a dual listing's gap, gives way
-    to the diluted one. Splits (array of date, factor) between its end and its filing divide it, once a date; filers of ifrs are
+    outstanding and diluted (value, end, filed); a count that is stale or gone, or under the diluted one by a dual listing's gap, gives way
+    to the diluted one. Splits (array of date, factor) between its end and its filing (as_of where that is not known) divide it, once a date; filers of ifrs are
     counted in depositary shares, and refused if their ratio is unknown.
     """
     fresh = lambda x: F.datediff(as_of, x["end"]) <= SHARE_DAYS
     gone = outstanding["value"].isNull() | ~fresh(outstanding)
     dual = (diluted["value"] > outstanding["value"] * DUAL_GAP) & (F.abs(F.datediff(diluted["end"], outstanding["end"])) <= DUAL_DAYS)
     use = F.when(diluted["value"].isNotNull() & fresh(diluted) & (gone | dual), diluted).otherwise(outstanding)
-    own = F.filter(splits, lambda e: (e["date"] > use["end"]) & (e["date"] <= filed))
+    own = F.filter(splits, lambda e: (e["date"] > use["end"]) & (e["date"] <= F.least(F.coalesce(use["filed"], as_of), as_of)))
     once = F.map_values(F.map_from_entries(F.array_distinct(F.transform(own, lambda e: F.struct(e["date"], e["factor"])))))
     factor = F.coalesce(F.aggregate(once, F.lit(1.0), lambda a, f: a * f), F.lit(1.0))
     value = use["value"] / factor / F.when(ifrs, ads).otherwise(1.0)
@@ -163,165 +163,6 @@ def shares(outstanding: Column, diluted: Column, splits: Column, filed: Column,
     return R.result(value, F.coalesce(why, F.when(ifrs & ads.isNull(), "adr_ratio_unknown: price per ADS, shares are ordinary")))
 
 
-#: The concepts that a snapshot reads, as flows and as balances.
-FLOWS = ("revenue", "cogs", "gross_profit", "opex", "operating_income", "d_and_a", "net_income", "pretax_income", "tax_expense", "interest_expense", "interest_income", "ocf", "capex", "dps")
-STOCKS = ("cash", "st_investments", "total_debt", "total_equity", "total_equity_incl_nci", "minority_interest", "preferred_equity", "total_assets", "shares_outstanding", "shares_diluted")
-#: The flow whose window is a measure's period.
-PERIOD_OF = {
-    "gross_profit": "revenue", "gross_margin": "revenue", "operating_margin": "revenue", "net_margin": "revenue", "effective_tax": "tax_expense", "ebitda": "revenue", "fcf": "ocf",
-    "interest_coverage": "interest_expense", "nopat": "tax_expense", "roe": "net_income", "roe_incl_nci": "net_income", "asset_turnover": "revenue", "pe": "net_income", "ps": "revenue",
-}
-
-
-def _wide(rows: DataFrame, concepts: tuple[str, ...], value: Column, prefix: str) -> DataFrame:
-    """One row an issuer with a column for each concept."""
-    return rows.groupBy("issuer").agg(*[F.max(F.when(F.col("concept") == c, value)).alias(f"{prefix}_{c}") for c in concepts])
-
-
-def latest(stocks: DataFrame, as_of: str, most: int = 1100) -> DataFrame:
-    """One row an issuer: a struct (value, unit, end) for each concept's newest balance up to a date, and `stale`.
-
-    stocks (issuer, concept, end, value, unit). A balance over *most* days behind the issuer's newest is left out; stale is a map of
-    such concepts to their last end.
-    """
-    s = stocks.where((F.col("end") <= F.lit(as_of).cast("date")) & F.col("value").isNotNull() & F.col("concept").isin(*STOCKS))
-    s = picks.first_by(s, ["issuer", "concept"], F.desc("end"), "unit", "value")
-    s = s.withColumn("old", F.datediff(F.max("end").over(Window.partitionBy("issuer")), "end") > most)
-    old = s.groupBy("issuer").agg(F.map_from_entries(F.collect_list(F.when(F.col("old"), F.struct("concept", "end")))).alias("stale"))
-    return _wide(s.where("not old"), STOCKS, F.struct("value", "unit", "end"), "now").join(old, "issuer", "full")
-
-
-def snapshot(flows: DataFrame, stocks: DataFrame, instruments: DataFrame, price_rows: DataFrame, actions: DataFrame, as_of: str, zeros: DataFrame | None = None) -> DataFrame:
-    """(issuer, concept, value, unit, period_start, period_end, basis, null_reason): every measure of every issuer at a date.
-
-    flows (issuer, concept, start, end, value, unit) and stocks (issuer, concept, end, value, unit) hold canonical concepts;
-    instruments (issuer, id, bank, ifrs, ads_ratio), one each; price_rows (id, date, close, currency); actions (id, date, kind, amount,
-    currency); zeros is evidence() of functions.concepts. Every row has a value or a reason.
-    """
-    at = F.lit(as_of).cast("date")
-    f = flows.where(F.col("concept").isin(*FLOWS))
-    units = f.groupBy("issuer", "concept").agg(F.min("unit").alias("unit"))
-    w = _wide(periods.trailing_year(f, as_of).join(units, ["issuer", "concept"]), FLOWS, F.struct("value", "unit", "start", "end", "basis"), "flow")
-    p = picks.as_of(instruments.withColumn("at", at), price_rows, "id", "at", "date", ["close", "currency"])
-    p = p.withColumnsRenamed({"as_of": "price_day", "age_days": "price_age", "currency": "price_unit"})
-    kept = actions.where(F.col("date") <= at)
-    split = kept.where("kind = 'split' and amount > 0").groupBy("id", "date").agg(F.min("amount").cast("double").alias("factor"))
-    split = split.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("date", "factor"))).alias("splits"))
-    paid = kept.where((F.col("kind") == "dividend") & (F.col("date") > F.date_sub(at, 365)))
-    paid = paid.groupBy("id").agg(F.sum("amount").alias("paid"), F.min("currency").alias("paid_unit"), F.max("currency").alias("paid_unit2"))
-    begin = stocks.where("value is not null").join(w.select("issuer", F.col("flow_revenue.start").alias("start")).where("start is not null"), "issuer").where(F.col("end") < F.col("start"))
-    begin = _wide(picks.first_by(begin, ["issuer", "concept"], F.desc("end"), "value"), STOCKS, F.col("value"), "begin")
-    b = p.join(w, "issuer", "left").join(latest(stocks, as_of), "issuer", "left").join(begin, "issuer", "left").join(split, "id", "left").join(paid, "id", "left")
-    none = instruments.select("issuer", F.lit(None).cast("string").alias("st_zero"), F.lit(None).cast("string").alias("nci_zero"))
-    return _measures(b.join(none if zeros is None else zeros, "issuer", "left"), at)
-
-
-class _Columns:
-    """Measures as two columns each, value and reason, of a frame; later ones read them. No structs: those would be computed again at every use."""
-
-    def __init__(self, rows: DataFrame):
-        self._rows, self.names, self._new = rows, [], {}
-
-    def __getitem__(self, name: str) -> dict[str, Column]:
-        if name in self._new:
-            self.rows()
-        return {"value": F.col(f"value_{name}"), "reason": F.col(f"reason_{name}")}
-
-    def rows(self) -> DataFrame:
-        """The frame with all measures put so far: those that do not read each other become columns together."""
-        new, self._new = self._new, {}
-        self._rows = self._rows.withColumns({f"reason_{n}": why for n, (_, why) in new.items()})
-        self._rows = self._rows.withColumns({f"value_{n}": F.when(F.col(f"reason_{n}").isNull(), made["value"]) for n, (made, _) in new.items()})
-        return self._rows
-
-    def put(self, name: str, made: Column, *reasons: Column) -> None:
-        """*made* is a measure; reasons come before its own. Banks do not have some of them."""
-        why = F.coalesce(*reasons, made["reason"])
-        if name in NOT_FOR_BANKS:
-            why = F.when(why.isNotNull(), F.when(F.col("bank"), F.lit("not_applicable: banks")).otherwise(why))
-        self._new[name] = made, why
-        self.names.append(name)
-
-
-def _measures(b: DataFrame, at: Column) -> DataFrame:
-    flow, now, begin = (lambda n: F.col(f"flow_{n}")), (lambda n: F.col(f"now_{n}")), (lambda n: F.col(f"begin_{n}"))
-    of = lambda *c: {n: _v(flow(n)) for n in c}
-
-    def together(*c: str) -> Column:
-        """Inputs of one period must share it."""
-        spans = F.array_distinct(F.array(*[F.struct(flow(n)["start"], flow(n)["end"]) for n in c]))
-        return F.when(R.missing(**of(*c)).isNull() & (F.size(spans) > 1), F.lit("period_mismatch"))
-
-    zero = lambda x, why: F.coalesce(x, F.when(F.col(why).isNotNull(), 0.0))
-    b = b.withColumn("bank", F.coalesce("bank", F.lit(False))).withColumn("ifrs", F.coalesce("ifrs", F.lit(False)))
-    b = b.withColumn("oi", operating_income(_v(flow("operating_income")), *of("pretax_income", "interest_expense", "interest_income").values(), F.col("bank")))
-    b = b.withColumn("st", zero(_v(now("st_investments")), "st_zero")).withColumn("minority", zero(_v(now("minority_interest")), "nci_zero"))
-    late = F.col("close").isNull() | (F.col("price_age") > PRICE_DAYS)
-    why = F.when(F.col("price_day").isNull(), "missing_data: price_close").when(late, F.concat(F.lit("missing_data: price_close_stale:"), F.col("price_day").cast("string")))
-    b = b.withColumn("no_price", why).withColumn("splits", F.coalesce("splits", F.array().cast("array<struct<date:date,factor:double>>")))
-    after = F.aggregate(F.filter("splits", lambda e: e["date"] > F.col("price_day")), F.lit(1.0), lambda a, e: a * e["factor"])
-    b = b.withColumn("price", F.when(F.col("no_price").isNull(), F.col("close") * after))
-    b = b.withColumn("count", shares(now("shares_outstanding"), now("shares_diluted"), F.col("splits"), at, F.col("ads_ratio"), F.col("ifrs"), at))
-    m, unit, no_price, stale = _Columns(b), F.col("price_unit"), F.col("no_price"), F.col("stale")
-    oi, st, minority = (F.col(c) for c in ("oi", "st", "minority"))
-    equity, debt, cash, revenue = _v(now("total_equity")), _v(now("total_debt")), _v(now("cash")), _v(flow("revenue"))
-    m.put("gross_profit", gross_profit(_v(flow("gross_profit")), *of("revenue", "cogs").values()), together("revenue", "cogs"))
-    m.put("gross_margin", R.ratio(gross_profit=m["gross_profit"]["value"], revenue=revenue), _or_missing("gross_profit", m["gross_profit"]))
-    m.put("operating_margin", R.ratio(operating_income=oi, revenue=revenue))
-    m.put("net_margin", R.ratio(**of("net_income", "revenue")), together("net_income", "revenue"))
-    m.put("effective_tax", R.effective_tax(*of("tax_expense", "pretax_income").values()), together("tax_expense", "pretax_income"))
-    m.put("ebitda", ebitda(oi, *of("revenue", "cogs", "opex", "d_and_a").values()))
-    m.put("fcf", R.total({"capex": -1}, **of("capex", "ocf")), together("ocf", "capex"))
-    m.put("interest_coverage", R.ratio(operating_income=oi, interest_expense=_v(flow("interest_expense"))))
-    m.put("nopat", R.result(oi * (1 - m["effective_tax"]["value"]), F.lit(None).cast("string")), R.missing(operating_income=oi), _or_missing("effective_tax", m["effective_tax"]))
-    for name, f, s in (("roe", "net_income", "total_equity"), ("roe_incl_nci", "net_income", "total_equity_incl_nci"), ("asset_turnover", "revenue", "total_assets")):
-        m.put(name, mean_ratio(_v(flow(f)), begin(s), _v(now(s)), **{f: _none(), s: _none()}))
-    owed = {"total_debt": debt, "cash": cash, "st_investments": st}
-    capital = {**owed, "total_equity": equity, "minority_interest": minority}
-    clash = lambda names, *more: currencies_clash(*[now(n)["unit"] for n in names], *more)
-    m.put("net_debt", FORMULAS["net_debt"][1](**owed), absent(stale, **owed), clash(owed))
-    m.put("net_debt_ebitda", R.ratio(net_debt=m["net_debt"]["value"], ebitda=m["ebitda"]["value"]), _or_missing("net_debt", m["net_debt"]), _or_missing("ebitda", m["ebitda"]))
-    m.put("invested_capital", R.result(equity + minority + debt - cash - st, F.lit(None).cast("string")), absent(stale, **capital), clash(capital))
-    m.put("market_cap", R.result(F.col("price") * F.col("count.value"), F.lit(None).cast("string")), no_price, F.col("count.reason"), currencies_clash(now("shares_outstanding")["unit"], unit))
-    m.put("market_cap_total", market_cap_total(F.array(m["market_cap"]["value"])), m["market_cap"]["reason"])
-    total = m["market_cap_total"]
-    fed = lambda name="market_cap_total": (no_price, _or_missing(name, m[name]))
-    m.put("ev", enterprise_value(total["value"], debt, cash, st, minority, _v(now("preferred_equity")), F.lit(False)), *fed(), absent(stale, **owed, minority_interest=minority), clash([*owed, "minority_interest", "preferred_equity"], unit))
-    m.put("pb", R.ratio(market_cap_total=total["value"], total_equity=equity), *fed(), absent(stale, total_equity=equity), clash(["total_equity"], unit))
-    for name, c in (("pe", "net_income"), ("ps", "revenue")):
-        x = {f"{c}_ttm": _v(flow(c))}
-        m.put(name, R.ratio(market_cap_total=total["value"], **x), *fed(), R.missing(**x), currencies_clash(unit, flow(c)["unit"]))
-    fy = R.ratio(fcf=m["fcf"]["value"], market_cap=m["market_cap"]["value"])
-    m.put("fcf_yield", fy, *fed("market_cap"), _or_missing("fcf", m["fcf"]), currencies_clash(flow("ocf")["unit"], unit))
-    m.put("ev_ebitda", R.ratio(ev=m["ev"]["value"], ebitda=m["ebitda"]["value"]), *fed("ev"), _or_missing("ebitda", m["ebitda"]))
-    filed, alike = flow("dps"), F.col("paid_unit").eqNullSafe(F.col("paid_unit2")) & (F.coalesce("paid_unit", unit) == unit)
-    fresh = F.datediff(at, filed["end"]) <= DIVIDEND_DAYS
-    own = F.when(alike, F.col("paid"))
-    old = F.when(~fresh, F.concat(F.lit("stale_data: dps: last "), filed["end"].cast("string"))).otherwise("missing_data: dps_ttm")
-    dps = F.coalesce(own, F.when(fresh, _v(filed)))
-    m.put("div_yield", R.ratio(dps_ttm=dps, price_close=F.col("price")), no_price, F.when(dps.isNull(), old), F.when(own.isNull(), currencies_clash(filed["unit"], unit)))
-    first = begin("total_equity") + zero(begin("minority_interest"), "nci_zero") + begin("total_debt") - begin("cash") - zero(begin("st_investments"), "st_zero")
-    ro = R.ratio(nopat=m["nopat"]["value"], mean_capital=(first + m["invested_capital"]["value"]) / 2)
-    m.put("roic", ro, *fed("invested_capital"), _or_missing("nopat", m["nopat"]), F.when(first.isNull(), F.lit("missing_prior_period")))
-    for name in ("price_adj", "hhi"):
-        m.put(name, measure(name))
-    money = {
-        **dict.fromkeys(("gross_profit", "ebitda", "nopat"), flow("revenue")["unit"]), "fcf": flow("ocf")["unit"], "net_debt": now("total_debt")["unit"],
-        "invested_capital": now("total_equity")["unit"], **dict.fromkeys(("ev", "market_cap", "market_cap_total"), unit),
-    }
-
-    def row(n: str) -> Column:
-        x, span = m[n], PERIOD_OF.get(n)
-        there = x["value"].isNotNull()
-        start, end, basis = (flow(span)[c] for c in ("start", "end", "basis")) if span else (at, at, F.lit(None).cast("string"))
-        cells = F.when(there, start).otherwise(at), F.when(there, end).otherwise(at), F.when(there, basis)
-        names = ("period_start", "period_end", "basis")
-        return F.struct(F.lit(n).alias("concept"), x["value"].alias("value"), F.coalesce(money.get(n, F.lit("ratio")), F.lit("")).alias("unit"), *[c.alias(k) for c, k in zip(cells, names, strict=True)], x["reason"].alias("null_reason"))
-
-    cells = [row(n) for n in m.names]
-    return m.rows().select("issuer", F.explode(F.array(*cells)).alias("r")).select("issuer", "r.*")
-
-
 def price_measures(price_rows: DataFrame, actions: DataFrame, as_of: str, days: int = 365, edge: int = 7) -> DataFrame:
     """(id, total_return, drawdown, reason): over the year up to a date, dividends put back; both edges must lie within *edge* days.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions import concepts as C
 from ledgerlight.operators import capital
+from ledgerlight.operators import snapshot as S
 from ledgerlight.operators import valuation as V
 
 from .measures import _TTM
@@ -13,26 +14,36 @@ from .model import AS_OF, SECTORS, long_sql, periods, periods_sql, query, r6, se
 from .series import _DAILY, _daily
 
 _FLOWS = ("revenue", "cogs", "opex", "tax_expense", "net_income", "pretax_income", "ocf", "capex", "interest_expense", "d_and_a")
-#: Fixed inputs: balances as (concept, end, SQL of the value, SQL of the issuers that have it, has a currency).
-_STOCKS = (
-    ("cash", "2001-06-30", "abs(balance) * 10", "issuer % 11 <> 0", True),
-    ("cash", "2000-06-30", "abs(balance) * 9", "issuer % 11 <> 0", True),
-    ("cash", "1997-12-31", "abs(balance) * 8", "issuer % 11 = 0", True),
-    ("total_debt", "2001-06-30", "abs(balance) * 30", "issuer % 5 <> 0", True),
-    ("total_debt", "2000-06-30", "abs(balance) * 28", "issuer % 5 <> 0", True),
-    ("st_investments", "2001-06-30", "balance * 0 + 100", "issuer % 4 <> 0", True),
-    ("st_investments", "2000-06-30", "balance * 0 + 90", "issuer % 4 <> 0", True),
-    ("total_equity", "2001-06-30", "balance * 50", "issuer > 0", True),
-    ("total_equity", "2000-06-30", "balance * 45", "issuer % 7 <> 0", True),
-    ("total_equity_incl_nci", "2001-06-30", "balance * 51", "issuer > 0", True),
-    ("total_equity_incl_nci", "2000-06-30", "balance * 46", "issuer > 0", True),
-    ("minority_interest", "2001-06-30", "balance * 2", "issuer % 3 = 0", True),
-    ("minority_interest", "2000-06-30", "balance * 3", "issuer % 3 = 0", True),
-    ("total_assets", "2001-06-30", "balance + 500000", "issuer > 0", True),
-    ("total_assets", "2000-06-30", "balance + 400000", "issuer % 2 = 0", True),
-    ("shares_outstanding", "2001-06-30", "issuer + 1000.0", "issuer % 9 <> 0", False),
-    ("shares_outstanding", "1999-12-31", "issuer + 900.0", "issuer % 9 = 0", False),
-    ("shares_diluted", "2001-06-30", "issuer * 1.5 + 1500", "issuer % 10 = 0 or issuer % 18 = 0", False),
+_ALL_FLOWS = (*_FLOWS, "operating_income")
+#: Fixed inputs: balances as (concept, end, SQL of the value, SQL of the issuers that have it, has a currency, basis, filed).
+_STOCKS = tuple(
+    (*x, *("as_reported", None)[len(x) - 5 :]) if len(x) < 7 else x
+    for x in (
+        ("cash", "2001-06-30", "abs(balance) * 10", "issuer % 11 <> 0", True),
+        ("cash", "2000-06-30", "abs(balance) * 9", "issuer % 11 <> 0", True),
+        ("cash", "2000-09-30", "abs(balance) * 9.5", "issuer % 11 <> 0 and issuer % 2 = 1", True),
+        ("cash", "1997-12-31", "abs(balance) * 8", "issuer % 11 = 0", True),
+        ("total_debt", "2001-06-30", "abs(balance) * 30", "issuer % 5 <> 0", True),
+        ("total_debt", "2000-10-05", "abs(balance) * 28", "issuer % 5 <> 0 and issuer % 4 <> 0", True),
+        ("st_investments", "2001-06-30", "balance * 0 + 100", "issuer % 4 <> 0", True),
+        ("st_investments", "2000-09-25", "balance * 0 + 90", "issuer % 4 <> 0", True),
+        ("total_equity", "2001-06-30", "balance * 50", "issuer > 0", True),
+        ("total_equity", "2001-09-30", "balance * 52", "issuer % 3 <> 0", True),
+        ("total_equity", "2000-06-30", "balance * 45", "issuer % 7 <> 0", True),
+        ("total_equity", "2000-09-30", "balance * 46", "issuer % 7 <> 0 and issuer % 2 = 1", True),
+        ("total_equity", "2000-09-30", "balance * 47", "issuer % 7 = 1", True, "restated"),
+        ("total_equity", "2000-10-01", "balance * 48", "issuer % 7 = 2", True, "restated"),
+        ("total_equity_incl_nci", "2001-09-30", "balance * 51", "issuer % 2 = 0", True, "restated"),
+        ("total_equity_incl_nci", "2001-06-30", "balance * 50.5", "issuer > 0", True),
+        ("total_equity_incl_nci", "2000-06-30", "balance * 46", "issuer > 0", True),
+        ("minority_interest", "2001-06-30", "balance * 2", "issuer % 3 = 0", True),
+        ("minority_interest", "2000-09-30", "balance * 3", "issuer % 3 = 0", True),
+        ("total_assets", "2001-09-30", "balance + 500000", "issuer % 8 <> 0", True),
+        ("total_assets", "2000-06-30", "balance + 400000", "issuer % 2 = 0", True),
+        ("shares_outstanding", "2001-06-30", "issuer + 1000.0", "issuer % 9 <> 0", False, "as_reported", "2001-08-01"),
+        ("shares_outstanding", "1999-12-31", "issuer + 900.0", "issuer % 9 = 0", False, "as_reported", "2001-09-01"),
+        ("shares_diluted", "2001-06-30", "issuer * 1.5 + 1500", "issuer % 10 = 0 or issuer % 18 = 0", False),
+    )
 )
 
 
@@ -50,9 +61,10 @@ def flows(spark, d):
 
 def stocks(spark, d):
     s, out = sectors(spark, d), None
-    for concept, end, value, who, money in _STOCKS:
+    for concept, end, value, who, money, basis, filed in _STOCKS:
         unit = F.col("currency") if money else F.lit(None).cast("string")
-        own = s.where(who).select("issuer", F.lit(concept).alias("concept"), F.lit(end).cast("date").alias("end"), F.expr(value).cast("double").alias("value"), unit.alias("unit"))
+        more = F.lit(basis).alias("basis"), F.lit(0).alias("rank"), F.lit(filed).cast("date").alias("filed")
+        own = s.where(who).select("issuer", F.lit(concept).alias("concept"), F.lit(end).cast("date").alias("end"), F.expr(value).cast("double").alias("value"), unit.alias("unit"), *more)
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -100,17 +112,40 @@ def _absent(*names: str) -> str:
 
 _CLASH = "CASE WHEN currency <> 'USD' THEN 'currency_mismatch: ' || least(currency, 'USD') || ', ' || greatest(currency, 'USD') END"
 _UP = "CASE WHEN {0}_r LIKE 'currency_mismatch%' OR {0}_r LIKE 'stale_data%' THEN {0}_r WHEN {0}_r IS NOT NULL THEN 'missing_data: {0}' END"
+#: Inputs of one period by measure.
+_RECIPES = {
+    "gross_profit": ("revenue", "cogs"), "operating_margin": ("operating_income", "revenue"), "net_margin": ("net_income", "revenue"), "effective_tax": ("tax_expense", "pretax_income"),
+    "ebitda": ("operating_income", "d_and_a"), "built": ("revenue", "cogs", "opex", "d_and_a"), "fcf": ("ocf", "capex"), "interest_coverage": ("operating_income", "interest_expense"),
+    "nopat": ("operating_income", "tax_expense", "pretax_income"), "pe": ("net_income",), "ps": ("revenue",),
+}
+
+
+def _x(recipe: str, concept: str) -> str:
+    return f"{recipe}__{concept}"
+
+
+def _ratio(m: str, a: str, c: str) -> tuple[str, list[str]]:
+    return f"{_x(m, a)} / nullif({_x(m, c)}, 0)", [f"{m}_why", _den(_x(m, c))]
+
+
+_RATE = f"{_x('effective_tax', 'tax_expense')} / nullif({_x('effective_tax', 'pretax_income')}, 0)"
 #: measure: SQL of the value, SQLs of the reasons in order. A later row reads an earlier measure as x_v and x_r.
 _M = {
-    "gross_profit": ("revenue - cogs", [_missing(revenue="revenue", cogs="cogs")]),
-    "gross_margin": ("gross_profit_v / nullif(revenue, 0)", [_UP.format("gross_profit"), _den("revenue")]),
-    "operating_margin": ("oi / nullif(revenue, 0)", [_missing(operating_income="oi", revenue="revenue"), _den("revenue")]),
-    "net_margin": ("net_income / nullif(revenue, 0)", [_missing(net_income="net_income", revenue="revenue"), _den("revenue")]),
-    "effective_tax": ("tax_expense / nullif(pretax_income, 0)", [_missing(tax="tax_expense", pretax="pretax_income"), _den("pretax_income"), "CASE WHEN tax_expense / nullif(pretax_income, 0) NOT BETWEEN 0 AND 0.5 THEN 'jurisdiction_rate: rate=' || printf('%.4f', tax_expense / pretax_income) END"]),
-    "ebitda": ("CASE WHEN oi IS NOT NULL THEN oi + d_and_a ELSE revenue - cogs - opex + d_and_a END", ["CASE WHEN oi IS NOT NULL OR cogs IS NULL OR opex IS NULL OR revenue IS NULL THEN " + _missing(d_and_a="d_and_a", operating_income="oi") + " END"]),
-    "fcf": ("ocf - capex", [_missing(capex="capex", ocf="ocf")]),
-    "interest_coverage": ("oi / nullif(interest_expense, 0)", [_missing(operating_income="oi", interest_expense="interest_expense"), _den("interest_expense")]),
-    "nopat": ("oi * (1 - effective_tax_v)", [_missing(operating_income="oi"), _UP.format("effective_tax")]),
+    "gross_profit": (f"{_x('gross_profit', 'revenue')} - {_x('gross_profit', 'cogs')}", ["gross_profit_why"]),
+    "gross_margin": (f"gross_profit_v / nullif({_x('gross_profit', 'revenue')}, 0)", [_UP.format("gross_profit"), _den(_x("gross_profit", "revenue"))]),
+    "operating_margin": _ratio("operating_margin", "operating_income", "revenue"),
+    "net_margin": _ratio("net_margin", "net_income", "revenue"),
+    "effective_tax": (_RATE, ["effective_tax_why", _den(_x("effective_tax", "pretax_income")), f"CASE WHEN {_RATE} NOT BETWEEN 0 AND 0.5 THEN 'jurisdiction_rate: rate=' || printf('%.4f', {_RATE}) END"]),
+    "ebitda": (
+        f"CASE WHEN ebitda_why IS NULL THEN {_x('ebitda', 'operating_income')} + {_x('ebitda', 'd_and_a')} ELSE {_x('built', 'revenue')} - {_x('built', 'cogs')} - {_x('built', 'opex')} + {_x('built', 'd_and_a')} END",
+        ["CASE WHEN built_why IS NOT NULL THEN ebitda_why END"],
+    ),
+    "fcf": (f"{_x('fcf', 'ocf')} - {_x('fcf', 'capex')}", ["fcf_why"]),
+    "interest_coverage": _ratio("interest_coverage", "operating_income", "interest_expense"),
+    "nopat": (
+        f"{_x('nopat', 'operating_income')} * (1 - {_x('nopat', 'tax_expense')} / nullif({_x('nopat', 'pretax_income')}, 0))",
+        ["CASE WHEN operating_margin_why LIKE '%operating_income%' THEN 'missing_data: operating_income' END", _UP.format("effective_tax"), "nopat_why", f"CASE WHEN {_x('nopat', 'pretax_income')} <= 0 OR {_x('nopat', 'tax_expense')} / nullif({_x('nopat', 'pretax_income')}, 0) NOT BETWEEN 0 AND 0.5 THEN 'missing_data' END"],
+    ),
     "net_debt": ("total_debt - cash - st", [_absent("total_debt", "cash", "st_investments").replace("st_investments IS", "st IS")]),
     "net_debt_ebitda": ("net_debt_v / nullif(ebitda_v, 0)", [_UP.format("net_debt"), _UP.format("ebitda"), _den("ebitda_v")]),
     "invested_capital": ("total_equity + minority + total_debt - cash - st", [_absent("total_equity", "minority_interest", "total_debt", "cash", "st_investments").replace("st_investments IS", "st IS").replace("minority_interest IS", "minority IS")]),
@@ -118,82 +153,141 @@ _M = {
     "market_cap_total": ("market_cap_v", ["market_cap_r"]),
     "ev": ("market_cap_total_v + total_debt - cash - st + minority", ["no_price", _UP.format("market_cap_total"), _absent("minority_interest", "total_debt", "cash", "st_investments").replace("st_investments IS", "st IS").replace("minority_interest IS", "minority IS"), _CLASH]),
     "pb": ("market_cap_total_v / nullif(total_equity, 0)", ["no_price", _UP.format("market_cap_total"), _absent("total_equity"), _CLASH, _den("total_equity")]),
-    "pe": ("market_cap_total_v / nullif(net_income, 0)", ["no_price", _UP.format("market_cap_total"), _missing(net_income_ttm="net_income"), _CLASH, _den("net_income")]),
-    "ps": ("market_cap_total_v / nullif(revenue, 0)", ["no_price", _UP.format("market_cap_total"), _missing(revenue_ttm="revenue"), _CLASH, _den("revenue")]),
+    "pe": (f"market_cap_total_v / nullif({_x('pe', 'net_income')}, 0)", ["no_price", _UP.format("market_cap_total"), "CASE WHEN pe_why IS NOT NULL THEN 'missing_data: net_income_ttm' END", _CLASH, _den(_x("pe", "net_income"))]),
+    "ps": (f"market_cap_total_v / nullif({_x('ps', 'revenue')}, 0)", ["no_price", _UP.format("market_cap_total"), "CASE WHEN ps_why IS NOT NULL THEN 'missing_data: revenue_ttm' END", _CLASH, _den(_x("ps", "revenue"))]),
     "fcf_yield": ("fcf_v / nullif(market_cap_v, 0)", ["no_price", _UP.format("market_cap"), _UP.format("fcf"), _CLASH, _den("market_cap_v")]),
     "ev_ebitda": ("ev_v / nullif(ebitda_v, 0)", ["no_price", _UP.format("ev"), _UP.format("ebitda"), _den("ebitda_v")]),
-    "div_yield": ("0.5 / close", ["no_price", "CASE WHEN issuer % 4 <> 1 OR issuer % 8 = 5 THEN 'missing_data: dps_ttm' END"]),
+    "div_yield": ("0.5 / close", ["no_price", "CASE WHEN NOT paid THEN 'missing_data: dps_ttm' END"]),
     "roic": ("nopat_v / nullif((first_capital + invested_capital_v) / 2, 0)", ["no_price", _UP.format("invested_capital"), _UP.format("nopat"), "CASE WHEN first_capital IS NULL THEN 'missing_prior_period' END", _den("((first_capital + invested_capital_v) / 2)")]),
     "price_adj": ("CAST(NULL AS DOUBLE)", ["'concept_not_mapped'"]),
     "hhi": ("CAST(NULL AS DOUBLE)", ["'concept_not_mapped'"]),
 }
-for _name, _flow, _stock in (("roe", "net_income", "total_equity"), ("roe_incl_nci", "net_income", "total_equity_incl_nci"), ("asset_turnover", "revenue", "total_assets")):
-    _mean = f"((b_{_stock} + {_stock}) / 2)"
-    _M[_name] = (f"{_flow} / nullif({_mean}, 0)", [_missing(**{_flow: _flow, _stock: _stock}), f"CASE WHEN b_{_stock} IS NULL THEN 'missing_prior_period' END", _den(_mean)])
-
-
-def _snapshot_sql() -> str:
-    stock = " UNION ALL ".join(f"""SELECT issuer, '{c}' AS concept, DATE '{e}' AS "end", CAST({v} AS DOUBLE) AS value FROM sectors WHERE {w}""" for c, e, v, w, _ in _STOCKS)
-    names = sorted({s[0] for s in _STOCKS})
-    newest = ", ".join(f"""arg_max(value, "end") FILTER (concept = '{c}' AND "end" > DATE '1998-06-25') AS {c}""" for c in names)
-    before = ", ".join(f"""arg_max(value, "end") FILTER (concept = '{c}' AND "end" < rs) AS b_{c}""" for c in names)
-    wide = ", ".join(f"max(CASE concept WHEN '{c}' THEN value END) AS {c}" for c in _FLOWS)
-    spans = ", ".join(f"""max(CASE concept WHEN '{c}' THEN start END) AS s_{c}, max(CASE concept WHEN '{c}' THEN "end" END) AS e_{c}""" for c in sorted(set(V.PERIOD_OF.values())))
+for _name, (_flow, _stock) in S.TWO_PERIOD.items():
+    _mean = f"((first_{_name} + last_{_name}) / 2)"
+    _M[_name] = (f"{_flow} / nullif({_mean}, 0)", [_missing(**{_stock: _stock}), f"CASE WHEN {_flow} IS NULL OR first_{_name} IS NULL OR last_{_name} IS NULL THEN 'period_mismatch' END", _den(_mean)])
+
+
+def _snapshot_sql(as_of: str = AS_OF) -> str:
+    """All measures of all issuers at a date."""
+    text = lambda x: "NULL" if x is None else f"DATE '{x}'"
+    stock = " UNION ALL ".join(f"""SELECT issuer, '{c}' AS concept, DATE '{e}' AS "end", CAST({v} AS DOUBLE) AS value, '{b}' AS basis, CAST({text(f)} AS DATE) AS filed FROM sectors WHERE {w}""" for c, e, v, w, _, b, f in _STOCKS)
+    at = f"DATE '{as_of}'"
+    names = sorted({x[0] for x in _STOCKS})
+    newest = ", ".join(f"""arg_max(value, "end") FILTER (concept = '{c}' AND basis = 'as_reported' AND "end" <= {at} AND "end" >= top - 1100) AS {c}""" for c in names)
+    wide = ", ".join(f"max(CASE concept WHEN '{c}' THEN value END) AS {c}, max(CASE concept WHEN '{c}' THEN start END) AS s_{c}, max(CASE concept WHEN '{c}' THEN \"end\" END) AS e_{c}, max(CASE concept WHEN '{c}' THEN basis END) AS b_{c}" for c in _ALL_FLOWS)
+    there = ", ".join(f"""count(*) FILTER (concept = '{c}') > 0 AS has_{c}""" for c in _ALL_FLOWS)
+    recipes = []
+    for r, wanted in _RECIPES.items():
+        gone = ", ".join(f"CASE WHEN NOT coalesce(has_{c}, false) THEN '{c}' END" for c in sorted(wanted))
+        first = wanted[0]
+        same = " AND ".join(f"w.{c} IS NOT NULL AND s_{c} = s_{first} AND e_{c} = e_{first} AND b_{c} = b_{first}" for c in wanted)
+        values = ", ".join(f"CASE WHEN {same} THEN w.{c} ELSE l.{c} END AS {_x(r, c)}" for c in wanted)
+        recipes.append(f"""l_{r} AS (SELECT * FROM q2 WHERE "end" <= {at} AND {' AND '.join(f'{c} IS NOT NULL' for c in wanted)} QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY "end" DESC) = 1),
+        r_{r} AS (SELECT sectors.issuer, {values}, CASE WHEN {same} THEN s_{first} ELSE l.start END AS s_{r}, CASE WHEN {same} THEN e_{first} ELSE l."end" END AS e_{r}, CASE WHEN {same} THEN b_{first} WHEN l.issuer IS NOT NULL THEN 'period' END AS b_{r},
+        CASE WHEN {' AND '.join(f'coalesce(has_{c}, false)' for c in wanted)} THEN CASE WHEN NOT coalesce({same}, false) AND l.issuer IS NULL THEN 'period_mismatch' END ELSE 'missing_data: ' || concat_ws(', ', {gone}) END AS {r}_why
+        FROM sectors LEFT JOIN w USING (issuer) LEFT JOIN there USING (issuer) LEFT JOIN l_{r} l USING (issuer))""")
+    two = []
+    for m, (flow, st) in S.TWO_PERIOD.items():
+        two.append(f"""t_{m} AS (SELECT w.issuer, arg_min(value, (- epoch("end"), basis)) FILTER ("end" <= s_{flow}) AS first_{m}, arg_min(value, basis) FILTER ("end" = e_{flow}) AS last_{m} FROM w JOIN stock ON stock.issuer = w.issuer AND concept = '{st}' GROUP BY w.issuer)""")
+    near = ", ".join(f"""arg_min(value, (basis, abs("end" - s_nopat), "end")) FILTER (concept = '{c}') AS n_{c}""" for c in S.BALANCES["invested_capital"])
     steps, last = [], "i"
     for n, (value, reasons) in _M.items():
         why = f"coalesce({', '.join([*reasons, 'NULL'])})"
         steps.append(f"x_{n} AS (SELECT *, CASE WHEN {n}_r IS NULL THEN {n}_w END AS {n}_v FROM (SELECT *, {value} AS {n}_w, {why} AS {n}_r FROM {last}))")
         last = f"x_{n}"
-    money = {"gross_profit", "ebitda", "nopat", "fcf", "net_debt", "invested_capital"}
 
     def row(n: str) -> str:
-        unit = "'USD'" if n in ("ev", "market_cap", "market_cap_total") else "currency" if n in money else "'ratio'"
-        if n in money - {"net_debt", "invested_capital"}:
-            unit = "CASE WHEN s_revenue IS NULL THEN '' ELSE currency END"
-        if n == "invested_capital":
-            unit = "CASE WHEN total_equity IS NULL THEN '' ELSE currency END"
-        if n == "net_debt":
-            unit = "CASE WHEN total_debt IS NULL THEN '' ELSE currency END"
+        span = {"gross_margin": "gross_profit", "fcf_yield": "fcf", "ev_ebitda": "ebitda", "net_debt_ebitda": "ebitda", "roic": "nopat"}.get(n, n)
+        span = {"roe": "net_income", "roe_incl_nci": "net_income", "asset_turnover": "revenue"}.get(span, span if span in _RECIPES else None)
+        unit = "'USD'" if n in ("ev", "market_cap", "market_cap_total") else "currency" if n in S.MONEY else "'ratio'"
+        if n in ("gross_profit", "ebitda", "nopat", "fcf"):
+            unit = f"CASE WHEN {'e_ebitda IS NULL AND e_built' if n == 'ebitda' else f'e_{n}'} IS NULL THEN '' ELSE currency END"
+        if n in ("net_debt", "invested_capital"):
+            unit = f"CASE WHEN {'total_debt' if n == 'net_debt' else 'total_equity'} IS NULL THEN '' ELSE currency END"
         if n in ("ev", "market_cap", "market_cap_total"):
             unit = "CASE WHEN close0 IS NULL THEN '' ELSE 'USD' END"
-        span = V.PERIOD_OF.get(n)
-        at = f"DATE '{AS_OF}'"
-        start, end = (f"CASE WHEN {n}_v IS NULL THEN {at} ELSE {x}_{span} END" for x in "se") if span else (at, at)
+        of = lambda x: f"CASE WHEN ebitda_why IS NULL THEN {x}_ebitda ELSE {x}_built END" if span == "ebitda" else f"{x}_{span}"
+        start, end = (f"CASE WHEN {n}_v IS NULL THEN {at} ELSE {of(x)} END" for x in "se") if span else (at, at)
+        basis = f"CASE WHEN {n}_v IS NOT NULL THEN {of('b')} END" if span else "CAST(NULL AS VARCHAR)"
         bank = f"CASE WHEN {n}_v IS NULL AND sector = 'ASIA' THEN 'not_applicable: banks' END" if n in V.NOT_FOR_BANKS else "CAST(NULL AS VARCHAR)"
-        return f"SELECT issuer, '{n}' AS concept, round({n}_v, 6) AS value, {unit} AS unit, {start} AS period_start, {end} AS period_end, coalesce({bank}, {n}_r) AS null_reason FROM {last}"
+        null = "CAST(NULL AS DATE)"
+        return f"""{{'concept': '{n}', 'value': CAST(round({n}_v, 6) AS DOUBLE), 'unit': CAST({unit} AS VARCHAR), 'period_start': coalesce({start}, {null}), 'period_end': coalesce({end}, {null}), 'basis': CAST({basis} AS VARCHAR), 'null_reason': CAST(coalesce({bank}, {n}_r) AS VARCHAR)}}"""
 
     q2 = """q2 AS (SELECT issuer, start, "end", revenue, CASE WHEN issuer % 17 <> 0 THEN cogs END AS cogs, opex, tax AS tax_expense, revenue - cogs - opex - tax AS net_income, revenue - cogs - opex AS pretax_income,
-    revenue - cogs AS ocf, opex AS capex, nullif(returned, 0) AS interest_expense, opex * 2 AS d_and_a FROM q)"""
-    return f"""WITH {periods_sql("q")}, {SECTORS}, {q2}, {long_sql("f", "q2", *_FLOWS)}, {_TTM}, {_DAILY}, stock AS ({stock}),
-    w AS (SELECT issuer, {wide}, {spans}, max(CASE concept WHEN 'revenue' THEN start END) AS rs FROM ttm GROUP BY issuer),
-    n AS (SELECT stock.issuer, {newest}, {before}, arg_max("end", "end") FILTER (concept = 'shares_outstanding') AS so_end FROM stock LEFT JOIN w USING (issuer) GROUP BY stock.issuer),
-    px AS (SELECT issuer, arg_max(close, date) AS close0, max(date) AS day FROM daily WHERE date <= DATE '{AS_OF}' GROUP BY issuer),
-    g AS (SELECT sectors.*, w.* EXCLUDE (issuer), n.* EXCLUDE (issuer), px.* EXCLUDE (issuer), issuer % 11 = 0 AS old_cash, CASE WHEN sector <> 'ASIA' THEN pretax_income + interest_expense END AS oi,
-      coalesce(st_investments, CASE WHEN issuer % 8 = 4 THEN 0 END) AS st, coalesce(minority_interest, CASE WHEN issuer % 3 = 1 THEN 0 END) AS minority,
-      CASE WHEN day IS NULL THEN 'missing_data: price_close' WHEN DATE '{AS_OF}' - day > 7 THEN 'missing_data: price_close_stale:' || day END AS no_price,
-      issuer % 9 = 0 AS gone FROM sectors LEFT JOIN w USING (issuer) LEFT JOIN n USING (issuer) LEFT JOIN px USING (issuer)),
-    h AS (SELECT *, shares_diluted IS NOT NULL AND (gone OR shares_diluted > shares_outstanding * 1.2) AS swap FROM g),
-    i AS (SELECT *, CASE WHEN no_price IS NULL THEN close0 END AS close, CASE WHEN gone AND NOT swap THEN 'stale_input: shares_outstanding (1999-12-31)' WHEN issuer % 13 = 0 AND issuer % 26 <> 0 THEN 'adr_ratio_unknown: price per ADS, shares are ordinary' END AS shares_r,
-      CASE WHEN swap THEN shares_diluted ELSE shares_outstanding END / CASE WHEN issuer % 6 = 0 THEN 2 ELSE 1 END / CASE WHEN issuer % 13 = 0 THEN 2 ELSE 1 END AS n_shares,
-      b_total_equity + coalesce(b_minority_interest, CASE WHEN issuer % 3 = 1 THEN 0 END) + b_total_debt - b_cash - coalesce(b_st_investments, CASE WHEN issuer % 8 = 4 THEN 0 END) AS first_capital FROM h),
+    revenue - cogs AS ocf, opex AS capex, nullif(returned, 0) AS interest_expense, opex * 2 AS d_and_a, CASE WHEN sector <> 'ASIA' THEN revenue - cogs - opex + nullif(returned, 0) END AS operating_income FROM q JOIN sectors USING (issuer))"""
+    ttm = _TTM.replace(AS_OF, as_of)
+    out = f"""WITH {periods_sql("q")}, {SECTORS}, {q2}, {long_sql("f", "q2", *_ALL_FLOWS)}, {ttm}, {_DAILY}, stock AS ({stock}),
+    w AS (SELECT issuer, {wide} FROM ttm GROUP BY issuer), there AS (SELECT issuer, {there} FROM f WHERE value IS NOT NULL AND "end" <= {at} GROUP BY issuer),
+    {", ".join(recipes)}, {", ".join(two)},
+    top AS (SELECT issuer, max("end") AS top FROM (SELECT issuer, "end" FROM f WHERE value IS NOT NULL AND "end" <= {at} UNION ALL SELECT issuer, "end" FROM stock WHERE basis = 'as_reported' AND "end" <= {at}) GROUP BY issuer),
+    n AS (SELECT issuer, {newest}, {", ".join(f"""max("end") FILTER (concept = '{c}' AND "end" <= {at} AND "end" >= top - 1100) AS {k}_end, arg_max(filed, "end") FILTER (concept = '{c}' AND "end" <= {at} AND "end" >= top - 1100) AS {k}_filed""" for k, c in (("so", "shares_outstanding"), ("sd", "shares_diluted")))} FROM stock JOIN top USING (issuer) GROUP BY issuer),
+    nb AS (SELECT stock.issuer, {near} FROM stock JOIN r_nopat USING (issuer) WHERE abs("end" - s_nopat) <= 10 GROUP BY stock.issuer),
+    px AS (SELECT issuer, arg_max(close, date) AS close0, max(date) AS day FROM daily WHERE date <= {at} GROUP BY issuer),
+    g AS (SELECT sectors.*, w.* EXCLUDE (issuer), n.* EXCLUDE (issuer), px.* EXCLUDE (issuer), nb.* EXCLUDE (issuer), {", ".join(f"r_{r}.* EXCLUDE (issuer)" for r in _RECIPES)}, {", ".join(f"t_{m}.* EXCLUDE (issuer)" for m in S.TWO_PERIOD)},
+      cash IS NULL AND issuer % 11 = 0 AND top - DATE '1997-12-31' > 1100 AS old_cash, coalesce(st_investments, CASE WHEN issuer % 8 = 4 THEN 0 END) AS st, coalesce(minority_interest, CASE WHEN issuer % 3 = 1 THEN 0 END) AS minority,
+      CASE WHEN day IS NULL THEN 'missing_data: price_close' WHEN {at} - day > 7 THEN 'missing_data: price_close_stale:' || day END AS no_price, coalesce({at} - so_end > 550, true) AS gone
+      FROM sectors LEFT JOIN w USING (issuer) LEFT JOIN n USING (issuer) LEFT JOIN top USING (issuer) LEFT JOIN px USING (issuer) LEFT JOIN nb USING (issuer) {" ".join(f"LEFT JOIN r_{r} USING (issuer)" for r in _RECIPES)} {" ".join(f"LEFT JOIN t_{m} USING (issuer)" for m in S.TWO_PERIOD)}),
+    h AS (SELECT *, shares_diluted IS NOT NULL AND {at} - sd_end <= 550 AND (gone OR (shares_diluted > shares_outstanding * 1.2 AND abs(sd_end - so_end) <= 120)) AS swap FROM g),
+    i AS MATERIALIZED (SELECT *, CASE WHEN no_price IS NULL THEN close0 * CASE WHEN issuer % 6 = 0 AND DATE '2001-08-15' > day AND DATE '2001-08-15' <= {at} THEN 2 ELSE 1 END END AS close,
+      CASE WHEN NOT coalesce(swap, false) AND shares_outstanding IS NULL THEN 'missing_data: shares_outstanding' WHEN gone AND NOT coalesce(swap, false) THEN 'stale_input: shares_outstanding (' || so_end || ')' WHEN issuer % 13 = 0 AND issuer % 26 <> 0 THEN 'adr_ratio_unknown: price per ADS, shares are ordinary' END AS shares_r,
+      CASE WHEN swap THEN shares_diluted ELSE shares_outstanding END / CASE WHEN issuer % 6 = 0 AND DATE '2001-08-15' <= CASE WHEN swap THEN {at} ELSE so_filed END AND DATE '2001-08-15' <= {at} THEN 2 ELSE 1 END / CASE WHEN issuer % 13 = 0 THEN 2 ELSE 1 END AS n_shares,
+      issuer % 4 = 1 AND issuer % 8 <> 5 AND DATE '2001-03-01' <= {at} AND DATE '2001-03-01' > {at} - 365 OR issuer % 8 = 5 AND DATE '2001-03-01' <= {at} AND DATE '2001-03-01' > {at} - 365 AND NOT (DATE '2001-05-01' <= {at} AND DATE '2001-05-01' > {at} - 365) AS paid,
+      n_total_equity + coalesce(n_minority_interest, CASE WHEN issuer % 3 = 1 THEN 0 END) + n_total_debt - n_cash - coalesce(n_st_investments, CASE WHEN issuer % 8 = 4 THEN 0 END) AS first_capital FROM h),
     {", ".join(steps)}
-    {" UNION ALL ".join(map(row, _M))}"""
+    """
+    return out + f"""SELECT issuer, {at} AS "at", r.* FROM (SELECT issuer, unnest([{", ".join(map(row, _M))}]) AS r FROM {last})"""
+
+
+_COLUMNS = "issuer, concept, value, unit, period_start, period_end, basis, null_reason"
 
 
-def _all(spark, d):
-    return V.snapshot(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d), actions(spark, d), AS_OF, zeros(spark, d))
+def _all(spark, d, *measures):
+    return S.snapshot(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d), actions(spark, d), AS_OF, zeros(spark, d), measures or S.MEASURES)
 
 
-@query(_snapshot_sql())
+@query(f"SELECT {_COLUMNS} FROM ({_snapshot_sql()})")
 def snapshot_measures(spark, d):
-    """The whole catalogue for each issuer: missing, stale and foreign inputs, banks, splits, depositary shares."""
-    return _all(spark, d).select("issuer", "concept", r6("value").alias("value"), "unit", "period_start", "period_end", "null_reason")
+    """The whole catalogue for each issuer: windows that differ, balances at their borders, missing, stale and foreign inputs, banks, splits, depositary shares."""
+    return _all(spark, d).select("issuer", "concept", r6("value").alias("value"), "unit", "period_start", "period_end", "basis", "null_reason")
+
+
+_VALUATION = ("pe", "ps", "pb", "ev_ebitda", "fcf_yield")
 
 
-@query(f"SELECT issuer, concept, value, null_reason FROM ({_snapshot_sql()}) WHERE concept IN ('pe', 'ps', 'pb', 'ev_ebitda', 'fcf_yield')")
+@query(f"SELECT issuer, concept, value, null_reason FROM ({_snapshot_sql()}) WHERE concept IN {_VALUATION}")
 def pe_ps_pb(spark, d):
-    rows = _all(spark, d).where(F.col("concept").isin("pe", "ps", "pb", "ev_ebitda", "fcf_yield"))
-    return rows.select("issuer", "concept", r6("value").alias("value"), "null_reason")
+    """Five measures; only what they read is worked out."""
+    return _all(spark, d, *_VALUATION).select("issuer", "concept", r6("value").alias("value"), "null_reason")
+
+
+#: Fixed inputs: two ends of quarters and a day between.
+_DATES = ("2000-12-31", "2001-07-20", AS_OF)
+
+
+def _inputs(spark, d, dates=_DATES):
+    targets = instruments(spark, d).select("issuer", F.explode(F.array(*[F.lit(x).cast("date") for x in dates])).alias("at"))
+    return S.inputs(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d), actions(spark, d), targets, zeros(spark, d))
+
+
+@query(" UNION ALL ".join(f'SELECT "at", {_COLUMNS} FROM ({_snapshot_sql(x)})' for x in _DATES))
+def snapshot_grid(spark, d):
+    """The whole catalogue of all issuers at several dates by one plan."""
+    rows = S.rows_of(S.evaluated(_inputs(spark, d)))
+    return rows.select("at", "issuer", "concept", r6("value").alias("value"), "unit", "period_start", "period_end", "basis", "null_reason")
+
+
+_RANKED = ("gross_margin", "roe", "pe", "net_debt_ebitda")
+
+
+@query(f"""WITH r AS ({_snapshot_sql()}), m AS (SELECT r.*, r_name AS sector FROM r JOIN supplier ON s_suppkey = issuer JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE concept IN {_RANKED}),
+p AS (SELECT issuer, concept, count(*) OVER (PARTITION BY sector, concept) - 1 AS n, (rank() OVER (PARTITION BY sector, concept ORDER BY value) - 1) / nullif(count(*) OVER (PARTITION BY sector, concept) - 1, 0) AS pct FROM m WHERE value IS NOT NULL)
+SELECT issuer, concept, sector AS peer_group, coalesce(n, 0) AS n, CASE WHEN null_reason IS NULL AND n >= 5 THEN round(pct, 6) END AS percentile, coalesce(null_reason, CASE WHEN coalesce(n, 0) < 5 THEN 'peer_set_too_small' END) AS reason FROM m LEFT JOIN p USING (issuer, concept)""")
+def peer_percentiles(spark, d):
+    """Percentile rows of a snapshot: where each measure stands in its sector at the date, or why it has no place."""
+    # the value is rounded first, as both sides must see the same ties
+    rows = S.rows_of(S.evaluated(_inputs(spark, d, (AS_OF,)), _RANKED), _RANKED).withColumn("value", r6("value"))
+    out = S.percentiles(rows, sectors(spark, d).select("issuer", F.col("sector").alias("peer_group")))
+    return out.select("issuer", "concept", "peer_group", "n", r6("percentile").alias("percentile"), "reason")
 
 
 _NAMES = ("gross_margin", "pb", "net_debt", "div_yield", "no_such_measure")

@@ -1,8 +1,8 @@
-"""Raw objects by their content: (sha256, path, size, kind, content)."""
+"""Raw objects by their content: (sha256, path, size, kind, content, reason)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First bytes in hexadecimal, and the kinds that only a file's name tells.
@@ -24,19 +24,20 @@ def kind_of(content: Column, path: Column) -> Column:
     return F.coalesce(office, found, html, F.when(name.isin(*BY_NAME), name), F.when(start.rlike(r"^[\[{]"), "json"), F.lit("txt"))
 
 
-def objects(spark: SparkSession, path: str) -> DataFrame:
-    """Each distinct content below *path* once, under its first path; larger files than MOST_BYTES are refused by the reader's filter."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MOST_BYTES)
-    x = files.select(F.sha2("content", 256).alias("sha256"), "path", F.col("length").alias("size"), "content")
-    w = Window.partitionBy("sha256").orderBy("path")
-    first = x.select("sha256", "path").withColumn("n", F.row_number().over(w)).where("n = 1").select("path")
-    kept = x.join(first, "path", "left_semi")
-    return kept.select("sha256", "path", "size", kind_of(F.col("content"), F.col("path")).alias("kind"), "content")
+def objects(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
+    """Each distinct content below *path* once, under its first path; a file of more than *most* bytes has a reason instead of its content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    taken = files.where(F.col("length") <= most).select(F.sha2("content", 256).alias("sha256"), "path", "content")
+    one = taken.groupBy("sha256").agg(F.min("path").alias("path"), F.first("content").alias("content"))  # equal contents, so any will do
+    kept = one.select("sha256", "path", F.length("content").cast("long").alias("size"), kind_of(F.col("content"), F.col("path")).alias("kind"), "content", F.lit(None).cast("string").alias("reason"))
+    none = lambda kind: F.lit(None).cast(kind)
+    large = files.where(F.col("length") > most).select(none("string").alias("sha256"), "path", F.col("length").alias("size"), none("string").alias("kind"), none("binary").alias("content"), F.concat(F.lit("too_large: "), F.col("length").cast("string")).alias("reason"))
+    return kept.unionByName(large)
 
 
 def unstored(found: DataFrame, stored: DataFrame) -> DataFrame:
-    """Objects whose content is not stored yet."""
-    return found.join(stored.select("sha256"), "sha256", "left_anti")
+    """Objects whose content is not stored yet; those that were refused have none."""
+    return found.where("sha256 is not null").join(stored.select("sha256"), "sha256", "left_anti")
 
 
 def unreferenced(stored: DataFrame, facts: DataFrame) -> DataFrame:

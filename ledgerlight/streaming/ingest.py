@@ -6,7 +6,6 @@ A batch that runs again after a failure appends nothing twice, as its keys are s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,17 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from ledgerlight.operators import versions
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset a folder of our own, which only a local master can share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='ledgerlight-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ledgerlight.scratch import shared_dir
 
 
 def stored(spark: SparkSession, schema, path: str) -> DataFrame:
@@ -59,8 +48,9 @@ def append_new(stream: DataFrame, key: list[str], day: Column, to: str, refuse:
             rows = rows.where("_why is null").drop("_why")
         once = rows.dropDuplicates(key)
         days = [r[0] for r in rows.select("day").distinct().collect()]
-        old = stored(spark, schema, to).where(F.col("day").isin(days)).select(*key).distinct()
-        once.join(old, key, "left_anti").write.mode("append").partitionBy("day").parquet(to)
+        here = F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() & F.lit(None in days))
+        old = stored(spark, schema, to).where(here).select(*key).distinct()
+        once.join(old, [once[k].eqNullSafe(old[k]) for k in key], "left_anti").write.mode("append").partitionBy("day").parquet(to)
 
     drain(stream, step, f"{to}-checkpoint")
     return stored(spark, schema, to)

@@ -30,6 +30,15 @@ def test_late_originals_stay_and_repeats_go(spark):
     assert [(r.key, r.reason) for r in dead] == [(9, "missing_data: value")]
 
 
+def test_null_keys_and_days_are_stored_once(spark):
+    top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    come = lambda: ingest.append_new(spark.readStream.schema(SCHEMA).parquet(f"{top}/in"), ["key", "at"], F.to_date("at"), f"{top}/out")
+    for _ in range(2):
+        put(spark, f"{top}/in", [(None, "2024-01-10", 1.0), (1, None, 2.0), (None, None, 3.0), (1, "2024-01-10", 4.0)] * 2)
+        got = come()
+    assert sorted((r.key or 0, str(r.at)) for r in got.collect()) == [(0, "2024-01-10 00:00:00"), (0, "None"), (1, "2024-01-10 00:00:00"), (1, "None")]
+
+
 def test_cascade_of_a_stream(spark):
     top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     coverage = spark.createDataFrame([(i, b, "ready", None) for i in (1, 2) for b in ("prices", "industry_metrics")], "id int, block string, status string, reason string")
