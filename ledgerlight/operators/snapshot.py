@@ -148,7 +148,7 @@ def inputs(flows: DataFrame, stocks: DataFrame, instruments: DataFrame, price_ro
     own, all_stocks = stocks.where((F.col("basis") == "as_reported") & F.col("concept").isin(*STOCKS)), stocks.where(F.col("concept").isin(*STOCKS) & F.col("value").isNotNull())
     f = with_operating_income(flows.where(F.col("concept").isin(*FLOWS) & F.col("value").isNotNull()).select("issuer", "concept", "start", "end", F.col("value").cast("double").alias("value"), "unit"), instruments)
     t = targets.select("issuer", "at").distinct().join(_with(instruments, home=_text()).select("issuer", "id", "bank", "ifrs", "ads_ratio", "home"), "issuer")
-    # three tables are written on the way, as several of the steps that follow read them
+    # tables are written on the way, as several of the steps that follow read them
     t = saved(t.join(borders.anchors(t, f.select("issuer", "end").union(own.select("issuer", "end"))), ["issuer", "at"], "left"), "targets")
     w = saved(borders.trailing_years(f, t), "windows")
     flow = w.groupBy("issuer", "at").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("w", "last").alias("x")))).alias("flow"), F.max(F.when(F.col("concept") == "dps", F.struct("w", "declared"))).alias("dps_window"))
@@ -157,15 +157,17 @@ def inputs(flows: DataFrame, stocks: DataFrame, instruments: DataFrame, price_ro
     b = t.join(flow, ["issuer", "at"], "left").join(common, "issuer", "left").join(borders.newest(t, own), ["issuer", "at"], "left")
     if wanted & {*TWO_PERIOD}:
         b = b.join(_two_period(w, all_stocks, wanted), ["issuer", "at"], "left")
-    b = b.withColumns({"bank": F.coalesce("bank", F.lit(False)), "ifrs": F.coalesce("ifrs", F.lit(False)), "one": _inputs(recipes)})
-    b = _priced(saved(b.join(_price(t, price_rows), ["issuer", "at"], "left"), "inputs"), actions)
+    b = saved(b.join(_price(t, price_rows), ["issuer", "at"], "left"), "inputs")
+    # large expressions stand in plans without an exchange: an adaptive plan is made anew after each one
+    b = saved(b.withColumns({"bank": F.coalesce("bank", F.lit(False)), "ifrs": F.coalesce("ifrs", F.lit(False)), "one": _inputs(recipes)}), "periods")
+    b = _priced(b, actions)
     if "roic" in wanted:
         edge = b.select("issuer", _get("one", "nopat")["start"].alias("border")).where("border is not null")
         found = capital.at_border(edge, all_stocks.where(F.col("concept").isin(*BALANCES["invested_capital"])).select("issuer", "concept", "end", "value", "rank", "basis", "unit"))
         begin = found.groupBy("issuer", "border").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("value", "end", "basis").alias("x")))).alias("begin"))
         b = b.withColumn("border", _get("one", "nopat")["start"]).join(begin, ["issuer", "border"], "left")
     none = instruments.select("issuer", _text().alias("st_zero"), _text().alias("nci_zero"))
-    return b.join(none if zeros is None else zeros, "issuer", "left")
+    return saved(b.join(none if zeros is None else zeros, "issuer", "left"), "inputs")
 
 
 def _price(t: DataFrame, price_rows: DataFrame) -> DataFrame:

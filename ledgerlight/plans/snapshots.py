@@ -167,8 +167,8 @@ for _name, (_flow, _stock) in S.TWO_PERIOD.items():
     _M[_name] = (f"{_flow} / nullif({_mean}, 0)", [_missing(**{_stock: _stock}), f"CASE WHEN {_flow} IS NULL OR first_{_name} IS NULL OR last_{_name} IS NULL THEN 'period_mismatch' END", _den(_mean)])
 
 
-def _snapshot_sql(as_of: str = AS_OF) -> str:
-    """All measures of all issuers at a date."""
+def _snapshot_sql(as_of: str = AS_OF, select: str = "") -> str:
+    """All measures of all issuers at a date, or another query over the same tables; {last} is the wide one."""
     text = lambda x: "NULL" if x is None else f"DATE '{x}'"
     stock = " UNION ALL ".join(f"""SELECT issuer, '{c}' AS concept, DATE '{e}' AS "end", CAST({v} AS DOUBLE) AS value, '{b}' AS basis, CAST({text(f)} AS DATE) AS filed FROM sectors WHERE {w}""" for c, e, v, w, _, b, f in _STOCKS)
     at = f"DATE '{as_of}'"
@@ -235,6 +235,8 @@ def _snapshot_sql(as_of: str = AS_OF) -> str:
       n_total_equity + coalesce(n_minority_interest, CASE WHEN issuer % 3 = 1 THEN 0 END) + n_total_debt - n_cash - coalesce(n_st_investments, CASE WHEN issuer % 8 = 4 THEN 0 END) AS first_capital FROM h),
     {", ".join(steps)}
     """
+    if select:
+        return out + select.format(last=last)
     return out + f"""SELECT issuer, {at} AS "at", r.* FROM (SELECT issuer, unnest([{", ".join(map(row, _M))}]) AS r FROM {last})"""
 
 
@@ -276,6 +278,28 @@ def snapshot_grid(spark, d):
     return rows.select("at", "issuer", "concept", r6("value").alias("value"), "unit", "period_start", "period_end", "basis", "null_reason")
 
 
+_TRACED = ("gross_margin", "roe", "net_debt_ebitda")
+_PART = """SELECT issuer, '{m}' AS concept, 'fact' AS kind, c AS source, 'input' AS role, q2.start AS period_start, q2."end" AS period_end, 1 AS sign, {b} AS basis FROM {{last}} x JOIN q2 USING (issuer), (VALUES {cs}) t(c) WHERE {m}_v IS NOT NULL AND q2.start >= {s} AND q2."end" <= {e}"""
+_LINES = " UNION ALL ".join(
+    [
+        _PART.format(m="gross_margin", b="b_gross_profit", cs="('revenue'), ('cogs')", s="s_gross_profit", e="e_gross_profit"),
+        _PART.format(m="roe", b="x.b_net_income", cs="('net_income')", s="x.s_net_income", e="x.e_net_income"),
+        _PART.format(m="net_debt_ebitda", b="b_ebitda", cs="('operating_income'), ('d_and_a')", s="s_ebitda", e="e_ebitda") + " AND ebitda_why IS NULL",
+        _PART.format(m="net_debt_ebitda", b="b_built", cs="('revenue'), ('cogs'), ('opex'), ('d_and_a')", s="s_built", e="e_built") + " AND ebitda_why IS NOT NULL",
+        """SELECT issuer, 'roe', 'fact', 'total_equity', 'begin', "end", "end", 1, basis FROM (SELECT x.issuer, stock."end", basis FROM {last} x JOIN stock ON stock.issuer = x.issuer AND concept = 'total_equity' AND stock."end" <= s_net_income WHERE roe_v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY x.issuer ORDER BY stock."end" DESC, basis) = 1)""",
+        """SELECT x.issuer, 'roe', 'fact', 'total_equity', 'end', stock."end", stock."end", 1, basis FROM {last} x JOIN stock ON stock.issuer = x.issuer AND concept = 'total_equity' AND stock."end" = e_net_income AND basis = 'as_reported' WHERE roe_v IS NOT NULL""",
+        f"""SELECT x.issuer, 'net_debt_ebitda', 'fact', concept, 'input', max(stock."end"), max(stock."end"), 1, 'as_reported' FROM {{last}} x JOIN stock ON stock.issuer = x.issuer AND concept IN ('total_debt', 'cash', 'st_investments') AND basis = 'as_reported' AND stock."end" <= DATE '{AS_OF}' WHERE net_debt_ebitda_v IS NOT NULL GROUP BY x.issuer, concept""",
+        f"""SELECT issuer, m, 'measure', f, 'feeds', NULL, DATE '{AS_OF}', 1, NULL FROM (SELECT issuer, unnest([{{{{'m': 'gross_margin', 'f': 'gross_profit', 'v': gross_margin_v}}}}, {{{{'m': 'net_debt_ebitda', 'f': 'net_debt', 'v': net_debt_ebitda_v}}}}, {{{{'m': 'net_debt_ebitda', 'f': 'ebitda', 'v': net_debt_ebitda_v}}}}], recursive := true) FROM {{last}}) WHERE v IS NOT NULL""",
+    ]
+)
+
+
+@query(_snapshot_sql(select=_LINES))
+def snapshot_lineage(spark, d):
+    """What three measures are made of: the quarters of their windows, balances at borders and at the date, and the measures that feed them."""
+    return S.lineage(S.evaluated(_inputs(spark, d, (AS_OF,)), _TRACED), _TRACED).drop("at")
+
+
 _RANKED = ("gross_margin", "roe", "pe", "net_debt_ebitda")
 
 
