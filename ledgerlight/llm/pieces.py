@@ -86,14 +86,22 @@ class Pieces:
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        ids = range(sp.get_piece_size())
-        kinds = ["b" if sp.is_byte(i) else "x" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "n" for i in ids]
-        scores = [sp.get_score(i) for i in ids]
-        own = [s for s, k in zip(scores, kinds, strict=True) if k == "n"]
-        return cls([sp.id_to_piece(i) for i in ids], scores, kinds, all(s == int(s) for s in own))  # BPE scores are ranks
+        """The pieces of a unigram or BPE model whose texts are taken as they are; other models would give other ids and are refused."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(model_file, "rb") as f:
+            model.ParseFromString(f.read())
+        kind, normal = model.trainer_spec.model_type, model.normalizer_spec
+        if kind not in (1, 2):
+            raise ValueError(f"model type {kind} is neither unigram (1) nor BPE (2)")
+        odd = [n for n, v, well in (("precompiled_charsmap", len(normal.precompiled_charsmap), 0), ("remove_extra_whitespaces", normal.remove_extra_whitespaces, False), ("add_dummy_prefix", normal.add_dummy_prefix, True), ("escape_whitespaces", normal.escape_whitespaces, True), ("treat_whitespace_as_suffix", model.trainer_spec.treat_whitespace_as_suffix, False)) if v != well]
+        if odd:
+            raise ValueError(f"the model changes texts before it encodes them: {', '.join(odd)}")
+        if any(p.type == 4 for p in model.pieces):
+            raise ValueError("pieces defined by the user are taken before all others")
+        kinds = ["n" if p.type == 1 else "b" if p.type == 6 else "x" for p in model.pieces]
+        return cls([p.piece for p in model.pieces], [p.score for p in model.pieces], kinds, kind == 2)
 
     def _splits(self, symbols: list[str]) -> None:
         """left and right: the two symbols whose merge makes each one (itself where none do); pair, merged: those merges, sorted."""

@@ -119,7 +119,10 @@ _loaded: dict = {}
 
 
 def _tokenizer(spec: str) -> tuple:
-    """(tokenizer, whether ASCII classes part, units met) of this worker process."""
+    """(tokenizer, whether ASCII classes part, units met or None) of this worker process.
+
+    Units are used if the tokenizer drops white space before all else, so that it never looks across it.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,7 +132,12 @@ def _tokenizer(spec: str) -> tuple:
         normal = [x["type"] for x in (steps.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (steps.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         parts = normal == PARTING[0] and split[:1] == [PARTING[1]] and steps["model"].get("end_of_word_suffix") is not None
-        _loaded[spec] = Tokenizer.from_str(spec), parts, Units()
+        steps_of = lambda x: x.get("normalizers") or x.get("pretokenizers") or [x]
+        first = steps_of(steps.get("pre_tokenizer") or {"type": ""})[0]
+        drops = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (first["type"] == "Split" and first.get("invert") and first["behavior"] == "Removed" and split[:1] == [PARTING[1]])
+        # marks of word starts and cut or padded texts depend on what stands before
+        local = {x["type"] for x in steps_of(steps.get("normalizer") or {"type": ""})} <= {"", "NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace", "StripAccents", "BertNormalizer"}
+        _loaded[spec] = Tokenizer.from_str(spec), parts, Units() if drops and local and not steps.get("truncation") and not steps.get("padding") else None
     return _loaded[spec]
 
 
@@ -157,10 +165,13 @@ def _parted(buf: np.ndarray, off: np.ndarray, w: X.Words) -> tuple[np.ndarray, X
 def encode_slice(batch: pa.RecordBatch, loaded: tuple, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids) of the rows (doc_id, text), each with end_id after it.
 
-    For tokenizers that never look across ASCII white space: each distinct run of other bytes is encoded once in a process,
-    many in one call, parted by spaces.
+    For tokenizers that never look across ASCII white space each distinct run of other bytes is encoded once in a process,
+    many in one call, parted by spaces; for others each text as a whole.
     """
     tokenizer, parts, met = loaded
+    if met is None:
+        got = [x.ids for x in tokenizer.encode_batch([x or "" for x in batch.column(1).to_pylist()], add_special_tokens=False)]
+        return np.array([len(x) + 1 for x in got], np.int64), np.array([i for x in got for i in (*x, end_id)], np.uint32)
     buf, off = X.text_arrays(batch.column(1))
     w = X.words(buf, off, hashes=False)
     if parts and len(w.start):
@@ -225,6 +236,41 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _picked(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0):
+            docs, (ends, ids, first) = _opened(raw.as_py())
+            low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), docs.n)
+            while (low < high).any():  # all that are wanted by one binary search, a boundary at a time
+                mid = np.minimum((low + high) // 2, max(docs.n - 1, 0))
+                less = (docs.select(mid) + first < wanted) & (low < high)
+                low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
+            at, own = low, wanted
+            while len(at):  # rows that share a doc_id stand one after another
+                here = at < docs.n
+                at, own = at[here], own[here]
+                same = docs.select(at) + first == own
+                at, own = at[same], own[same]
+                if len(at):
+                    begin = np.where(at > 0, ends.select(np.maximum(at - 1, 0)), 0)
+                    rows = [ids[a:b].tolist() for a, b in zip(begin.tolist(), ends.select(at).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                at = at + 1
+
+
+def _opened(raw: bytes) -> tuple[EliasFano, tuple[EliasFano, np.ndarray, int]]:
+    width, first = struct.unpack_from("<Bq", raw, 4)
+    docs, at = EliasFano.read(raw, 4 + struct.calcsize("<Bq"))
+    ends, at = EliasFano.read(raw, at)
+    return docs, (ends, np.frombuffer(raw, f"<u{width}", -1, at), first)
+
+
+def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents of the files, the end id included: found through select(), without unpacking the others."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+    return spark.read.schema(_BLOB).parquet(path).select("data").mapInArrow(partial(_picked, wanted=wanted), "doc_id long, ids array<long>")
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of the files."""
     files = spark.read.schema(_BLOB).parquet(path)

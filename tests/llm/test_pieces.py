@@ -90,3 +90,31 @@ def test_paths_of_bpe_against_merging():
 def test_vocabularies_that_merging_cannot_make_are_refused():
     with pytest.raises(ValueError, match="not a BPE vocabulary"):
         Pieces(["a", "b", "aab"], [-9.0, -9.0, -1.0], ["n"] * 3, bpe=True)
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    """The normaliser and the kind of model come from the model's file."""
+    import public_tokenizers
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    def changed(change):
+        model = pb.ModelProto()
+        with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+            model.ParseFromString(f.read())
+        change(model)
+        path = tmp_path / "changed.model"
+        path.write_bytes(model.SerializeToString())
+        return str(path)
+
+    def blanks(m):
+        m.normalizer_spec.remove_extra_whitespaces = True
+
+    def chars(m):
+        m.trainer_spec.model_type = 4
+
+    def charsmap(m):
+        m.normalizer_spec.precompiled_charsmap = b"x"
+
+    for change, why in ((blanks, "remove_extra_whitespaces"), (chars, "model type 4"), (charsmap, "precompiled_charsmap")):
+        with pytest.raises(ValueError, match=why):
+            Pieces.load(changed(change))

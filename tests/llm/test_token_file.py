@@ -88,3 +88,40 @@ def test_units_met_before_in_tiny_generations():
         want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
         assert sizes.tolist() == [len(x) for x in want], texts
         assert ids.tolist() == [i for x in want for i in x], texts
+
+
+def test_tokenizers_that_look_across_blanks_encode_whole_texts(spark):
+    """A byte-level BPE keeps the blank with the next word; its ids are the library's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerlight.llm.token_file import _tokenizer, ids_of, write_token_files
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    with open(file, encoding="utf-8") as f:
+        assert _tokenizer(f.read())[2] is None
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert _tokenizer(f.read())[2] is not None
+    texts = {3: "to be  or\nnot to be", 9: " leading and trailing ", 4: "", 12: "na\u00efve \u4e2d\u6587 " * 50, 40: None}
+    to = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/ids"
+    write_token_files(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), file, 50256, to)
+    own = Tokenizer.from_file(file)
+    want = {d: [*own.encode(t or "", add_special_tokens=False).ids, 50256] for d, t in texts.items()}
+    assert {r.doc_id: r.ids for r in ids_of(spark, to, [*texts, 5, 99]).collect()} == want
+
+
+def test_single_documents_of_large_files(spark):
+    import public_tokenizers
+
+    from ledgerlight.llm.token_file import ids_of, write_token_files
+
+    rng = np.random.default_rng(1)
+    docs = [(int(i) * 3 - 500, " ".join(f"w{x}" for x in rng.integers(0, 99, rng.integers(0, 40)))) for i in range(900)] + [(100, "same id"), (100, "again the same id")]
+    to = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/ids"
+    write_token_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), public_tokenizers.path("word_bpe_49k.json"), 2, to)
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ask = [-500, -499, 100, 1, 4, 2197, 10**9]
+    got = sorted((r.doc_id, r.ids) for r in ids_of(spark, to, ask).collect())
+    assert got == sorted((d, [*own.encode(t, add_special_tokens=False).ids, 2]) for d, t in docs if d in ask)
