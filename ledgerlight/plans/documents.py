@@ -128,11 +128,11 @@ def year_change(spark, d):
     return P.year_change(p, 14).select("id", "date", r6("close").alias("close"), r6("change").alias("change"))
 
 
-@query(f"""WITH {periods_sql('q')}, m AS (SELECT issuer AS snapshot_id, 'revenue' AS concept, revenue AS value, "end" FROM q WHERE "end" >= DATE '1997-01-01')
+@query(f"""WITH {periods_sql('q')}, m AS (SELECT issuer AS snapshot_id, 'revenue' AS concept, revenue AS value, "end" FROM q)
 SELECT snapshot_id, CAST(count(*) + 2 AS BIGINT) AS lines, CAST(count(*) FILTER (value > 100000) AS BIGINT) AS n_values FROM m GROUP BY ALL""")
 def export_csv(spark, d):
     """Lines and filled values of the exported files; revenues up to 100,000 are refused."""
-    q = periods(spark, d).where("end >= date'1997-01-01'")
+    q = periods(spark, d)
     big = F.col("revenue") > 100000
     none = F.lit(None).cast("string")
     m = q.select(F.col("issuer").alias("snapshot_id"), F.col("end").cast("string").alias("measure_id"), F.lit("issuer").alias("scope"), F.col("issuer").cast("string").alias("scope_ref"), F.lit("revenue").alias("concept"), F.when(big, F.col("revenue")).alias("value"), none.alias("unit"), F.col("start").alias("period_start"), F.col("end").alias("period_end"), F.lit("1").alias("method_version"), F.when(~big, "missing_data").alias("null_reason"))

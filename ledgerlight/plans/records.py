@@ -63,12 +63,17 @@ def fiscal_year_label(spark, d):
 _UNITS = ("million tons", "thousand barrels", "USD/shares", "USD", "tons", "billion", "tons million")
 
 
-@query("""SELECT u.unit, CASE WHEN split_part(unit, ' ', 1) IN ('thousand', 'million', 'billion') THEN regexp_replace(unit, '^[^ ]+ ?', '') ELSE unit END AS base,
-CASE split_part(unit, ' ', 1) WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 ELSE 1 END AS multiplier, nullif(regexp_extract(unit, '^([A-Z]{3})(/shares)?$', 1), '') AS currency
-FROM (VALUES """ + ", ".join(f"('{u}')" for u in _UNITS) + ") u(unit)")
+_UNIT = "[" + ", ".join(f"'{u}'" for u in _UNITS) + f"][o_orderkey % {len(_UNITS)} + 1]"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN split_part(unit, ' ', 1) IN ('thousand', 'million', 'billion') THEN regexp_replace(unit, '^[^ ]+ ?', '') ELSE unit END AS base,
+CASE split_part(unit, ' ', 1) WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 ELSE 1 END AS multiplier, nullif(regexp_extract(unit, '^([A-Z]{{3}})(/shares)?$', 1), '') AS currency
+FROM (SELECT o_orderkey, {_UNIT} AS unit FROM orders)""")
 def unit_scale_parse(spark, d):
-    u = spark.createDataFrame([(u,) for u in _UNITS], "unit string")
-    return u.select("unit", T.scaled_unit(F.col("unit")).alias("s"), T.currency_of(F.col("unit")).alias("currency")).select("unit", "s.base", "s.multiplier", "currency")
+    """The unit that each order is told in, with its scale and currency."""
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("o_orderkey") % len(_UNITS) + 1).cast("int"))
+    u = read(spark, d, "orders").select("o_orderkey", unit.alias("unit"))
+    return u.select("o_orderkey", T.scaled_unit(F.col("unit")).alias("s"), T.currency_of(F.col("unit")).alias("currency")).select("o_orderkey", "s.base", "s.multiplier", "currency")
 
 
 _ANSWER = """'Order ' || o_orderkey || ' came to ' || CASE WHEN o_orderkey % 3 = 0 THEN '1,250' ELSE '1250' END || ' or ' || replace(printf('%.2f', o_totalprice), '.', ',') ||
@@ -99,13 +104,13 @@ def html_to_text(spark, d):
 _CALLED = """url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || ['Token=', 'xref=', 'PASSWORD=', 'key=', 'monkey='][page_id % 5 + 1] || page_id || '&lang=en'"""
 
 
-@query(f"""WITH u AS (SELECT page_id, {_CALLED} AS u FROM pages WHERE NOT contains(url, '#')), p AS (SELECT page_id, split_part(u, '?', 1) AS head, string_split(substr(u, strpos(u, '?') + 1), '&') AS q FROM u)
+@query(f"""WITH u AS (SELECT page_id, {_CALLED} AS u FROM pages), p AS (SELECT page_id, split_part(u, '?', 1) AS head, string_split(substr(u, strpos(u, '?') + 1), '&') AS q FROM u)
 SELECT page_id, head || '?' || array_to_string(list_filter(q, lambda x: NOT list_contains(['key', 'token', 'apikey', 'api_key', 'access_token', 'password'], lower(split_part(x, '=', 1)))), '&') AS url FROM p""")
 def secret_scrub(spark, d):
     """Page addresses called with another parameter, some secret, some with a name that only ends like one."""
     name = F.element_at(F.array(*map(F.lit, ("Token=", "xref=", "PASSWORD=", "key=", "monkey="))), (F.col("page_id") % 5 + 1).cast("int"))
     called = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), name, F.col("page_id").cast("string"), F.lit("&lang=en"))
-    return read(spark, d, "pages").where(~F.contains("url", F.lit("#"))).select("page_id", T.scrub(called).alias("url"))
+    return read(spark, d, "pages").select("page_id", T.scrub(called).alias("url"))
 
 
 @query("SELECT CAST(floor(p_size / 5) * 5 AS BIGINT) AS age_from, count(*) AS n FROM part GROUP BY ALL")

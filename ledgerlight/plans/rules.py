@@ -146,14 +146,14 @@ def tanker_metrics(spark, d):
 
 @query(f"""{_T} {_ratio_sql("reserves_to_production_ratio", "revenue", "days", ("reserves", "production_volume"), "reserves", "production_volume")}
 UNION ALL {_ratio_sql("production_cost_ratio", "cogs", "idle", ("cash_cost_per_unit", "realized_price"), "", "")}
-UNION ALL SELECT issuer || '/' || start, 'reserve_replacement_pct', CASE WHEN revenue > opex * 1000 THEN round((revenue - opex * 1000) / revenue * 100, 6) END, CASE WHEN revenue < opex * 1000 THEN 'negative_denominator' END FROM t WHERE revenue <> opex * 1000""")
+UNION ALL SELECT issuer || '/' || start, 'reserve_replacement_pct', CASE WHEN revenue >= opex * 1000 THEN round((revenue - opex * 1000) / revenue * 100, 6) END, CASE WHEN revenue < opex * 1000 THEN 'negative_denominator' END FROM t""")
 def mining_metrics(spark, d):
     inputs = {
         "reserves": F.col("revenue"), "production_volume": F.when(F.col("issuer") % 3 != 0, F.col("returned")), "cash_cost_per_unit": F.col("cogs"), "realized_price": F.col("returned"),
         "reserves_added": F.expr("revenue - opex * 1000"), "reserves_mined": F.col("revenue"),
     }
     m = S.measures(_sector_rows(spark, d, inputs), "mining").where(F.col("concept").isin("reserves_to_production_ratio", "production_cost_ratio", "reserve_replacement_pct"))
-    return m.where("value is null or value <> 0 or concept <> 'reserve_replacement_pct'").select("id", "concept", r6("value").alias("value"), "reason")
+    return m.select("id", "concept", r6("value").alias("value"), "reason")
 
 
 _PEERS = f"""{SECTORS}, m AS (SELECT issuer AS member, DATE '2000-12-31' - CAST(issuer % 3 AS INTEGER) AS as_of, 1 AS version, c AS concept, CASE WHEN issuer % 6 <> 5 THEN CASE c WHEN 'revenue' THEN balance ELSE balance / 10000 END END AS value,
