@@ -5,12 +5,17 @@ Payloads are made from the tables, then read back by the source under test; the
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text as T
-from ledgerlight.operators import capital, versions
+from ledgerlight.operators import capital, locators, versions
 from ledgerlight.operators import prices as P
 from ledgerlight.sinks import exports, tables
+from ledgerlight.sources import documents as office
 from ledgerlight.sources import filings, market, statements
 
 from .model import ACTIONS, PRICES, actions, dec, periods, periods_sql, prices, query, r6, read
@@ -180,3 +185,48 @@ def prices_inserted(spark, d):
     """Rows to append, the first of each key; the third of January is stored already."""
     e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
     return tables.inserted(e.where("day = date'2024-01-03'"), e, ["user_id", "day"], "ts", "event_id").select("user_id", "day", "value")
+
+
+#: Orders of one archive.
+_BLOCK = 100
+
+
+def _zipped(batches):
+    """(sha256, content) of (block, lines): each block's statement in an archive."""
+    for b in batches:
+        out = []
+        for lines in b.column(1).to_pylist():
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("notes/readme.txt", "no statement")
+                z.writestr("statement.csv", "CD_CVM;DT_FIM_EXERC;VL_CONTA\n" + "\n".join(lines))
+            out.append(raw.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in b.column(0).to_pylist()]), pa.array(out, pa.binary())], names=["sha256", "content"])
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS issuer, strftime(o_orderdate, '%Y-%m-%d') AS period_end, CAST(o_totalprice AS DECIMAL(14,2))::VARCHAR AS raw_value, count(*) AS n FROM orders GROUP BY ALL")
+def source_zip_statements(spark, d):
+    """Lines of the statements in archives of a hundred orders each, read member by member."""
+    o = read(spark, d, "orders").withColumn("line", F.concat_ws(";", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("decimal(14,2)").cast("string")))
+    blocks = o.groupBy(F.expr(f"o_orderkey div {_BLOCK}").alias("block")).agg(F.collect_list("line").alias("lines"))
+    archives = blocks.mapInArrow(_zipped, "sha256 string, content binary").withColumn("kind", F.lit("zip"))
+    files = office.members(archives).where("member = 'statement.csv' and reason is null")
+    text = F.split(F.decode("content", "ISO-8859-1"), "\n")
+    rows = files.select(F.explode(F.slice(text, F.lit(2), F.size(text))).alias("line")).select(F.from_csv("line", "issuer string, period_end string, raw_value string", {"sep": ";"}).alias("r")).select("r.*")
+    return rows.groupBy("issuer", "period_end", "raw_value").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT o_orderkey AS fact_id, CASE WHEN o_orderkey // {_BLOCK} % 9 = 4 OR o_orderkey % 11 = 0 THEN 'unresolved' WHEN o_orderkey % 7 = 0 THEN 'revised' ELSE 'same' END AS status,
+CASE WHEN o_orderkey // {_BLOCK} % 9 <> 4 AND o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(14,2))::VARCHAR END AS actual,
+CASE WHEN o_orderkey // {_BLOCK} % 9 = 4 THEN 'object_missing' WHEN o_orderkey % 11 = 0 THEN 'nothing_there' END AS reason FROM orders""")
+def locator_resolution(spark, d):
+    """Facts held against their places in raw objects: the same, another value by now, an object that is gone, a place that is."""
+    price = F.col("o_totalprice").cast("decimal(14,2)").cast("string")
+    o = read(spark, d, "orders").select("o_orderkey", price.alias("price"), F.expr(f"o_orderkey div {_BLOCK}").alias("block"))
+    named = F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), F.create_map(F.lit("total/price"), "price"))))
+    objects = o.where("block % 9 <> 4").groupBy(F.col("block").cast("string").alias("sha256")).agg(F.to_json(F.struct(named.alias("orders"))).alias("content"))
+    key = F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("none"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string"))
+    none = lambda kind: F.lit(None).cast(kind)
+    place = F.struct(F.lit("api").alias("kind"), F.col("block").cast("string").alias("sha256"), F.concat(F.lit("/orders/"), key, F.lit("/total~1price")).alias("pointer"), none("string").alias("fact"), none("int").alias("table"), none("int").alias("row"), none("int").alias("col"), none("string").alias("snippet"))
+    facts = o.select(F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderkey") % 7 == 0, "0.01").otherwise(F.col("price")).alias("value"), place.alias("locator"))
+    return locators.resolved(facts, objects)
