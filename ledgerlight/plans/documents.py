@@ -1,6 +1,6 @@
 """Sources, exports, capital and versions over the driver's tables, each with its SQL.
 
-Payloads are made from the tables, then read back by the source under test; the SQL computes the same from the tables alone.
+Payloads hold a key's rows of one month at most; they are made from the tables, then read back by the source under test; the SQL computes the same from the tables alone.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ def source_report_facts(spark, d):
 
 @query("SELECT o_custkey AS document, o_orderkey, day::VARCHAR AS period_end, CASE WHEN day < max_day THEN 'restated' ELSE 'as_reported' END AS basis, o_totalprice AS value FROM (SELECT *, CAST(o_orderdate AS DATE) AS day, max(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS max_day FROM orders) WHERE o_orderstatus <> 'P'")
 def source_table_facts(spark, d):
-    """One table for each customer, a row for each order; the cells' periods come from the columns, pending orders have no value."""
+    """Tables of a customer's month, a row for each order; the cells' periods come from the columns, pending orders have no value."""
     day = F.to_date("o_orderdate").cast("string")
     cell = F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("concept"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"))
     table = F.struct(F.lit("USD").alias("unit"), F.array(F.struct(day.alias("period_end"))).alias("columns"), F.array(F.struct(F.array(cell).alias("cells"))).alias("rows"))
-    g = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(table).alias("tables"), F.max(day).alias("period_end"))
+    o = read(spark, d, "orders")
+    last = o.groupBy("o_custkey").agg(F.max(day).alias("period_end"))
+    g = o.groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.collect_list(table).alias("tables")).join(last, "o_custkey")
     rows = filings.table_facts(g.select(F.col("o_custkey").alias("source_ref"), F.lit(None).cast("string").alias("issuer_id"), F.to_json(F.struct("period_end", "tables")).alias("payload")))
     return filings.accepted(rows).select(F.col("source_ref").alias("document"), F.substring("concept", 2, 20).cast("bigint").alias("o_orderkey"), "period_end", "basis", "value")
 
@@ -50,12 +52,12 @@ def source_table_facts(spark, d):
 o AS (SELECT user_id, accn, max("end") AS own FROM e GROUP BY ALL), b AS (SELECT e.*, CASE WHEN own > "end" THEN 'restated' ELSE 'as_reported' END AS basis FROM e JOIN o USING (user_id, accn))
 SELECT user_id, event_type, "end", basis, count(*) AS n, CASE basis WHEN 'restated' THEN arg_max(value, filed) ELSE arg_min(value, filed) END AS value FROM b GROUP BY user_id, event_type, "end", basis""")
 def source_company_history(spark, d):
-    """One history for each user: tags are kinds of events, filings are four classes of ids, filed in the order of the ids as texts."""
+    """The history of each user in payloads of a month: tags are kinds of events, filings are four classes of ids, filed in the order of the ids as texts."""
     e = read(spark, d, "events").where("user_id is not null")
     entry = F.struct(F.to_date("ts").cast("string").alias("end"), F.col("value").alias("val"), F.concat(F.lit("A"), (F.col("event_id") % 4).cast("string")).alias("accn"), F.col("event_id").cast("string").alias("filed"))
-    t = e.groupBy("user_id", "event_type").agg(F.collect_list(entry).alias("x"))
+    t = e.groupBy("user_id", F.trunc("ts", "month").alias("month"), "event_type").agg(F.collect_list(entry).alias("x"))
     tag = F.struct(F.col("event_type").alias("key"), F.struct(F.create_map(F.lit("USD"), F.col("x")).alias("units")).alias("value"))
-    g = t.groupBy("user_id").agg(F.map_from_entries(F.collect_list(tag)).alias("tags"))
+    g = t.groupBy("user_id", "month").agg(F.map_from_entries(F.collect_list(tag)).alias("tags"))
     payload = F.to_json(F.struct(F.create_map(F.lit("us-gaap"), F.col("tags")).alias("facts")))
     rows = filings.accepted(filings.company_facts(g.select(F.col("user_id").alias("source_ref"), F.lit(None).cast("string").alias("issuer_id"), payload.alias("payload"))))
     live = F.max(F.when(F.col("superseded_by").isNull(), F.col("value")))
@@ -64,9 +66,9 @@ def source_company_history(spark, d):
 
 @query("SELECT user_id AS id, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def source_chart_prices(spark, d):
-    """One chart of parallel arrays for each user; errors have no close, and the last row of a day counts."""
+    """Charts of parallel arrays, one for each user and month; errors have no close, and the last row of a day counts."""
     e = read(spark, d, "events").select("user_id", F.struct("ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v")).alias("s"))
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    g = e.groupBy("user_id", F.trunc("s.ts", "month").alias("month")).agg(F.array_sort(F.collect_list("s")).alias("s"))
     stamp = F.transform("s", lambda s: F.datediff(s["ts"].cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400)
     result = F.struct(F.struct(F.lit("USD").alias("currency")).alias("meta"), stamp.alias("timestamp"), F.struct(F.array(F.struct(F.col("s.v").alias("close"))).alias("quote")).alias("indicators"))
     payload = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
@@ -78,7 +80,7 @@ def source_series_actions(spark, d):
     day = F.col("date").cast("string")
     split = F.when(F.col("kind") == "split", F.struct(day.alias("date"), F.lit(2).alias("from_factor"), F.lit(1).alias("to_factor")))
     paid = F.when(F.col("kind") == "dividend", F.struct(day.alias("ex_date"), "amount"))
-    g = actions(spark, d).groupBy("id").agg(F.collect_list(split).alias("splits"), F.collect_list(paid).alias("dividends"))
+    g = actions(spark, d).groupBy("id", F.trunc("date", "month").alias("month")).agg(F.collect_list(split).alias("splits"), F.collect_list(paid).alias("dividends"))
     return market.usable(market.series_actions(g.select("id", F.to_json(F.struct("splits", "dividends")).alias("payload")))).select("id", "date", "kind", "factor", "amount")
 
 
@@ -87,9 +89,9 @@ SELECT o_custkey AS id, form, filed, accn, max(filed) OVER (PARTITION BY o_custk
 def source_filing_index(spark, d):
     day = F.to_date("o_orderdate").cast("string")
     cols = {"form": F.col("o_orderstatus"), "filingDate": day, "accessionNumber": F.col("o_orderkey").cast("string")}
-    g = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(*[c.alias(n) for n, c in cols.items()])).alias("r"))
+    g = read(spark, d, "orders").groupBy("o_custkey", F.trunc("o_orderdate", "month").alias("month")).agg(F.collect_list(F.struct(*[c.alias(n) for n, c in cols.items()])).alias("r"))
     payload = F.to_json(F.struct(F.struct(F.struct(*[F.col(f"r.{n}").alias(n) for n in cols]).alias("recent")).alias("filings")))
-    ids = g.select(F.col("o_custkey").alias("id"), F.lit("1995-06-01").alias("cursor"))
+    ids = g.select(F.col("o_custkey").alias("id"), F.lit("1995-06-01").alias("cursor")).distinct()
     return market.filing_index(g.select(F.col("o_custkey").alias("id"), payload.alias("payload")), ids).select("id", "form", "filed", F.col("accn").cast("bigint").alias("accn"), "cursor")
 
 
