@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, listings, measures, records, rules, series, snapshots, streams  # noqa: F401  they register themselves
+from . import documents, listings, measures, outputs, records, rules, series, snapshots, streams  # noqa: F401  they register themselves
 from .model import REGISTRY
 
 
