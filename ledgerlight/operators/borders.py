@@ -98,3 +98,14 @@ def newest(targets: DataFrame, stocks: DataFrame) -> DataFrame:
     row = F.struct("concept", F.struct(F.col("value").cast("double").alias("value"), "unit", F.col("as_of").alias("end"), "filed").alias("x"))
     now = F.map_from_entries(F.collect_list(F.when(fresh, row)))
     return found.groupBy("issuer", "at").agg(now.alias("now"), F.map_from_entries(F.collect_list(F.when(~fresh, F.struct("concept", "as_of")))).alias("stale"))
+
+
+def statement_now(windows: DataFrame, balances: DataFrame) -> DataFrame:
+    """(issuer, at, concept, value, start, end, kind): what a statement shows at a date: true trailing years of flows (ttm) and the newest
+    balances (instant). A year that stands in for a trailing one is left out.
+
+    windows is trailing_years(), balances newest().
+    """
+    flows = windows.where("w.basis = 'ttm'").select("issuer", "at", "concept", F.col("w.value").alias("value"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lit("ttm").alias("kind"))
+    now = balances.select("issuer", "at", F.explode("now").alias("concept", "x"))
+    return flows.unionByName(now.select("issuer", "at", "concept", F.col("x.value").alias("value"), F.col("x.end").alias("start"), F.col("x.end").alias("end"), F.lit("instant").alias("kind")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import picks
+
 #: Thresholds of the rules, and days after which a colour is grey.
 DIRECTORS, RELATED, INSIDER, STALE_DAYS = (0.50, 0.33), (0.03, 0.005), (0.001, -0.005), 450
 INDICATORS = ("independent_directors", "ceo_chair", "related_party", "insider_net", "auditor")
@@ -45,6 +47,29 @@ def insider_net(ratio: Column, planned: Column, net: Column) -> Column:
     return _grey(ratio.isNull(), "insider_deals_not_disclosed", _color(color, F.concat(reason, told)))
 
 
+def insider_inputs(deals: DataFrame, price_rows: DataFrame, caps: DataFrame, targets: DataFrame, days: int = 365) -> DataFrame:
+    """(issuer, at, deals, net_value, net_ratio, planned_net, reason): insiders' net deals in money over the market value.
+
+    deals (issuer, id, date, direction, shares, planned), price_rows (id, date, close, currency), caps (issuer, at, value, unit),
+    targets (issuer, at). A deal is worth its shares at the newest close up to its own date. Refused by name: no deals in the *days* before,
+    no market value, a deal without a price (a part is no net), prices in another currency than the market value.
+    """
+    priced = picks.as_of(deals, price_rows, "id", "date", "date", ["close", "currency"])
+    money = F.coalesce("shares", F.lit(0.0)) * F.col("close")
+    sign = F.when(F.col("direction") == "acquired", 1).when(F.col("direction") == "disposed", -1).otherwise(0)
+    # a planned deal that isn't acquired counts as sold, whatever it is called
+    own = priced.select("issuer", "date", (money * sign).alias("net"), F.when(F.col("planned"), F.when(sign == 1, money).otherwise(-money)).alias("plan"), F.col("close").isNull().alias("open"), F.nullif("currency", F.lit("")).alias("currency"))
+    d = targets.join(own, "issuer").where((F.col("date") <= F.col("at")) & (F.col("date") >= F.date_sub("at", days)))
+    g = d.groupBy("issuer", "at").agg(F.count("*").alias("deals"), F.sum("net").alias("net"), F.coalesce(F.sum("plan"), F.lit(0.0)).alias("plan"), F.count_if("open").alias("open"), F.collect_set("currency").alias("money"))
+    x = targets.join(g, ["issuer", "at"], "left").join(caps.select("issuer", "at", F.col("value").alias("cap"), "unit"), ["issuer", "at"], "left")
+    odd = F.exists(F.coalesce("money", F.array().cast("array<string>")), lambda c: c != F.col("unit"))
+    why = (
+        F.when(F.col("deals").isNull(), "insider_deals_not_disclosed").when(F.coalesce("cap", F.lit(0.0)) == 0, "ownership_without_market_cap").when(F.col("open") > 0, "ownership_without_deal_price").when(odd, "insider_deal_currency_mismatch")
+    )
+    put = lambda v: F.when(why.isNull(), v)
+    return x.select("issuer", "at", F.coalesce("deals", F.lit(0)).alias("deals"), put(F.col("net")).alias("net_value"), put(F.col("net") / F.col("cap")).alias("net_ratio"), put(F.col("plan")).alias("planned_net"), why.alias("reason"))
+
+
 def auditor(changes: Column, qualified: Column, tenure: Column) -> Column:
     color = F.when(qualified | (changes >= 2), "red").when(changes == 1, "yellow").when(tenure >= 5, "green").otherwise("gray")
     reason = (

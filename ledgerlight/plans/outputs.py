@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import borders, governance
 from ledgerlight.operators import sectors as sector_rules
 from ledgerlight.operators import versions
 from ledgerlight.sinks import exports, tables
 from ledgerlight.sources import statements
 
-from .model import dec, periods, periods_sql, query, r6, read
+from . import snapshots
+from .measures import _TTM
+from .model import AS_OF, PRICES, SECTORS, dec, long_sql, periods, periods_sql, prices, query, r6, read
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -111,3 +114,41 @@ def peer_set_status(spark, d):
     """What a peer set is good for, by its size and the share of members that changed."""
     n = read(spark, d, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderkey").alias("n"), (F.count_if(F.col("o_orderstatus") == "P") / F.count("*")).alias("churn"))
     return n.select("o_custkey", "n", sector_rules.peer_status(F.col("n"), F.col("churn")).alias("status"))
+
+
+_AT = "2024-01-30"
+
+
+@query(f"""WITH {PRICES}, d AS (SELECT user_id AS id, CAST(ts AS DATE) AS date, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS sign, event_id % 5 = 0 AS planned FROM events WHERE event_type IN ('purchase', 'error')),
+p AS (SELECT d.*, CASE WHEN d.id % 13 <> 0 OR x.date < DATE '2024-01-15' THEN x.close END AS close FROM d ASOF JOIN prices x ON d.id = x.id AND d.date >= x.date WHERE d.date <= DATE '{_AT}' AND d.date >= DATE '{_AT}' - 365),
+g AS (SELECT id, count(*) AS n, sum(sign * close * 10) AS net, coalesce(sum(sign * close * 10) FILTER (planned), 0) AS plan, count(*) FILTER (close IS NULL) AS open FROM p GROUP BY id),
+r AS (SELECT u.id, coalesce(n, 0) AS deals, net, plan, CASE WHEN n IS NULL THEN 'insider_deals_not_disclosed' WHEN u.id % 7 = 0 THEN 'ownership_without_market_cap' WHEN open > 0 THEN 'ownership_without_deal_price' WHEN u.id % 11 = 0 THEN 'insider_deal_currency_mismatch' END AS reason
+FROM (SELECT DISTINCT user_id AS id FROM events WHERE user_id IS NOT NULL) u LEFT JOIN g USING (id))
+SELECT id AS issuer, deals, CASE WHEN reason IS NULL THEN round(net, 4) END AS net_value, CASE WHEN reason IS NULL THEN round(net / 1000000, 6) END AS net_ratio, CASE WHEN reason IS NULL THEN round(plan, 4) END AS planned_net, reason FROM r""")
+def insider_net(spark, d):
+    """Net deals of the year before over the market value, the planned ones apart; what can't be priced or compared is refused."""
+    e = read(spark, d, "events").where("user_id is not null")
+    at = F.lit(_AT).cast("date")
+    deals = e.where("event_type in ('purchase', 'error')").select(F.col("user_id").alias("issuer"), F.col("user_id").alias("id"), F.to_date("ts").alias("date"), F.when(F.col("event_type") == "purchase", "acquired").otherwise("disposed").alias("direction"), F.lit(10.0).alias("shares"), (F.col("event_id") % 5 == 0).alias("planned"))
+    gone = (F.col("id") % 13 == 0) & (F.col("date") >= "2024-01-15")
+    closes = prices(spark, d).select("id", "date", F.when(~gone, F.col("close")).alias("close"), F.lit("USD").alias("currency"))
+    targets = e.select(F.col("user_id").alias("issuer")).distinct().withColumn("at", at)
+    caps = targets.select("issuer", "at", F.when(F.col("issuer") % 7 != 0, 1000000.0).alias("value"), F.when(F.col("issuer") % 11 == 0, "EUR").otherwise("USD").alias("unit"))
+    out = governance.insider_inputs(deals, closes, caps, targets)
+    return out.select("issuer", "deals", F.round("net_value", 4).alias("net_value"), r6("net_ratio").alias("net_ratio"), F.round("planned_net", 4).alias("planned_net"), "reason")
+
+
+_NOW = " UNION ALL ".join(f"""SELECT issuer, '{c}' AS concept, DATE '{e}' AS "end", CAST({v} AS DOUBLE) AS value FROM sectors WHERE {w}""" for c, e, v, w, _, b, _ in snapshots._STOCKS if b == "as_reported")
+
+
+@query(f"""WITH {periods_sql("q")}, {SECTORS}, {long_sql("f", "q", "revenue", "cogs", "returned")}, {_TTM}, stock AS ({_NOW}), top AS (SELECT issuer, max("end") AS top FROM (SELECT issuer, "end" FROM f WHERE value IS NOT NULL AND "end" <= DATE '{AS_OF}' UNION ALL SELECT issuer, "end" FROM stock) GROUP BY issuer)
+SELECT issuer, concept, round(value, 4) AS value, start, "end", 'ttm' AS kind FROM ttm WHERE basis = 'ttm'
+UNION ALL SELECT issuer, concept, round(arg_max(value, "end"), 4), max("end"), max("end"), 'instant' FROM stock JOIN top USING (issuer) WHERE "end" <= DATE '{AS_OF}' AND "end" >= top - 1100 GROUP BY issuer, concept""")
+def statement_now(spark, d):
+    """The statement of each issuer at a date: trailing years of its flows and newest balances."""
+    f = snapshots.long(periods(spark, d), "revenue", "cogs", "returned").withColumn("unit", F.lit("USD"))
+    s = snapshots.stocks(spark, d).where("basis = 'as_reported'")
+    t = snapshots.sectors(spark, d).select("issuer", F.lit(AS_OF).cast("date").alias("at"), F.lit("USD").alias("home"))
+    t = t.join(borders.anchors(t, f.select("issuer", "end").union(s.select("issuer", "end"))), ["issuer", "at"])
+    out = borders.statement_now(borders.trailing_years(f, t), borders.newest(t, s))
+    return out.select("issuer", "concept", F.round("value", 4).alias("value"), "start", "end", "kind")

@@ -10,7 +10,7 @@ from ledgerlight.operators import snapshot as S
 from ledgerlight.operators import valuation as V
 
 from .measures import _TTM
-from .model import AS_OF, SECTORS, long_sql, periods, periods_sql, query, r6, sectors
+from .model import AS_OF, SECTORS, long, long_sql, periods, periods_sql, query, r6, sectors
 from .series import _DAILY, _daily
 
 _FLOWS = ("revenue", "cogs", "opex", "tax_expense", "net_income", "pretax_income", "ocf", "capex", "interest_expense", "d_and_a")
