@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import borders, governance
+from ledgerlight.operators import borders, governance, reports
 from ledgerlight.operators import sectors as sector_rules
 from ledgerlight.operators import versions
 from ledgerlight.sinks import exports, tables
 from ledgerlight.sources import statements
 
 from . import snapshots
-from .measures import _TTM
+from .measures import _BASE, _TTM, base
 from .model import AS_OF, PRICES, SECTORS, dec, long_sql, periods, periods_sql, prices, query, r6, read
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
@@ -152,3 +152,48 @@ def statement_now(spark, d):
     t = t.join(borders.anchors(t, f.select("issuer", "end").union(s.select("issuer", "end"))), ["issuer", "at"])
     out = borders.statement_now(borders.trailing_years(f, t), borders.newest(t, s))
     return out.select("issuer", "concept", F.round("value", 4).alias("value"), "start", "end", "kind")
+
+
+@query(f"""WITH s AS ({snapshots._snapshot_sql()}), t AS (SELECT issuer, CASE WHEN value IS NULL THEN split_part(null_reason, ':', 1) END AS token, count(*) AS n, count(value) AS valued FROM s GROUP BY ALL),
+d AS (SELECT issuer, token, n FROM t WHERE token IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issuer ORDER BY n DESC, token) = 1)
+SELECT g.issuer, g.valued, g.total, token AS dominant_reason, coalesce(d.n, 0) AS reason_count FROM (SELECT issuer, CAST(sum(valued) AS BIGINT) AS valued, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY issuer) g LEFT JOIN d USING (issuer) WHERE g.valued * 4 < g.total""")
+def poor_sources(spark, d):
+    """Issuers whose snapshot is mostly refusals, with the commonest of their reasons."""
+    return reports.poor_sources(snapshots._all(spark, d), ["issuer"])
+
+
+@query(f"""WITH {_BASE}, c AS (SELECT issuer, yr, u.* FROM b, LATERAL (VALUES ('cash', cash, false), ('equity', CASE WHEN equity > 0 THEN equity END, equity <= 0), ('interest', interest, false)) u(concept, value, odd))
+SELECT issuer, count(value) FILTER (NOT odd) AS filled, count(*) FILTER (NOT odd) AS applicable, coalesce(string_agg(concept || ' ' || yr, ', ' ORDER BY concept, yr) FILTER (NOT odd AND value IS NULL), '') AS gaps FROM c GROUP BY issuer""")
+def fill_gaps(spark, d):
+    """Filled and applicable cells of each issuer's card, and the gaps by name; equity that is not positive makes no sense there."""
+    b = base(spark, d)
+    cell = lambda c, v, odd: F.struct(F.lit(c).alias("concept"), v.alias("value"), odd.alias("senseless"))
+    equity, no = F.col("equity"), F.lit(False)
+    cells = b.select("issuer", F.col("yr").alias("year"), F.explode(F.array(cell("cash", F.col("cash"), no), cell("equity", F.when(equity > 0, equity), equity <= 0), cell("interest", F.col("interest"), no))).alias("c")).select("issuer", "year", "c.*")
+    out = reports.fill(cells, ["issuer"])
+    return out.withColumn("gaps", F.array_join(F.transform("gaps", lambda g: F.concat_ws(" ", g["concept"], g["year"].cast("string"))), ", "))
+
+
+@query("""WITH e AS (SELECT * FROM events), o AS (SELECT * FROM orders), m AS (SELECT DISTINCT o_custkey AS s, year(o_orderdate) AS v, o_orderpriority AS p FROM orders),
+t AS (SELECT s FROM (SELECT s, max(v) AS v FROM m GROUP BY s) ORDER BY v DESC, s DESC LIMIT 1), k AS (SELECT v, row_number() OVER (ORDER BY v DESC) AS r FROM (SELECT DISTINCT v FROM m JOIN t USING (s))),
+x AS (SELECT p, max(CAST(r = 1 AS INTEGER)) AS a, max(CAST(r = 2 AS INTEGER)) AS z FROM m JOIN t USING (s) JOIN k USING (v) WHERE r <= 2 GROUP BY p)
+SELECT metric, round(value, 6) AS value FROM (
+SELECT 'provider_success_rate' AS metric, count(*) FILTER (event_type <> 'error') / count(*) AS value FROM e UNION ALL SELECT 'provider_rate_limited', count(*) FILTER (event_type = 'signup') FROM e
+UNION ALL SELECT 'data_lag', epoch(TIMESTAMP '2030-01-01') - epoch(date_trunc('second', max(ts))) FROM e UNION ALL SELECT 'unparsed_share', count(*) FILTER (value <= 1) / count(*) FROM e
+UNION ALL SELECT 'suspect_share', count(*) FILTER (o_orderstatus = 'P') / count(*) FROM o UNION ALL SELECT 'verification_queue', nullif(count(*) FILTER (o_orderstatus = 'O'), 0) FROM o
+UNION ALL SELECT 'peer_set_coverage', (SELECT count(DISTINCT o_custkey) FROM o) / count(*) FROM customer UNION ALL SELECT 'peer_set_churn', CASE WHEN sum(z) > 0 THEN count(*) FILTER (a <> z) / greatest(sum(a), sum(z)) END FROM x
+UNION ALL SELECT 'locator_resolve_failures', count(*) FILTER (o_orderkey % 11 = 0) / count(*) FROM o) WHERE value IS NOT NULL""")
+def system_metrics_observed(spark, d):
+    """The nine metrics of the system, over calls, raw objects, facts, verifications, peer sets and locators."""
+    e, o, c = read(spark, d, "events"), read(spark, d, "orders"), read(spark, d, "customer")
+    count = lambda cond: F.count_if(cond)
+    kind, k = F.col("event_type"), F.col("o_orderkey")
+    calls = e.groupBy("user_id").agg(count(kind != "error").alias("made"), count(kind == "error").alias("refused"), count(kind == "signup").alias("rate_limited"))
+    raw = e.select(F.col("ts").cast("timestamp").alias("fetched_at"), (F.col("value") > 1).alias("parsed"))
+    facts = o.select(F.when(F.col("o_orderstatus") == "P", "suspect").otherwise("ok").alias("status"))
+    known = o.select(F.col("o_custkey").alias("id")).distinct().withColumn("has", F.lit(True))
+    peers = c.select(F.col("c_custkey").alias("id")).join(known, "id", "left").select("id", F.col("has").isNotNull().alias("has_peers"))
+    members = o.select(F.col("o_custkey").alias("set_id"), F.year("o_orderdate").alias("version"), F.col("o_orderpriority").alias("member")).distinct()
+    places = o.select(F.when(k % 11 == 0, "unresolved").otherwise("same").alias("status"))
+    out = reports.system_metrics(calls, raw, facts, o.select((F.col("o_orderstatus") == "O").alias("open")), peers, members, places, F.lit("2030-01-01").cast("timestamp"))
+    return out.select("metric", r6("value").alias("value"))
