@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators import borders, governance, reports
 from ledgerlight.operators import sectors as sector_rules
-from ledgerlight.operators import versions
+from ledgerlight.operators import versions, views
 from ledgerlight.sinks import exports, tables
 from ledgerlight.sources import statements
 
 from . import snapshots
 from .measures import _BASE, _TTM, base
-from .model import AS_OF, PRICES, SECTORS, dec, long_sql, periods, periods_sql, prices, query, r6, read
+from .model import AS_OF, PRICES, SECTORS, dec, long, long_sql, periods, periods_sql, prices, query, r6, read, sectors
 
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -146,9 +146,9 @@ SELECT issuer, concept, round(value, 4) AS value, start, "end", 'ttm' AS kind FR
 UNION ALL SELECT issuer, concept, round(arg_max(value, "end"), 4), max("end"), max("end"), 'instant' FROM stock JOIN top USING (issuer) WHERE "end" <= DATE '{AS_OF}' AND "end" >= top - 1100 GROUP BY issuer, concept""")
 def statement_now(spark, d):
     """The statement of each issuer at a date: trailing years of its flows and newest balances."""
-    f = snapshots.long(periods(spark, d), "revenue", "cogs", "returned").withColumn("unit", F.lit("USD"))
+    f = long(periods(spark, d), "revenue", "cogs", "returned").withColumn("unit", F.lit("USD"))
     s = snapshots.stocks(spark, d).where("basis = 'as_reported'")
-    t = snapshots.sectors(spark, d).select("issuer", F.lit(AS_OF).cast("date").alias("at"), F.lit("USD").alias("home"))
+    t = sectors(spark, d).select("issuer", F.lit(AS_OF).cast("date").alias("at"), F.lit("USD").alias("home"))
     t = t.join(borders.anchors(t, f.select("issuer", "end").union(s.select("issuer", "end"))), ["issuer", "at"])
     out = borders.statement_now(borders.trailing_years(f, t), borders.newest(t, s))
     return out.select("issuer", "concept", F.round("value", 4).alias("value"), "start", "end", "kind")
@@ -197,3 +197,38 @@ def system_metrics_observed(spark, d):
     places = o.select(F.when(k % 11 == 0, "unresolved").otherwise("same").alias("status"))
     out = reports.system_metrics(calls, raw, facts, o.select((F.col("o_orderstatus") == "O").alias("open")), peers, members, places, F.lit("2030-01-01").cast("timestamp"))
     return out.select("metric", r6("value").alias("value"))
+
+
+_YEARLY = f"""{periods_sql('y', 'year')}, h AS (SELECT issuer AS id, 'revenue' AS concept, year(start) AS year, revenue AS value FROM y UNION ALL SELECT issuer, 'opex', year(start), opex FROM y WHERE issuer % 3 <> 0 OR year(start) % 2 = 0)"""
+
+
+def _yearly(spark, d):
+    y = long(periods(spark, d, "year"), "revenue", "opex").select(F.col("issuer").alias("id"), "concept", F.year("start").alias("year"), "value")
+    return y.where("concept = 'revenue' or id % 3 <> 0 or year % 2 = 0")
+
+
+@query(f"""WITH {_YEARLY}, l AS (SELECT id, year FROM h WHERE concept = 'revenue' QUALIFY row_number() OVER (PARTITION BY id ORDER BY year DESC) <= 5)
+SELECT l.id, place, c.concept, string_agg(l.year || '=' || coalesce(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '-'), ' ' ORDER BY l.year) AS cells FROM l, (VALUES (0, 'opex'), (1, 'revenue')) c(place, concept) LEFT JOIN h ON h.id = l.id AND h.concept = c.concept AND h.year = l.year GROUP BY ALL""")
+def card_view(spark, d):
+    """Each issuer's card: two rows over its last five closed years, a dash where a year has no value."""
+    rows = views.card(_yearly(spark, d), ["opex", "revenue"], "revenue")
+    cell = F.transform("cells", lambda c: F.concat(c["year"].cast("string"), F.lit("="), F.coalesce(c["value"].cast("decimal(18,2)").cast("string"), F.lit("-"))))
+    return rows.select("id", "place", "concept", F.array_join(cell, " ").alias("cells"))
+
+
+@query(f"""WITH {_YEARLY}, p AS (SELECT *, lag(value) OVER (PARTITION BY id, concept ORDER BY year) AS v0, row_number() OVER (PARTITION BY id, concept ORDER BY year DESC) AS r FROM h)
+SELECT id, concept, string_agg(CAST(year AS VARCHAR), ' ' ORDER BY year) AS x, count(*) AS n, round(max((value - v0) / abs(v0)) FILTER (r = 1), 6) AS change FROM p GROUP BY id, concept""")
+def chart_series(spark, d):
+    """The points of each issuer's lines and their last change."""
+    s = views.series(_yearly(spark, d), ["revenue", "opex"])
+    return s.select("id", "concept", F.array_join(F.transform("x", lambda v: v.cast("string")), " ").alias("x"), F.size("y").cast("bigint").alias("n"), r6("change").alias("change"))
+
+
+@query(f"""WITH {_YEARLY}, {SECTORS}, m AS (SELECT sector, round(value, 2) AS value FROM h JOIN sectors ON issuer = id WHERE concept = 'revenue'), q AS (SELECT sector, quantile_cont(value, [0.25, 0.5, 0.75]) AS q, count(*) AS n FROM m GROUP BY sector)
+SELECT sector, CASE WHEN n >= 8 THEN round(min(value) FILTER (value >= q[1] - 1.5 * (q[3] - q[1])), 4) END AS low, CASE WHEN n >= 8 THEN round(any_value(q[1]), 4) END AS p25, CASE WHEN n >= 8 THEN round(any_value(q[2]), 4) END AS median, CASE WHEN n >= 8 THEN round(any_value(q[3]), 4) END AS p75,
+CASE WHEN n >= 8 THEN round(max(value) FILTER (value <= q[3] + 1.5 * (q[3] - q[1])), 4) END AS high, CASE WHEN n >= 8 THEN n ELSE 0 END AS n FROM m JOIN q USING (sector) GROUP BY sector, n""")
+def chart_boxes(spark, d):
+    """Boxes of the yearly revenues of each sector."""
+    m = _yearly(spark, d).where("concept = 'revenue'").join(sectors(spark, d).select(F.col("issuer").alias("id"), "sector"), "id").select("sector", F.round("value", 2).alias("value"))
+    b = views.boxes(m, "sector")
+    return b.select("sector", *[F.round(c, 4).alias(c) for c in ("low", "p25", "median", "p75", "high")], F.col("n").cast("bigint").alias("n"))
