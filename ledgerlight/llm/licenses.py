@@ -159,32 +159,58 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Matches and hits that are worked on together: work on n of them grows as n times CHUNK and as n * n / CHUNK cheap steps.
+CHUNK = 256
+
+
+def _chunks(x: Column) -> Column:
+    """An array in pieces of CHUNK."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / CHUNK)).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, CHUNK))
+
+
 def _places(text: Column, rule: Column) -> Column:
     """start and end of all matches of a rule, from the pieces between them."""
-    pieces, found = F.split(text, rule["regex"], -1), F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def piece(acc: Column, x: Column) -> Column:
+        own = F.aggregate(x, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))
+
+    def all_places(found: Column) -> Column:
+        pieces = F.split(text, rule["regex"], -1)
+        pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+        whole = _let(pairs, lambda x: F.aggregate(_chunks(x), zero, piece, lambda acc: F.flatten(acc["out"])))
+        return F.when(F.size(found) > 0, whole).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, rule["regex"], F.lit(0)), all_places)
 
 
 def _detections(text: Column) -> Column:
     table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(lab).alias("label"), F.lit(key).alias("key"), F.lit(rx).alias("regex"), F.lit(c).alias("sure")) for p, lab, key, rx, c in rules()])
     fit = F.filter(table, lambda r: F.contains(text, r["key"]))
-    hits = F.flatten(F.transform(fit, lambda r: F.transform(_places(text, r), lambda h: F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["sure"].alias("sure"), h["start"].alias("start"), h["end"].alias("end")))))
+    # by start, so that what contains a hit stands before it or begins with it
+    hits = F.flatten(F.transform(fit, lambda r: F.transform(_places(text, r), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["sure"].alias("sure")))))
 
     def kept(all_hits: Column) -> Column:
-        def worse(d: Column) -> Column:
-            return ~F.exists(all_hits, lambda o: (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & ((o["end"] - o["start"] > d["end"] - d["start"]) | (o["priority"] < d["priority"])) & (o["priority"] <= d["priority"]))
+        def own(chunk: Column) -> Column:
+            """Hits of a chunk that none of those suppresses that reach into it."""
+            first, last = F.get(chunk, F.lit(0))["start"], F.element_at(chunk, -1)["start"]
+            near = F.filter(all_hits, lambda o: (o["end"] > first) & (o["start"] <= last))
+
+            def free(d: Column, others: Column) -> Column:
+                return ~F.exists(others, lambda o: (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & ((o["end"] - o["start"] > d["end"] - d["start"]) | (o["priority"] < d["priority"])) & (o["priority"] <= d["priority"]))
+
+            return _let(near, lambda others: F.filter(chunk, lambda d: free(d, others)))
 
-        return F.filter(all_hits, worse)
+        return F.when(F.size(all_hits) > 0, F.flatten(F.transform(_chunks(all_hits), own))).otherwise(all_hits)
 
-    return _let(hits, kept)
+    return _let(F.array_sort(hits), kept)
 
 
 def license_scan(documents: DataFrame) -> DataFrame:
@@ -212,7 +238,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
         text = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
         return F.struct(base(w).alias("base"), _let(text, _detections).alias("found"))
 
-    shape = "struct<base:array<struct<at:bigint,label:string>>,found:array<struct<priority:int,label:string,sure:double,start:int,end:int>>>"
+    shape = "struct<base:array<struct<at:bigint,label:string>>,found:array<struct<start:int,end:int,priority:int,label:string,sure:double>>>"
     none = F.struct(F.array().alias("base"), F.array().alias("found")).cast(shape)
     scanned = F.when(raw.rlike(GATE), _let(words, scan).cast(shape)).otherwise(none)
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(raw, F.lit(WORD)).cast("long").alias("n_words"), scanned.alias("s"))

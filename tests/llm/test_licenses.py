@@ -101,3 +101,19 @@ def test_spdx_and_license_texts(spark):
     }
     got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {list(texts)[r.doc_id]: r.labels for r in got} == texts
+
+
+def test_very_many_hits(spark):
+    """Work grows nearly as the hits: sixteen times the marks take less than thirty-two times as long."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, "cc0 mit license " * n)], "doc_id long, text string")
+        began = time.time()
+        (r,) = license_scan(df).collect()
+        assert (r.n_words, r.n_base, r.base_labels, r.labels) == (3 * n, n, "mit", "cc0-1.0,mit")
+        return time.time() - began
+
+    fixed = min(seconds(1) for _ in range(2))
+    small, large = max(seconds(2_000) - fixed, 0.2), seconds(32_000) - fixed
+    assert large < 32 * small
