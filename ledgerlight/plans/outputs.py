@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import borders, governance, reports
+from ledgerlight.operators import borders, doctor, governance, reports
 from ledgerlight.operators import sectors as sector_rules
 from ledgerlight.operators import versions, views
 from ledgerlight.sinks import exports, tables
@@ -232,3 +232,20 @@ def chart_boxes(spark, d):
     m = _yearly(spark, d).where("concept = 'revenue'").join(sectors(spark, d).select(F.col("issuer").alias("id"), "sector"), "id").select("sector", F.round("value", 2).alias("value"))
     b = views.boxes(m, "sector")
     return b.select("sector", *[F.round(c, 4).alias(c) for c in ("low", "p25", "median", "p75", "high")], F.col("n").cast("bigint").alias("n"))
+
+
+@query("""SELECT 'facts_without_raw_object' AS "check", count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 23 <> 0)
+UNION ALL SELECT 'values_without_lineage', count(*) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT 'states_without_issuer', count(*) FROM orders WHERE o_custkey % 29 = 0 UNION ALL SELECT 'facts_without_concept', count(*) FROM lineitem WHERE l_returnflag = 'A'
+UNION ALL SELECT 'manual_objects_without_document', count(*) FROM orders WHERE o_orderkey % 23 <> 0 AND o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0
+UNION ALL SELECT 'manual_facts_without_document', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+UNION ALL SELECT 'documents_without_raw_object', count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 23 = 0""")
+def doctor_checks(spark, d):
+    """Rows that point at nothing: facts, measures, states, objects and documents of orders and their lines."""
+    li, o, c = read(spark, d, "lineitem"), read(spark, d, "orders"), read(spark, d, "customer")
+    k = F.col("o_orderkey")
+    facts = li.select(F.col("l_orderkey").alias("source_ref"), F.when(F.col("l_returnflag") == "R", "manual").alias("source_kind"), F.when(F.col("l_returnflag") != "A", "revenue").alias("canonical"))
+    raw = o.where("o_orderkey % 23 <> 0").select(k.alias("sha256"), F.when(F.col("o_orderpriority") == "1-URGENT", "manual-import").otherwise("api").alias("provider"))
+    measures = o.select(k.alias("measure_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"))
+    states, issuers = o.select(F.col("o_custkey").alias("issuer")), c.where("c_custkey % 29 <> 0").select(F.col("c_custkey").alias("issuer"))
+    return doctor.checks(facts, raw, o.where("o_orderkey % 3 = 0").select(k.alias("sha256")), measures, li.select(F.col("l_orderkey").alias("measure_id")), states, issuers)
