@@ -47,6 +47,31 @@ def insider_net(ratio: Column, planned: Column, net: Column) -> Column:
     return _grey(ratio.isNull(), "insider_deals_not_disclosed", _color(color, F.concat(reason, told)))
 
 
+#: Names of records put in by hand, and the indicator and input that each one feeds; words for yes and no.
+RECORDS = {
+    "independent_directors_share": ("independent_directors", "share"), "ceo_chair_roles_separated": ("ceo_chair", "roles_separated"), "ceo_chair_lead_independent": ("ceo_chair", "lead_independent"),
+    "related_party_ratio": ("related_party", "ratio"), "auditor_changes_in_5y": ("auditor", "changes_in_5y"), "auditor_qualified_opinion": ("auditor", "qualified_opinion"), "auditor_tenure_years": ("auditor", "tenure_years"),
+}
+YES, NO = ("yes", "true"), ("no", "false")
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """(issuer, indicator, inputs, lineage_ref, reason) of records (issuer, record_id, sha256, page, metric, value, verified).
+
+    Names are compared in lower case with blanks and dashes as underscores; other names are left out. Of records of one input the last
+    counts, of equal ids that of the last reference; the reference is that of the indicator's first record. If one of its records isn't verified an indicator has no inputs but the
+    reason manual_unverified, never a colour.
+    """
+    of = F.create_map(*[x for n, (i, k) in RECORDS.items() for x in (F.lit(n), F.struct(F.lit(i).alias("indicator"), F.lit(k).alias("input")))])
+    name = F.regexp_replace(F.lower(F.trim("metric")), r"[\s\-]+", "_")
+    word = F.lower(F.trim("value"))
+    value = F.when(word.isin(*YES), "true").when(word.isin(*NO), "false").otherwise(F.coalesce(word.try_cast("double").cast("string"), F.col("value")))
+    r = records.withColumn("m", F.try_element_at(of, name)).where("m is not null").select("issuer", "record_id", "m.*", value.alias("value"), F.coalesce("verified", F.lit(False)).alias("verified"), F.concat("sha256", F.lit("#page="), F.col("page").cast("string")).alias("ref"))
+    one = r.groupBy("issuer", "indicator", "input").agg(F.max_by("value", F.struct("record_id", "ref", "value")).alias("value"), F.min(F.struct("record_id", "ref")).alias("first"), F.bool_and("verified").alias("verified"))
+    g = one.groupBy("issuer", "indicator").agg(F.map_from_entries(F.collect_list(F.struct("input", "value"))).alias("inputs"), F.min("first").alias("first"), F.bool_and("verified").alias("ok"))
+    return g.select("issuer", "indicator", F.when(F.col("ok"), F.col("inputs")).alias("inputs"), F.col("first.ref").alias("lineage_ref"), F.when(~F.col("ok"), "manual_unverified").alias("reason"))
+
+
 def insider_inputs(deals: DataFrame, price_rows: DataFrame, caps: DataFrame, targets: DataFrame, days: int = 365) -> DataFrame:
     """(issuer, at, deals, net_value, net_ratio, planned_net, reason): insiders' net deals in money over the market value.
 

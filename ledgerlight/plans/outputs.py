@@ -249,3 +249,17 @@ def doctor_checks(spark, d):
     measures = o.select(k.alias("measure_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"))
     states, issuers = o.select(F.col("o_custkey").alias("issuer")), c.where("c_custkey % 29 <> 0").select(F.col("c_custkey").alias("issuer"))
     return doctor.checks(facts, raw, o.where("o_orderkey % 3 = 0").select(k.alias("sha256")), measures, li.select(F.col("l_orderkey").alias("measure_id")), states, issuers)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS issuer, l_linenumber * 1000000 + l_partkey AS id, l_suppkey || '#page=' || l_linenumber AS ref, l_linenumber % 3 AS k, CASE l_linenumber % 3 WHEN 0 THEN 'true' WHEN 1 THEN CAST(CAST(l_quantity AS DOUBLE) AS VARCHAR) END AS v, l_returnflag <> 'A' AS ok FROM lineitem WHERE l_linenumber % 3 <> 2),
+g AS (SELECT issuer, k, arg_max(v, (id, ref, v)) AS v, arg_min(ref, (id, ref)) AS ref, bool_and(ok) AS ok FROM r GROUP BY ALL)
+SELECT issuer, CASE k WHEN 0 THEN 'ceo_chair' ELSE 'auditor' END AS indicator, CASE WHEN ok THEN CASE k WHEN 0 THEN 'roles_separated=' ELSE 'tenure_years=' END || v END AS inputs, ref AS lineage_ref, CASE WHEN NOT ok THEN 'manual_unverified' END AS reason FROM g""")
+def governance_records(spark, d):
+    """Records of an order's lines as inputs of two indicators, in other spellings of their names; a third name is known to none."""
+    li, n = read(spark, d, "lineitem"), F.col("l_linenumber")
+    metric = F.when(n % 3 == 0, " CEO chair-Roles  separated").when(n % 3 == 1, "auditor_tenure years").otherwise("fleet_age")
+    value = F.when(n % 3 == 0, " Yes ").otherwise(F.col("l_quantity").cast("string"))
+    r = li.select(F.col("l_orderkey").alias("issuer"), (n * 1000000 + F.col("l_partkey")).alias("record_id"), F.col("l_suppkey").cast("string").alias("sha256"), n.alias("page"), metric.alias("metric"), value.alias("value"), (F.col("l_returnflag") != "A").alias("verified"))
+    out = governance.from_records(r)
+    entry = F.transform(F.map_entries("inputs"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return out.select("issuer", "indicator", F.array_join(entry, ",").alias("inputs"), "lineage_ref", "reason")
