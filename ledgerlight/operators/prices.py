@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import picks
 
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
+Divide = Callable[[Column, Column], Column]
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL over floating point has it: by zero infinite, zero by zero not a number."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
 
 def adjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
     """prices with price_adj: close times the factors of all events after its date.
@@ -48,15 +57,17 @@ def state(prices: DataFrame, ids: DataFrame, as_of: str, gap: int = 10, stale: i
     return out.select("id", s.alias("state"))
 
 
-def year_change(prices: DataFrame, days: int = 365, most: int = 7) -> DataFrame:
+def year_change(prices: DataFrame, days: int = 365, most: int = 7, divide: Divide | None = None) -> DataFrame:
     """(id, date, close, change): the last price against the one *days* earlier, at most *most* days older still.
 
-    prices (id, date, close, adjusted): adjusted prices count if both ends have one, else closes.
+    prices (id, date, close, adjusted): adjusted prices count if both ends have one, else closes. A close of 0 at either end has no
+    change, unless *divide* says what it gives.
     """
     last = prices.groupBy("id").agg(F.max_by(F.struct("date", "close", "adjusted"), "date").alias("l")).select("id", F.col("l.date").alias("date"), F.col("l.close").alias("close"), F.col("l.adjusted").alias("adj"))
     then = picks.as_of(last.withColumn("target", F.date_sub("date", days)), prices.select("id", F.col("date").alias("day"), F.col("close").alias("close0"), F.col("adjusted").alias("adj0")), "id", "target", "day", ["close0", "adj0"], most)
     both = F.coalesce(F.col("adj") * F.col("adj0"), F.lit(0.0)) != 0
-    change = F.when(both, F.try_divide("adj", "adj0")).otherwise(F.when(F.col("close") != 0, F.try_divide("close", "close0"))) - 1
+    plain = F.when(F.col("close") != 0, F.try_divide("close", "close0")) if divide is None else divide(F.col("close"), F.col("close0"))
+    change = F.when(both, F.try_divide("adj", "adj0")).otherwise(plain) - 1
     return then.select("id", "date", "close", change.alias("change"))
 
 
