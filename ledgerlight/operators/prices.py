@@ -19,16 +19,16 @@ def quotient(a: Column, b: Column) -> Column:
     return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
 
 
-def adjusted(prices: DataFrame, actions: DataFrame) -> DataFrame:
+def adjusted(prices: DataFrame, actions: DataFrame, divide: Divide = F.try_divide) -> DataFrame:
     """prices with price_adj: close times the factors of all events after its date.
 
     actions (id, date, kind, amount): a split by k gives 1/k, a dividend 1 - amount / close of the trading day before; a dividend without such a day or on
-    a day without price is skipped. One suffix product, no range join.
+    a day without price is skipped, after a close of 0 too, unless *divide* says what it gives. One suffix product, no range join.
     """
     w = Window.partitionBy("id").orderBy("date")
     p = prices.withColumn("before", F.lag("close").over(w))
     a = actions.join(p.select("id", "date", "before"), ["id", "date"], "left")
-    f = F.when(F.col("kind") == "split", F.try_divide(F.lit(1.0), F.col("amount"))).otherwise(1 - F.try_divide(F.col("amount"), F.col("before")))
+    f = F.when(F.col("kind") == "split", divide(F.lit(1.0), F.col("amount"))).otherwise(1 - divide(F.col("amount"), F.col("before")))
     f = a.select("id", "date", f.alias("f")).where("f is not null").groupBy("id", "date").agg(F.product("f").alias("f"))
     after = F.product(F.coalesce("f", F.lit(1.0))).over(w.rowsBetween(1, Window.unboundedFollowing))
     return prices.join(f, ["id", "date"], "left").withColumn("price_adj", F.col("close") * F.coalesce(after, F.lit(1.0))).drop("f")

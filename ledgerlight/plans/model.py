@@ -104,4 +104,8 @@ FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY ALL))"""
 
 
 def r6(x: Column | str) -> Column:
-    return F.round(x, 6)
+    """x to six places by the nearest double of 1e6 x, as the SQL does; F.round goes by the decimal digits, and halves differ."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    near = F.round(x * 1e6) / 1e6
+    # a rounded zero keeps its sign; infinite ones and those beyond the range of doubles stay as they are
+    return F.when(F.abs(x) < 1e300, F.when(near == 0, x * 0.0).otherwise(near)).otherwise(x)

@@ -31,3 +31,12 @@ def same(spark, tmp_path):
 def test_year_change_of_zero(same):
     got = same("year_change", [(1, 10, "view", 0), (1, 25, "view", 40.15), (2, 10, "view", 3), (2, 25, "view", 0), (3, 10, "view", 0), (3, 25, "view", 0), (4, 10, "view", 32), (4, 25, "view", 32.01)])
     assert sum("inf" in r for r in got) == 1 and sum("nan" in r for r in got) == 1 and sum("-1.0" in r for r in got) == 1
+
+
+#: 64.85 / 32 is half way between two roundings; a dividend after a close of 0, and one of 0.
+ADJUSTED = [(1, 21, "view", 64.85), *((1, x, "signup", 9) for x in range(22, 27)), (2, 1, "view", 7), (2, 2, "view", 0), (2, 3, "purchase", 5), (3, 1, "view", 0), (3, 2, "purchase", 0), (4, 3, "view", 102.49), (4, 5, "signup", 1)]
+
+
+def test_adjusted_at_halves_and_zeros(same):
+    got = same("price_adj_suffix_product", ADJUSTED)
+    assert any("2.026562)" in r for r in got) and any("-inf" in r for r in got) and any("nan" in r for r in got)
