@@ -34,12 +34,15 @@ def adjusted(prices: DataFrame, actions: DataFrame, divide: Divide = F.try_divid
     return prices.join(f, ["id", "date"], "left").withColumn("price_adj", F.col("close") * F.coalesce(after, F.lit(1.0))).drop("f")
 
 
-def returns(prices: DataFrame, value: str = "close") -> DataFrame:
-    """(id, n, total_return, drawdown): last over first less 1, and the deepest fall from a running maximum (0 if none)."""
+def returns(prices: DataFrame, value: str = "close", divide: Divide = F.try_divide) -> DataFrame:
+    """(id, n, total_return, drawdown): last over first less 1, and the deepest fall from a running maximum (0 if none).
+
+    A price of 0 as first one or maximum gives null, unless *divide* says what it gives.
+    """
     peak = F.max(value).over(Window.partitionBy("id").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = prices.withColumn("fall", F.try_divide(F.col(value), peak) - 1)
+    p = prices.withColumn("fall", divide(F.col(value), peak) - 1)
     g = p.groupBy("id").agg(F.count("*").alias("n"), F.min_by(value, "date").alias("first"), F.max_by(value, "date").alias("last"), F.min("fall").alias("fall"))
-    return g.select("id", "n", F.when(F.col("n") >= 2, F.try_divide("last", "first") - 1).alias("total_return"), F.least(F.lit(0.0), "fall").alias("drawdown"))
+    return g.select("id", "n", F.when(F.col("n") >= 2, divide(F.col("last"), F.col("first")) - 1).alias("total_return"), F.least(F.lit(0.0), "fall").alias("drawdown"))
 
 
 def gaps(prices: DataFrame, most: int = 10) -> DataFrame:

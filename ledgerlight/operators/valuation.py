@@ -163,15 +163,15 @@ def shares(outstanding: Column, diluted: Column, splits: Column, ads: Column, if
     return R.result(value, F.coalesce(why, F.when(ifrs & ads.isNull(), "adr_ratio_unknown: price per ADS, shares are ordinary")))
 
 
-def price_measures(price_rows: DataFrame, actions: DataFrame, as_of: str, days: int = 365, edge: int = 7) -> DataFrame:
+def price_measures(price_rows: DataFrame, actions: DataFrame, as_of: str, days: int = 365, edge: int = 7, divide: prices.Divide = F.try_divide) -> DataFrame:
     """(id, total_return, drawdown, reason): over the year up to a date, dividends put back; both edges must lie within *edge* days.
 
-    A price of 0 or less has no drawdown.
+    A price of 0 or less has no drawdown; *divide* says what division by such a one gives.
     """
     at = F.lit(as_of).cast("date")
     own = price_rows.where((F.col("date") <= at) & F.col("close").isNotNull())
-    adj = prices.adjusted(own, actions.where("kind = 'dividend'")).where(F.col("date") >= F.date_sub(at, days))
-    r = prices.returns(adj, "price_adj")
+    adj = prices.adjusted(own, actions.where("kind = 'dividend'"), divide).where(F.col("date") >= F.date_sub(at, days))
+    r = prices.returns(adj, "price_adj", divide)
     ends = adj.groupBy("id").agg(F.min("date").alias("a"), F.max("date").alias("z"), F.min("price_adj").alias("low"))
     out = price_rows.select("id").distinct().join(r, "id", "left").join(ends, "id", "left")
     ok = F.coalesce((F.datediff("a", F.date_sub(at, days)) <= edge) & (F.datediff(at, "z") <= edge), F.lit(False))

@@ -40,3 +40,9 @@ ADJUSTED = [(1, 21, "view", 64.85), *((1, x, "signup", 9) for x in range(22, 27)
 def test_adjusted_at_halves_and_zeros(same):
     got = same("price_adj_suffix_product", ADJUSTED)
     assert any("2.026562)" in r for r in got) and any("-inf" in r for r in got) and any("nan" in r for r in got)
+
+
+def test_measures_of_a_window_with_zeros(same):
+    ends = [(u, x, "view", v) for u in (1, 2, 3) for x, v in ((6, 10), (24, 12))]
+    got = same("price_measures_window", [*ends, (1, 10, "view", 0), (1, 11, "purchase", 5), (2, 5, "view", 0), (4, 5, "view", 0), (4, 25, "view", 0)])
+    assert any("(2, inf, None, 'missing_data: nonpositive_price')" in r for r in got) and len(got) == 4
