@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ def trailing_years(facts: DataFrame, targets: DataFrame) -> DataFrame:
     365 days before. The periods of a key become one sorted array, which every date cuts: facts are dealt once, not once a date.
     """
     key = ["issuer", "concept"]
+    # rows are dealt by issuer once; all that follows keeps that partitioning
     homes = targets.groupBy("issuer").agg(F.max("home").alias("home"))
-    p = facts.where((F.col("end") >= F.col("start")) & F.col("value").isNotNull()).select(*key, "start", "end", "value", "unit").join(homes, "issuer")
+    p = facts.where((F.col("end") >= F.col("start")) & F.col("value").isNotNull()).select(*key, "start", "end", "value", "unit").repartition("issuer").join(homes, "issuer")
     p = p.groupBy(*key, "start", "end").agg(F.min(F.struct((~F.coalesce(F.col("unit") == F.col("home"), F.lit(False))).alias("other"), "unit", "value")).alias("x"))
     one = F.struct("end", "start", F.col("x.value").cast("double").alias("value"), periods.days().alias("days"), F.col("x.unit").alias("unit"))
     p = p.groupBy(*key).agg(F.sort_array(F.collect_list(one), asc=False).alias("all"))
@@ -47,21 +50,29 @@ def _declared(p: Column, at: Column) -> Column:
     return F.when(alike, whole)
 
 
-def common_periods(facts: DataFrame, recipes: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(issuer, recipe, common): the periods and units in which all concepts of a recipe have a fact, newest first.
+def common_periods(facts: DataFrame, recipes: dict[str, tuple[str, ...]], targets: DataFrame) -> DataFrame:
+    """(issuer, at, common): map of each recipe to the newest year, then the newest period, in which all its concepts have a fact of one unit.
 
-    common is an array of (end, start, unit, annual, values by concept).
+    common has arrays of (end, start, unit, annual, values by concept), of periods up to the date that are not over STALE_DAYS behind the
+    anchor; targets (issuer, at, anchor). A period is one row with a column for each concept, and an issuer's periods are one sorted
+    array, from which each date takes what it reads: no row for each recipe and period.
     """
-    needing = {c: [r for r, wanted in recipes.items() if c in wanted] for c in sorted({c for w in recipes.values() for c in w})}
-    of = F.create_map(*[x for c, names in needing.items() for x in (F.lit(c), F.array(*map(F.lit, names)))])
-    sizes = F.create_map(*[F.lit(x) for r, wanted in recipes.items() for x in (r, len(wanted))])
-    one = facts.where(F.col("value").isNotNull() & F.col("concept").isin(*needing)).groupBy("issuer", "concept", "unit", "start", "end").agg(F.min("value").cast("double").alias("value"))
-    rows = one.withColumn("recipe", F.explode(F.try_element_at(of, F.col("concept"))))
-    whole = rows.groupBy("issuer", "recipe", "unit", "start", "end").agg(F.map_from_entries(F.collect_list(F.struct("concept", "value"))).alias("values"))
-    whole = whole.where(F.size("values") == F.try_element_at(sizes, F.col("recipe")))
-    each = F.struct("end", "start", "unit", periods.days().between(*periods.ANNUAL).alias("annual"), "values")
+    needing = sorted({c for w in recipes.values() for c in w})
+    values = [F.min(F.when(F.col("concept") == c, F.col("value"))).cast("double").alias(c) for c in needing]
+    rows = facts.where(F.col("value").isNotNull() & F.col("concept").isin(*needing)).select("issuer", "concept", "unit", "start", "end", "value")
+    # rows are dealt by issuer once; all that follows keeps that partitioning
+    wide = rows.repartition("issuer").groupBy("issuer", "unit", "start", "end").agg(*values)
+    each = F.struct("end", "start", "unit", periods.days().between(*periods.ANNUAL).alias("annual"), F.struct(*needing).alias("v"))
     newest = lambda a, b: F.when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).when(a["unit"] < b["unit"], -1).otherwise(1)
-    return whole.groupBy("issuer", "recipe").agg(F.array_sort(F.collect_list(each), newest).alias("common"))
+    past = lambda p: (p["end"] <= F.col("at")) & (F.datediff("anchor", p["end"]) <= STALE_DAYS)
+    p = wide.groupBy("issuer").agg(F.array_sort(F.collect_list(each), newest).alias("all")).join(targets.select("issuer", "at", "anchor"), "issuer").withColumn("near", F.filter("all", past))
+
+    def common(wanted: tuple[str, ...]) -> Column:
+        whole = F.filter("near", lambda x: reduce(lambda a, b: a & b, [x["v"][c].isNotNull() for c in wanted]))
+        out = lambda x: F.struct(x["end"], x["start"], x["unit"], x["annual"], F.create_map(*[y for c in wanted for y in (F.lit(c), x["v"][c])]).alias("values"))
+        return F.transform(F.concat(F.slice(F.filter(whole, lambda x: x["annual"]), 1, 1), F.slice(whole, 1, 1)), out)
+
+    return p.select("issuer", "at", F.create_map(*[y for r, wanted in recipes.items() for y in (F.lit(r), common(wanted))]).alias("common"))
 
 
 def at_borders(windows: DataFrame, balances: DataFrame) -> DataFrame:

@@ -74,14 +74,19 @@ def _with(rows: DataFrame, **defaults: Column) -> DataFrame:
     return rows.withColumns({n: c for n, c in defaults.items() if n not in rows.columns})
 
 
-def with_operating_income(flows: DataFrame, instruments: DataFrame) -> DataFrame:
-    """flows with operating income put in, period by period, where it is not filed: pretax income with interest put back; never for banks."""
+def operating_income(flows: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Operating income, period by period, where it is not filed: pretax income with interest put back; never for banks."""
     names = ("operating_income", "pretax_income", "interest_expense", "interest_income")
     at = [F.max(F.when(F.col("concept") == n, F.col("value"))).alias(n) for n in names]
     p = flows.where(F.col("concept").isin(*names)).groupBy("issuer", "unit", "start", "end").agg(*at).where("operating_income is null")
     p = p.join(instruments.where(~F.coalesce("bank", F.lit(False))).select("issuer"), "issuer", "left_semi")
     value = F.col("pretax_income") + F.col("interest_expense") - F.coalesce("interest_income", F.lit(0.0))
-    return flows.unionByName(p.select("issuer", F.lit("operating_income").alias("concept"), "start", "end", value.alias("value"), "unit").where("value is not null"))
+    return p.select("issuer", F.lit("operating_income").alias("concept"), "start", "end", value.alias("value"), "unit").where("value is not null")
+
+
+def with_operating_income(flows: DataFrame, instruments: DataFrame) -> DataFrame:
+    """flows with operating_income() put in."""
+    return flows.unionByName(operating_income(flows, instruments))
 
 
 def _inputs(recipes: dict[str, tuple[str, ...]]) -> Column:
@@ -93,7 +98,7 @@ def _inputs(recipes: dict[str, tuple[str, ...]]) -> Column:
 
     def one(r: Column) -> Column:
         flows = F.transform(r["wanted"], lambda c: F.struct(c.alias("concept"), F.try_element_at(F.col("flow"), c).alias("x")))
-        near = F.filter(F.coalesce(_get("common", r["recipe"]), F.array().cast(kind)), lambda p: (p["end"] <= F.col("at")) & (F.datediff("anchor", p["end"]) <= borders.STALE_DAYS))
+        near = F.coalesce(_get("common", r["recipe"]), F.array().cast(kind))
         return F.element_at(F.transform(F.array(F.struct(r["recipe"].alias("recipe"), r["wanted"].alias("wanted"), flows.alias("flows"), near.alias("near"))), made), 1)
 
     def made(x: Column) -> Column:
@@ -146,15 +151,17 @@ def inputs(flows: DataFrame, stocks: DataFrame, instruments: DataFrame, price_ro
     wanted = needed(measures)
     stocks = _with(stocks, basis=F.lit("as_reported"), rank=F.lit(0), filed=F.lit(None).cast("date"))
     own, all_stocks = stocks.where((F.col("basis") == "as_reported") & F.col("concept").isin(*STOCKS)), stocks.where(F.col("concept").isin(*STOCKS) & F.col("value").isNotNull())
-    f = with_operating_income(flows.where(F.col("concept").isin(*FLOWS) & F.col("value").isNotNull()).select("issuer", "concept", "start", "end", F.col("value").cast("double").alias("value"), "unit"), instruments)
+    # flows are read by four of the steps, and may themselves be sums over far larger tables
+    f = saved(flows.where(F.col("concept").isin(*FLOWS) & F.col("value").isNotNull()).select("issuer", "concept", "start", "end", F.col("value").cast("double").alias("value"), "unit"), "flows")
+    f = f.unionByName(saved(operating_income(f, instruments), "income"))
     t = targets.select("issuer", "at").distinct().join(_with(instruments, home=_text()).select("issuer", "id", "bank", "ifrs", "ads_ratio", "home"), "issuer")
     # tables are written on the way, as several of the steps that follow read them
     t = saved(t.join(borders.anchors(t, f.select("issuer", "end").union(own.select("issuer", "end"))), ["issuer", "at"], "left"), "targets")
     w = saved(borders.trailing_years(f, t), "windows")
     flow = w.groupBy("issuer", "at").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("w", "last").alias("x")))).alias("flow"), F.max(F.when(F.col("concept") == "dps", F.struct("w", "declared"))).alias("dps_window"))
     recipes = {r: c for r, c in RECIPES.items() if r.split()[0] in wanted}
-    common = borders.common_periods(f, recipes).groupBy("issuer").agg(F.map_from_entries(F.collect_list(F.struct("recipe", "common"))).alias("common"))
-    b = t.join(flow, ["issuer", "at"], "left").join(common, "issuer", "left").join(borders.newest(t, own), ["issuer", "at"], "left")
+    common = borders.common_periods(f, recipes, t)
+    b = t.join(flow, ["issuer", "at"], "left").join(common, ["issuer", "at"], "left").join(borders.newest(t, own), ["issuer", "at"], "left")
     if wanted & {*TWO_PERIOD}:
         b = b.join(_two_period(w, all_stocks, wanted), ["issuer", "at"], "left")
     b = saved(b.join(_price(t, price_rows), ["issuer", "at"], "left"), "inputs")

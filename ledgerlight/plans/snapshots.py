@@ -8,9 +8,10 @@ from ledgerlight.functions import concepts as C
 from ledgerlight.operators import capital
 from ledgerlight.operators import snapshot as S
 from ledgerlight.operators import valuation as V
+from ledgerlight.scratch import saved
 
 from .measures import _TTM
-from .model import AS_OF, SECTORS, long_sql, periods, periods_sql, query, r6, sectors
+from .model import AS_OF, SECTORS, long_sql, periods, periods_sql, query, r6, read, sectors
 from .series import _DAILY, _daily
 
 _FLOWS = ("revenue", "cogs", "opex", "tax_expense", "net_income", "pretax_income", "ocf", "capex", "interest_expense", "d_and_a")
@@ -89,8 +90,16 @@ def zeros(spark, d):
     return sectors(spark, d).select("issuer", st.alias("st_zero"), nci.alias("nci_zero"))
 
 
-def _daily_prices(spark, d):
-    return _daily(spark, d).select(F.col("issuer").alias("id"), "date", "close", F.lit("USD").alias("currency"))
+def _daily_prices(spark, d, dates):
+    """The close of each issuer's newest day up to each of the dates, the only ones that a snapshot reads.
+
+    A sum of every day would be as long as lineitem; so the newest days are looked up first, and only theirs are summed.
+    """
+    day = F.to_date("l_shipdate")
+    after = [F.when(day <= F.lit(x).cast("date"), F.lit(x)) for x in sorted(dates)]
+    days = read(spark, d, "lineitem").groupBy("l_suppkey", F.coalesce(*after).alias("at")).agg(F.max(day).alias("date"))
+    days = saved(days.where("at is not null").select(F.col("l_suppkey").alias("issuer"), "date"), "days")
+    return _daily(spark, d, days).select(F.col("issuer").alias("id"), "date", "close", F.lit("USD").alias("currency"))
 
 
 def _missing(**named: str) -> str:
@@ -244,7 +253,7 @@ _COLUMNS = "issuer, concept, value, unit, period_start, period_end, basis, null_
 
 
 def _all(spark, d, *measures):
-    return S.snapshot(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d), actions(spark, d), AS_OF, zeros(spark, d), measures or S.MEASURES)
+    return S.snapshot(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d, (AS_OF,)), actions(spark, d), AS_OF, zeros(spark, d), measures or S.MEASURES)
 
 
 @query(f"SELECT {_COLUMNS} FROM ({_snapshot_sql()})")
@@ -266,9 +275,9 @@ def pe_ps_pb(spark, d):
 _DATES = ("2000-12-31", "2001-07-20", AS_OF)
 
 
-def _inputs(spark, d, dates=_DATES):
+def _inputs(spark, d, dates=_DATES, measures=S.MEASURES):
     targets = instruments(spark, d).select("issuer", F.explode(F.array(*[F.lit(x).cast("date") for x in dates])).alias("at"))
-    return S.inputs(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d), actions(spark, d), targets, zeros(spark, d))
+    return S.inputs(flows(spark, d), stocks(spark, d), instruments(spark, d), _daily_prices(spark, d, dates), actions(spark, d), targets, zeros(spark, d), measures)
 
 
 @query(" UNION ALL ".join(f'SELECT "at", {_COLUMNS} FROM ({_snapshot_sql(x)})' for x in _DATES))
