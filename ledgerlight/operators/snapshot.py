@@ -393,7 +393,8 @@ def percentiles(rows: DataFrame, peers: DataFrame, least: int = groups.PERCENTIL
     peers (issuer, peer_group). The share of the other values strictly below, as a fraction; too few others are peer_set_too_small; a
     measure without value keeps its reason.
     """
-    r = rows.join(peers.select("issuer", "peer_group"), "issuer").withColumn("_g", F.struct("peer_group", "at", "concept"))
+    # written once, as it is read for the ranks, for their members and for the rows that have none
+    r = saved(rows.join(peers.select("issuer", "peer_group"), "issuer").withColumn("_g", F.struct("peer_group", "at", "concept")), "ranked")
     p = groups.percentile_below(r.select("_g", "issuer", "value"), "_g", "issuer", least=0)
     p = p.select(F.col("_g.at").alias("at"), F.col("_g.concept").alias("concept"), "issuer", "n", "percentile")
     out = r.join(p, ["issuer", "at", "concept"], "left")
