@@ -306,7 +306,7 @@ _LINES = " UNION ALL ".join(
 @query(_snapshot_sql(select=_LINES))
 def snapshot_lineage(spark, d):
     """What three measures are made of: the quarters of their windows, balances at borders and at the date, and the measures that feed them."""
-    return S.lineage(S.evaluated(_inputs(spark, d, (AS_OF,)), _TRACED), _TRACED).drop("at")
+    return S.lineage(S.evaluated(_inputs(spark, d, (AS_OF,), _TRACED), _TRACED), _TRACED).drop("at")
 
 
 _RANKED = ("gross_margin", "roe", "pe", "net_debt_ebitda")
@@ -318,7 +318,7 @@ SELECT issuer, concept, sector AS peer_group, coalesce(n, 0) AS n, CASE WHEN nul
 def peer_percentiles(spark, d):
     """Percentile rows of a snapshot: where each measure stands in its sector at the date, or why it has no place."""
     # the value is rounded first, as both sides must see the same ties
-    rows = S.rows_of(S.evaluated(_inputs(spark, d, (AS_OF,)), _RANKED), _RANKED).withColumn("value", r6("value"))
+    rows = S.rows_of(S.evaluated(_inputs(spark, d, (AS_OF,), _RANKED), _RANKED), _RANKED).withColumn("value", r6("value"))
     out = S.percentiles(rows, sectors(spark, d).select("issuer", F.col("sector").alias("peer_group")))
     return out.select("issuer", "concept", "peer_group", "n", r6("percentile").alias("percentile"), "reason")
 
