@@ -40,6 +40,7 @@ HEAVY = 64
 BLOCK = 8192
 SHORT = 16
 BITS = 1024
+ROWS = 1000
 HELD = 1 << 18
 RANGE_BYTES = 2 << 20
 _LOW = np.uint64((1 << 48) - 1)
@@ -56,21 +57,23 @@ def _arrow(schema: str, cols: list) -> pa.Table:
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """doc_ids and each one's sorted distinct shingle fingerprints (lower-cased A-Z)."""
-    buf, off = X.text_arrays(batch.column(batch.schema.get_field_index("text")))
-    w = X.words(X.LOWER[buf], off)
-    grams, at = X.rolling(w.h, k), w.inside(k)
-    grams = grams[at]
-    first = np.searchsorted(at, w.first)
     sets = []
-    for i, n in enumerate(w.counts.tolist()):
-        if n >= k:
-            sets.append(np.unique(grams[first[i] : first[i + 1]]))
-        else:
-            own = w.h[w.first[i] : w.first[i + 1]]
-            sets.append(X.rolling(own, n) ^ np.uint64(0xA5A5A5A5A5A5 + n) if n else own)
+    for piece in X.slices([batch], limit=X.PIECE_BYTES):
+        buf, off = X.text_arrays(piece.column(piece.schema.get_field_index("text")))
+        w = X.words(X.LOWER[buf], off)
+        grams, at = X.rolling(w.h, k), w.inside(k)
+        grams = grams[at]
+        first = np.searchsorted(at, w.first)
+        for i, n in enumerate(w.counts.tolist()):
+            if n >= k:
+                sets.append(np.unique(grams[first[i] : first[i + 1]]))
+            else:
+                own = w.h[w.first[i] : w.first[i + 1]].copy()
+                sets.append(X.rolling(own, n) ^ np.uint64(0xA5A5A5A5A5A5 + n) if n else own)
     return batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False), sets
 
 
+@X.freed
 def _deal(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for seq, batch in enumerate(X.slices(batches)):
@@ -84,24 +87,29 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa
                 rep[i] = j if j != i else -1
         used = [i for i in range(len(ids)) if n[i] and rep[i] < 0]
         h = np.concatenate([sets[i] for i in used]) if used else np.zeros(0, np.uint64)
-        doc = np.repeat(np.array(used, np.int64), n[used]) if used else np.zeros(0, np.int64)
-        rng = ((h >> np.uint64(48)) * np.uint64(ranges)) >> np.uint64(16)
-        h = (rng << np.uint64(48)) | (h & _LOW)
+        doc = np.repeat(np.array(used, np.uint32), n[used]) if used else np.zeros(0, np.uint32)
+        del sets
+        rng = (((h >> np.uint64(48)) * np.uint64(ranges)) >> np.uint64(16)).astype(np.uint16)
+        h &= _LOW
+        h |= rng.astype(np.uint64) << np.uint64(48)
         s = np.sort(h)
         head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.r_[head, len(s)])
         heavy, heavy_n = s[head[count >= HEAVY]], count[count >= HEAVY].astype(np.uint32)
-        where = np.searchsorted(heavy, h)
+        del s, head, count
+        where = np.searchsorted(heavy, h).astype(np.uint32)
         is_heavy = (where < len(heavy)) & (heavy[np.minimum(where, max(len(heavy) - 1, 0))] == h) if len(heavy) else np.zeros(len(h), bool)
         this = (part << 24) | seq
-        info = pickle.dumps((ids, n, rep, doc[is_heavy].astype(np.uint32), where[is_heavy].astype(np.uint32), heavy), 5)
+        info = pickle.dumps((ids, n, rep, doc[is_heavy], where[is_heavy], heavy), 5)
         rows = [[1, this % ranges, this, info]]
         light = ~is_heavy
-        h, doc, rng = h[light], doc[light], rng[light].astype(np.uint16)
+        del where, is_heavy
+        h, doc, rng = h[light], doc[light], rng[light]
         order = np.argsort(rng, kind="stable")
         h, doc, rng = h[order], doc[order], rng[order]
+        del order
         cut, cut2 = np.searchsorted(rng, np.arange(ranges + 1)), np.searchsorted(heavy >> np.uint64(48), np.arange(ranges + 1, dtype=np.uint64))
-        six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        six = h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :6]
         for r in range(ranges):
             a, b, c, d = cut[r], cut[r + 1], cut2[r], cut2[r + 1]
             if b > a or d > c:
@@ -111,6 +119,7 @@ def _deal(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa
         yield from _arrow(_DEALT, list(zip(*rows, strict=True))).to_batches()
 
 
+@X.freed
 def _frequencies(table: pa.Table) -> pa.Table:
     kind, key, where, data = (table.column(c).to_pylist() for c in table.column_names)
     rows, got = [], []
@@ -142,6 +151,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return _arrow(_DEALT, list(zip(*rows, strict=True)) or [[], [], [], []])
 
 
+@X.freed
 def _prefixes(table: pa.Table, num: int, den: int) -> pa.Table:
     """Rows of _DOC of one slice; tokens, in the global order, only for documents that may have a partner."""
     got, infos = [], []
@@ -168,9 +178,15 @@ def _prefixes(table: pa.Table, num: int, den: int) -> pa.Table:
     return _arrow(_DOC, cols)
 
 
-def _entries(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """One row for each prefix shingle and batch: the packed entries of its documents."""
+def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+@X.freed
+def _entries(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """One row for each prefix shingle and ROWS documents: the packed entries of these."""
+    for batch in _few(batches, ROWS):
         cols = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
         parts, toks = [], []
         for i, n, s, comp, raw in zip(cols["doc_id"], cols["n"], cols["s"], cols["comp"], cols["tokens"], strict=True):
@@ -278,6 +294,7 @@ class _List:
         return (to[use], near[use], v[use], u[use]), np.unique(to[order[place >= most]])
 
 
+@X.freed
 def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each list of the partition; most: 0 for a spanning forest."""
     table = list(batches)
@@ -316,8 +333,9 @@ def _pairs(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) ->
             yield from table_of(v + a, u + a, True)
 
 
+@X.freed
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _few(batches, ROWS):
         a, b, an, bn, x, y = (batch.column(i).to_pylist() for i in range(6))
         ok = []
         for i in range(len(a)):
@@ -354,7 +372,7 @@ def jaccard_components(documents: DataFrame, k: int = 5, num: int = 80, den: int
     # ranges follow the text: a group of shingles is about that of RANGE_BYTES, up to 128 GB of text
     ranges = min(65536, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES + 1)
     dealt = own.mapInArrow(partial(_deal, k=k, ranges=ranges), _DEALT)
-    counted = dealt.groupBy("key").applyInArrow(_frequencies, _DEALT)
+    counted = dealt.groupBy("key").applyInArrow(lambda table: _frequencies(table), _DEALT)
 
     def prefixes(table: pa.Table) -> pa.Table:
         return _prefixes(table, num, den)

@@ -23,6 +23,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import text as X
 
 MAX_ROWS, MAX_UNLABELLED = 6000, 6000
+#: features() makes some ten arrays of eight bytes for each byte of a slice.
+SLICE_BYTES = 512 << 10
 _KINDS = np.zeros(256, np.int64)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:", b"!?", b"|", b"*#%&$@", b"\"'()-/_+=<>[]{}\\^`~"), start=1):
     _KINDS[list(_set)] = _i
@@ -51,8 +53,9 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(shares), np.sqrt(pairs), extra])
 
 
+@X.freed
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in X.slices(batches, limit=2 << 20):
+    for batch in X.slices(batches, limit=SLICE_BYTES):
         x = features(*X.text_arrays(batch.column(batch.schema.get_field_index("text"))))
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -134,8 +137,9 @@ def quality_scores(documents: DataFrame, model: dict) -> DataFrame:
     kept = documents.drop("held_out", "score", "predicted").where("doc_id is not null")
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
 
+    @X.freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, limit=2 << 20):
+        for batch in X.slices(batches, limit=SLICE_BYTES):
             x = features(*X.text_arrays(batch.column(batch.schema.get_field_index("text"))))
             if "constant" in model:
                 s = np.full(len(x), model["constant"])

@@ -47,6 +47,7 @@ def _rows(rows: list) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, _ROWS.values(), strict=True)], names=list(_ROWS))
 
 
+@X.freed
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     for seq, batch in enumerate(X.slices(batches)):
@@ -61,6 +62,11 @@ def _unpack(raw: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A slice in pieces of whole rows: no window goes over the end of a row."""
+    return X.slices([batch], limit=X.PIECE_BYTES)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -93,17 +99,22 @@ def _split(this: int, keys: np.ndarray, ranges: int, *more: np.ndarray) -> list:
     return [(0, r, this, pickle.dumps((keys[a:b], *(m[a:b] for m in more)), 5)) for r, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
 
 
+def _places(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """The anchors of a piece: one may serve neighbouring windows of one place; elsewhere it counts again."""
+    w, at, _ = _windows(batch, size)
+    low = _anchors(w, at, size)
+    return low[np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])] if len(low) else low
+
+
+@X.freed
 def _deal_anchors(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        for this, raw in zip(_column(rows, "slice").to_pylist(), _column(rows, "data").to_pylist(), strict=True):
-            w, at, _ = _windows(_unpack(raw), size)
-            low = _anchors(w, at, size)
-            # one anchor may serve neighbouring windows of one place; elsewhere it counts again
-            place = low[np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)])] if len(low) else low
-            keys, count = np.unique(place, return_counts=True)
+        for this, raw in zip(_column(rows, "slice").to_pylist(), _column(rows, "data"), strict=True):
+            keys, count = np.unique(np.concatenate([_places(p, size) for p in _pieces(_unpack(raw.as_buffer()))]), return_counts=True)
             yield from _rows(_split(this, keys, ranges, np.minimum(count, 2).astype(np.uint8))).to_batches()
 
 
+@X.freed
 def _repeated(table: pa.Table) -> pa.Table:
     """To each slice its anchors that stand at two places or more."""
     where = table.column("slice").to_pylist()
@@ -134,18 +145,30 @@ def _check(w: X.Words, at: np.ndarray, size: int) -> np.ndarray:
     return (X.rolling(X.mix(w.h * np.uint64(0xA24BAED4963EE407) + np.uint64(0x9FB21C651E98DF25)), size)[at] >> np.uint64(32)).astype(np.uint32)
 
 
+def _own(batch: pa.RecordBatch, size: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: starts of its windows (of those whose anchor is known, where anchors are given), their fingerprints and second ones, and the words of each row."""
+    got, n = [], 0
+    for piece in _pieces(batch):
+        w, at, h = _windows(piece, size)
+        if len(at) and known is not None:
+            use = _isin(known, _anchors(w, at, size))
+            at, h = at[use], h[use]
+        got.append((at + n, h, _check(w, at, size) if len(at) else np.zeros(0, np.uint32), w.counts))
+        n += len(w.h)
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
+@X.freed
 def _deal_windows(packs: pa.Table, anchors: pa.Table, size: int, ranges: int) -> pa.Table:
     rows, known = [], _keys(anchors)
     for this, raw in zip(packs.column("slice").to_pylist(), packs.column("data").to_pylist(), strict=True):
-        w, at, h = _windows(_unpack(raw), size)
-        if len(at):
-            use = _isin(known, _anchors(w, at, size))
-            h, check = h[use], _check(w, at[use], size)
-            h, first = np.unique(h, return_index=True)
-            rows += _split(this, h, ranges, check[first])
+        _, h, check, _ = _own(_unpack(raw), size, known)
+        h, first = np.unique(h, return_index=True)
+        rows += _split(this, h, ranges, check[first])
     return _rows(rows)
 
 
+@X.freed
 def _merge(run: pa.Table, batch: pa.Table) -> pa.Table:
     """Merge-join of one range: repeats to their slices, and the merged run."""
     old = [pickle.loads(x) for x in run.column("data").to_pylist()]
@@ -168,13 +191,14 @@ def _merge(run: pa.Table, batch: pa.Table) -> pa.Table:
     return _rows(out)
 
 
+@X.freed
 def _deal_all(batches: Iterator[pa.RecordBatch], size: int, ranges: int) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for this, raw in zip(_column(rows, "slice").to_pylist(), _column(rows, "data").to_pylist(), strict=True):
-            w, at, h = _windows(_unpack(raw), size)
-            if len(at):
+            _, h, check, _ = _own(_unpack(raw), size)
+            if len(h):
                 h, first = np.unique(h, return_index=True)
-                yield from _rows(_split(this, h, ranges, _check(w, at, size)[first])).to_batches()
+                yield from _rows(_split(this, h, ranges, check[first])).to_batches()
 
 
 def _add(runs: pa.Table, batch: pa.Table) -> pa.Table:
@@ -247,31 +271,33 @@ class Index:
         return found.where("kind = 0")
 
 
+@X.freed
 def _cut(packs: pa.Table, lost: pa.Table, size: int, schema: pa.Schema) -> pa.Table:
     known, out = _keys(lost), []
     for raw in packs.column("data").to_pylist():
         batch = _unpack(raw)
-        w, at, h = _windows(batch, size)
+        at, h, check, counts = _own(batch, size)
         if len(at):
-            check = _check(w, at, size)
             order = np.lexsort((check, h))  # stable: of equal windows the earliest stands first
             a, b = h[order], check[order]
             again = np.zeros(len(h), bool)
             again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+            del order, a, b
             gone = at[again | _isin(known, h)]
         else:
             gone = at
-        step = np.zeros(len(w.h) + 1, np.int64)
+        first = np.r_[0, np.cumsum(counts)]
+        step = np.zeros(first[-1] + 1, np.int64)
         np.add.at(step, gone, 1)
         np.add.at(step, gone + size, -1)
         keep = np.cumsum(step)[:-1] == 0
         kept, removed = [], []
         texts = _column(batch, "text").to_pylist()
         for i, t in enumerate(texts):
-            own = keep[w.first[i] : w.first[i + 1]]
+            own = keep[first[i] : first[i + 1]]
             kept.append(b" ".join(compress((t or "").encode().split(), own.tolist())).decode())
             removed.append(int(len(own) - own.sum()))
-        cols = [*batch.columns, pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        cols = [*batch.columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
         cols.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept], pa.string()))
         out.append(pa.Table.from_arrays(cols, names=schema.names).cast(schema))
     return pa.concat_tables(out) if out else schema.empty_table()
@@ -314,7 +340,7 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3, inde
     # a slice gives a row for each range, so ranges follow the text and not only the partitions
     ranges = min(8 * n, 65536, (packs.agg(F.sum("key")).first()[0] or 0) // RANGE_BYTES + 1)
     if index is None:
-        repeated = packs.mapInArrow(partial(_deal_anchors, size=size, ranges=ranges), _DEALT).groupBy("key").applyInArrow(_repeated, _DEALT)
+        repeated = packs.mapInArrow(partial(_deal_anchors, size=size, ranges=ranges), _DEALT).groupBy("key").applyInArrow(lambda own: _repeated(own), _DEALT)
         repeated = table(repeated, "slice", "anchors")
 
     def windows(packs: pa.Table, anchors: pa.Table) -> pa.Table:
@@ -328,7 +354,7 @@ def substring_dedup(documents: DataFrame, size: int = 20, batches: int = 3, inde
         mine = f"(slice >> 32) * {batches} div {n} = {i}"
         dealt = packs.where(mine).groupBy("slice").cogroup(repeated.where(mine).groupBy("slice")).applyInArrow(windows, _DEALT)
         before = run if run is not None else spark.createDataFrame([], _DEALT)
-        merged = table(before.where("kind = 1").groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_merge, _DEALT), "key", "run")
+        merged = table(before.where("kind = 1").groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(lambda run, batch: _merge(run, batch), _DEALT), "key", "run")
         lost.append(merged.where("kind = 0"))
         run = merged
     gone = reduce(DataFrame.union, lost) if index is None else Index(spark, index).take(packs, size, ranges, version, scratch)

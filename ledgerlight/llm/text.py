@@ -8,13 +8,18 @@ bytes and cutting characters give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 8 << 20
+#: Arrays of a slice that take several times its bytes are made for pieces of this size, one after the other.
+PIECE_BYTES = 1 << 20
 _CHUNK = 1 << 19
 
 _bytes = np.arange(256)
@@ -40,6 +45,38 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def free() -> None:
+    """Give back to the system what arrays that are gone have left in this process."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def freed(task: Callable) -> Callable:
+    """task (a function of a table or of batches) that gives back the memory of its arrays when it is done.
+
+    A worker process serves one task after the other, and would hold what the largest slice took. Where Spark counts a function's
+    arguments, it gets a lambda around it.
+    """
+
+    @wraps(task)
+    def batches(*args, **more):
+        yield from task(*args, **more)
+        free()
+
+    @wraps(task)
+    def table(*args, **more):
+        out = task(*args, **more)
+        if sum(x.nbytes for x in args if isinstance(x, pa.Table)) > PIECE_BYTES:
+            free()
+        return out
+
+    return batches if inspect.isgeneratorfunction(task) else table
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> _S30)) * _M1
