@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def same_key(a: DataFrame, b: DataFrame, key: list[str]) -> list[Column]:
     return [a[k].eqNullSafe(b[k]) for k in key]
 
 
+@dataclass
+class Written:
+    """Buckets of a table that no version names yet; commit() takes them in place of rows."""
+
+    schema: StructType
+    parts: dict[str, str]
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
@@ -69,7 +78,9 @@ class Store:
         if table is None:
             return self.spark.createDataFrame([], schema)
         parts = table["parts"] if only is None else {str(b): table["parts"][str(b)] for b in only if str(b) in table["parts"]}
-        kind = StructType.fromJson(table["schema"])
+        return self._rows(StructType.fromJson(table["schema"]), parts)
+
+    def _rows(self, kind: StructType, parts: dict[str, str]) -> DataFrame:
         return self.spark.read.schema(kind).parquet(*[f"{folder}/bucket={b}" for b, folder in parts.items()]) if parts else self.spark.createDataFrame([], kind)
 
     def bucket(self, key: list[str]) -> Column:
@@ -79,7 +90,19 @@ class Store:
         """The buckets that hold these keys; at most as many as a table has."""
         return sorted(r[0] for r in keys.select(self.bucket(key).alias("b")).distinct().collect())
 
-    def commit(self, tables: dict[str, tuple[DataFrame, list[str]]], only: Iterable[int] | None = None, base: int | None = None, batch: tuple[str, int] | None = None) -> int:
+    def write(self, name: str, rows: DataFrame, key: list[str]) -> Written:
+        """The rows in a new folder of the table, to be read by read_written() and published by commit()."""
+        folder = f"{self.path}/{name}/{uuid.uuid4().hex[:16]}"
+        dealt = rows.withColumn("bucket", self.bucket(key))
+        # a bucket's rows may go to several files, so that a key with very many rows is no one's task
+        dealt.repartition("bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.partitionBy("bucket").parquet(folder)
+        fs, p = self._at(folder)
+        return Written(rows.schema, {x.getPath().getName().removeprefix("bucket="): folder for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket=")})
+
+    def read_written(self, written: Written) -> DataFrame:
+        return self._rows(written.schema, written.parts)
+
+    def commit(self, tables: dict[str, tuple[DataFrame | Written, list[str]]], only: Iterable[int] | None = None, base: int | None = None, batch: tuple[str, int] | None = None) -> int:
         """Publish new contents of *tables* (rows, key), of the buckets in *only* or all of them, and return the version.
 
         *base* is the version that the rows were made from (the newest where it isn't given); if there is a later one by now, nothing
@@ -92,15 +115,10 @@ class Store:
         if batch:
             after["batches"][batch[0]] = batch[1]
         for name, (rows, key) in tables.items():
-            folder = f"{self.path}/{name}/{uuid.uuid4().hex[:16]}"
-            dealt = rows.withColumn("bucket", self.bucket(key))
-            # a bucket's rows may go to several files, so that a key with very many rows is no one's task
-            dealt.repartition("bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.partitionBy("bucket").parquet(folder)
-            fs, p = self._at(folder)
-            new = {x.getPath().getName().removeprefix("bucket="): folder for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket=")}
+            new = rows if isinstance(rows, Written) else self.write(name, rows, key)
             old = before["tables"].get(name, {}).get("parts", {})
             gone = {str(b) for b in (range(self.buckets) if only is None else only)}
-            after["tables"][name] = {"schema": json.loads(rows.schema.json()), "parts": {b: f for b, f in old.items() if b not in gone} | new}
+            after["tables"][name] = {"schema": json.loads(new.schema.json()), "parts": {b: f for b, f in old.items() if b not in gone} | new.parts}
         return self._publish(after)
 
     def _publish(self, manifest: dict) -> int:

@@ -36,14 +36,15 @@ def follow(stream: DataFrame, store: Store, key: list[str], fact_key: list[str],
         only = store.touched(rows, key)
         schema = picks.supersede(rows, fact_key, rank).schema
         old = store.read("facts", schema, base["version"] or None, only)
-        new = rows.join(old.select("fact_id"), same_key(rows, old, ["fact_id"]), "left_anti")
-        facts = picks.supersede(old.drop("superseded_by").unionByName(new), fact_key, rank)
-        keys = new.select(*key).distinct()
+        new = saved(rows.join(old.select("fact_id"), same_key(rows, old, ["fact_id"]), "left_anti"), "new")
+        # ranked and written once; what is derived comes from the files
+        written = store.write("facts", picks.supersede(old.drop("superseded_by").unionByName(new), fact_key, rank), key)
+        facts, keys = store.read_written(written), new.select(*key).distinct()
         own = facts.join(keys, same_key(facts, keys, key), "left_semi")
         made = derive(own)
         kept = store.read("derived", made.schema, base["version"] or None, only)
         kept = kept.join(keys, same_key(kept, keys, key), "left_anti")
-        store.commit({"facts": (facts, key), "derived": (kept.unionByName(made), key)}, only, base["version"] or None, (name, number))
+        store.commit({"facts": (written, key), "derived": (kept.unionByName(made), key)}, only, base["version"] or None, (name, number))
 
     run(stream, step, f"{store.path}-checkpoint-{name}")
 

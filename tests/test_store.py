@@ -102,3 +102,21 @@ def test_cascade_of_a_stream_rewrites_touched_buckets(spark):
     assert got.count() == 80
     parts = store.manifest()["tables"]["coverage"]["parts"]
     assert sum(parts[b] != f for b, f in first["tables"]["coverage"]["parts"].items()) <= 2
+
+
+def test_facts_of_a_batch_are_ranked_once(spark):
+    """What is derived reads the facts that the batch has written: nothing in its plan ranks or joins stored facts again."""
+    top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    store, seen = Store(spark, f"{top}/store", 4), []
+
+    def derive(facts):
+        seen.append((facts._jdf.queryExecution().optimizedPlan().toString(), facts.inputFiles()))
+        return maintain.newest_of(facts, ["issuer"], "value")
+
+    for data in ([(1, 1, "revenue", "2024-01-01", 10.0)], [(2, 1, "revenue", "2024-02-01", 11.0), (1, 1, "revenue", "2024-01-01", 10.0)]):
+        put(spark, f"{top}/in", data)
+        maintain.follow(spark.readStream.schema(FACT).parquet(f"{top}/in"), store, ["issuer"], ["issuer", "concept"], [F.desc("filed"), F.col("fact_id")], derive)
+    assert len(seen) == 2 and not any("Window" in plan for plan, _ in seen)
+    assert any("/store/facts/" in f for f in seen[1][1])
+    assert rows(store.read("facts").select("fact_id", "superseded_by")) == [(1, 2), (2, None)]
+    assert rows(store.read("derived")) == [(1, 2, 1, 11.0)]
